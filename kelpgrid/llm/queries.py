@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import topk_search
+from kelpgrid.llm import simhash_dedup, topk_search
 from kelpgrid.sources.tables import table
 
 
@@ -31,8 +31,15 @@ SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 5
 """
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk_search": op1_topk_search}
+    return {
+        "op1_topk_search": op1_topk_search,
+        "op3_simhash_dedup": op3_simhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
