@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import simhash_dedup, topk_search
+from kelpgrid.llm import secret_scan, simhash_dedup, topk_search
 from kelpgrid.sources.tables import table
 
 
@@ -35,10 +35,15 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
