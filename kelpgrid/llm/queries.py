@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import secret_scan, simhash_dedup, topk_search
+from kelpgrid.llm import secret_scan, simhash_dedup, topk_search, toxicity
 from kelpgrid.sources.tables import table
 
 
@@ -35,6 +35,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_secret_scan": op10_secret_scan,
     }
 

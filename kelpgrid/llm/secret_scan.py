@@ -198,7 +198,7 @@ class FormatModel:
         return max(fit) - self.ordinary.log_likelihood(s) if fit else -math.inf
 
     def is_secret(self, s: str) -> bool:
-        return any(c in DIGITS for c in s) and self.score(s) >= self.threshold
+        return any(c in DIGITS for c in s) and any(c.isalpha() for c in s) and self.score(s) >= self.threshold
 
 
 @lru_cache(1)
