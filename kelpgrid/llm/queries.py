@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import secret_scan, simhash_dedup, topk_search, toxicity
+from kelpgrid.llm import secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
 from kelpgrid.sources.tables import table
 
 
@@ -35,6 +35,23 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL_OP5 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (
+  SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest
+)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN p.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id > f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,10 +64,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op5_warc": op5_warc,
         "op9_toxicity": op9_toxicity,
         "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": SQL_OP1}
+    return {"op1_topk_search": SQL_OP1, "op5_warc": SQL_OP5}
