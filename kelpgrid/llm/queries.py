@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
+from kelpgrid.llm import html_text, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
 from kelpgrid.sources.tables import table
 
 
@@ -52,6 +52,10 @@ FROM p LEFT JOIN f ON p.digest = f.digest
 """
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": op1_topk_search,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_warc": op5_warc,
+        "op8_html_text": op8_html_text,
         "op9_toxicity": op9_toxicity,
         "op10_secret_scan": op10_secret_scan,
     }
