@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import html_text, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
+from kelpgrid.llm import html_text, packing, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
 from kelpgrid.sources.tables import table
 
 
@@ -52,6 +53,11 @@ FROM p LEFT JOIN f ON p.digest = f.digest
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packed.drop("ids", "source")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": op1_topk_search,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_warc": op5_warc,
+        "op7_packing": op7_packing,
         "op8_html_text": op8_html_text,
         "op9_toxicity": op9_toxicity,
         "op10_secret_scan": op10_secret_scan,
