@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import html_text, packing, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
+from kelpgrid.llm import html_text, mixing, packing, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
 from kelpgrid.sources.tables import table
 
 
@@ -32,6 +32,10 @@ SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 5
 """
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
+        "op2_mixing": op2_mixing,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_warc": op5_warc,
         "op7_packing": op7_packing,
