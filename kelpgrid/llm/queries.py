@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import html_text, mixing, packing, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
+from kelpgrid.llm import fingerprint, html_text, mixing, packing, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
 from kelpgrid.sources.tables import table
 
 
@@ -40,6 +40,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.round_trip(table(spark, sf_dir, "pages"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": op1_topk_search,
         "op2_mixing": op2_mixing,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_fingerprint": op4_fingerprint,
         "op5_warc": op5_warc,
         "op7_packing": op7_packing,
         "op8_html_text": op8_html_text,
