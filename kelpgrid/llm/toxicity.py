@@ -77,15 +77,16 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -30, 30)))
 
 
-def select_terms(rows: list[np.ndarray], y: np.ndarray, least: int, most: int) -> np.ndarray:
+def select_terms(rows: list[np.ndarray], y: np.ndarray, least: int, most: int, bits: int = 22) -> np.ndarray:
     """The ``most`` terms, of those in ``least`` rows or more, with the largest chi-square against the label."""
-    flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
-    at = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
-    terms, which = np.unique(flat, return_inverse=True)
-    n, pos = np.bincount(which, minlength=len(terms)), np.bincount(which, y[at], len(terms))
-    p = y.mean()
+    n, pos = np.zeros(1 << bits), np.zeros(1 << bits)
+    for r, label in zip(rows, y.tolist()):
+        n[r] += 1  # a row holds a term once
+        pos[r] += label
+    terms = np.flatnonzero(n >= least)
+    n, pos, p = n[terms], pos[terms], y.mean()
     chi = (pos - n * p) ** 2 / (n * p) + ((n - pos) - n * (1 - p)) ** 2 / (n * (1 - p))
-    ok = np.flatnonzero((n >= least) & (chi > 6.63))
+    ok = np.flatnonzero(chi > 6.63)
     return terms[ok[np.argsort(-chi[ok], kind="stable")][:most]]
 
 
@@ -96,7 +97,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 1
         return FactorizationMachine(30.0 if len(y) and y[0] else -30.0)
     kept = select_terms(rows, y, least, most)
     index = {int(t): i for i, t in enumerate(kept)}
-    rows = [np.array([index[t] for t in r.tolist() if t in index], np.int64) for r in rows]
+    place = np.full(1 << 22, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    rows = [p[p >= 0].astype(np.int64) for p in (place[r] for r in rows)]
     rng = np.random.default_rng(seed)
     m = FactorizationMachine(float(np.log(y.mean() / (1 - y.mean()))), index, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), factors)))
     gw, gv, gb = np.full(len(kept), 1e-6), np.full(m.v.shape, 1e-6), 1e-6
@@ -127,7 +130,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 16_000) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000) -> FactorizationMachine:
     """Fits on at most ``sample_rows`` labelled rows that are not held out (least hashes of the id).
 
     Only text and label are used. Rows without id, label or a document are not learned from; an id
@@ -150,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             data = [np.array(_terms(t, words), np.int32).tobytes() for t in rows.text]
             yield pd.DataFrame({"id": rows.id.astype(str), "y": rows.y, "terms": data})
 
-    got = picked.mapInPandas(run, "id string, y int, terms binary").toPandas().sort_values(["id", "terms"])
-    return fit([np.frombuffer(t, np.int32).astype(np.int64) for t in got.terms], got.y.to_numpy())
+    got = sorted(picked.mapInPandas(run, "id string, y int, terms binary").toLocalIterator())
+    return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.y for r in got], float))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
