@@ -278,4 +278,4 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_
         return pd.Series([masked(t, model) for t in texts], dtype=object)
 
     out = docs.withColumn(text_col, mask(F.col(text_col)))
-    return out.withColumn(n_chars_col, F.length(text_col).cast("long"))
+    return out.withColumn(n_chars_col, F.length(text_col).cast("long")) if n_chars_col in docs.columns else out

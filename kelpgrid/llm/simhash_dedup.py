@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.llm.components import components
@@ -50,15 +50,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash that tells rows apart, as ids may be null or repeated; equal rows share it."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``doc_id, fp`` of each row, fp as a signed long."""
+    """``doc_id, key, fp`` of each row, fp as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows.doc_id, "fp": np.array([_signed(simhash(t, words)) for t in rows.text], np.int64)})
+            yield pd.DataFrame({"doc_id": rows.doc_id, "key": rows.key, "fp": np.array([_signed(simhash(t, words)) for t in rows.text], np.int64)})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return picked.mapInPandas(run, "doc_id long, key long, fp long")
 
 
 def ball_masks(width: int, radius: int) -> list[int]:
@@ -135,6 +140,15 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 2, fp_col: str =
     return table.mapInPandas(run, "u long, v long")
 
 
+def _classes(marked: DataFrame, radius: int, segments: int) -> DataFrame:
+    """``fp, root, component_id`` of every fingerprint."""
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(least, radius, segments))
+    named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.join(names, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -144,11 +158,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result; other columns are not read.
     """
     marked = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least, radius, segments))
-    named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(names, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = marked.join(_classes(marked, radius, segments), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
+    """One row of each component, that of the smallest id (rows without id last), with all columns of ``docs``."""
+    marked = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    chosen = marked.join(_classes(marked, radius, segments), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("row_key_"))
+    columns = docs.columns
+    keyed = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # whatever names the table has, the key's differs
+    at = [f"c{columns.index(c)}" for c in (id_col, text_col)]
+    kept = keyed.withColumn("row_key_", row_key(*at)).join(chosen, "row_key_", "left_semi").dropDuplicates(["row_key_"])
+    return kept.drop("row_key_").toDF(*columns)

@@ -157,11 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.y for r in got], float))
 
 
-def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All rows and columns of ``docs`` with ``toxic_score`` (0 to 1) and ``toxic_predicted`` (1 from ``threshold`` on).
-
-    Whole texts are scored; a null text scores as an empty one, which has a score too.
-    """
+def scorer(docs: DataFrame, model: FactorizationMachine):
+    """A function of a text column that gives the score, 0 to 1, of each whole text; a null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -171,12 +168,17 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
         for batch in texts:
             yield pd.Series(m.score([np.array(_terms(t, words), np.int64) for t in batch]))
 
-    scored = docs.withColumn("toxic_score", of(F.col(text_col)))
-    return scored.withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+    return of
+
+
+def without_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    return docs.where(scorer(docs, model)(F.col(text_col)) < threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``, repeated rows each."""
     model = train(docs, labels, id_col, text_col, label_col)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return score(picked, model, "text", threshold).select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+    scored = picked.select("doc_id", held_out().alias("held_out"), scorer(docs, model)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
