@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x within low and high; null stays null, which least and greatest alone would pass over."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def decade(year: Column) -> Column:

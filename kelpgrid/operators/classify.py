@@ -31,7 +31,7 @@ def first_match(text: Column, rules: list[tuple], result: int) -> Column:
 def sms_level(title: Column, abstract: Column, known: Column | None = None) -> Column:
     """Level of evidence by keywords, at most 3, at most 2 without an abstract; a known level wins."""
     found = first_match(F.concat_ws(" ", title, abstract), METHOD_RULES, 0).cast("int")
-    capped = F.least(found, F.when(F.coalesce(F.length(F.trim(abstract)), F.lit(0)) > 0, 3).otherwise(2))
+    capped = F.when(found.isNotNull(), F.least(found, F.when(F.coalesce(F.length(F.trim(abstract)), F.lit(0)) > 0, 3).otherwise(2)))
     return F.coalesce(known, capped) if known is not None else capped
 
 

@@ -33,7 +33,7 @@ def fuzzy_first(rows: DataFrame, block: Column, least: float = 90.0) -> DataFram
     Equal titles are one before anything is compared; distinct titles are compared within a block, by the edit
     distance of their words in order.
     """
-    ready = rows.select("id", F.coalesce("year", F.lit(0)).alias("year"), F.array_join(F.array_sort(X.tokens(F.col("title"))), " ").alias("t"), block.alias("block"))
+    ready = rows.select("id", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce(F.array_join(F.array_sort(X.tokens(F.col("title"))), " "), F.lit("")).alias("t"), F.coalesce(block, F.lit("")).alias("block"))
     each = ready.groupBy("block", "t", "year").agg(F.min("id").alias("first"))
     a, b = each.alias("a"), each.alias("b")
     longer = F.greatest(F.length("a.t"), F.length("b.t"))

@@ -25,11 +25,11 @@ def rerank_unified(rows: DataFrame, now: int, region: str | None = None, name: s
     b = profile(name)
     cos = F.col("cosine")
     ramp = region_ramp(cos)
-    boost = b["causal"] * F.coalesce(F.least("sms_level", F.lit(5)) / 5.0, F.lit(0.0)) + b["foundational"] * citation_score(F.col("citation_count"), F.col("year"), now)
+    boost = b["causal"] * rigor_score(F.col("sms_level")) + b["foundational"] * citation_score(F.col("citation_count"), F.col("year"), now)
     if region is not None:
         boost = boost + b["region"] * F.coalesce((F.col("region") == region).cast("double"), F.lit(0.0)) * ramp
     if weight is not None:
-        boost = boost + clamp(weight - 1, -0.5, 1.0) * ramp
+        boost = boost + F.coalesce(clamp(weight - 1, -0.5, 1.0), F.lit(0.0)) * ramp
     if promoted is not None:
         boost = boost + F.coalesce(promoted, F.lit(0.0)) * ramp
     return rows.withColumn("score", F.round(cos * (1 + boost), digits))

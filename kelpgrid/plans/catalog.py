@@ -345,7 +345,7 @@ def h01_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 POOL_SQL = f"""
 , boosted AS (
-  SELECT *, round(cosine * (1 + 0.5 * coalesce(least(sms_level, 5) / 5.0, 0.0) + 0.3 * ({cites_sql()})
+  SELECT *, round(cosine * (1 + 0.5 * least(coalesce(sms_level, 0), 5) / 5.0 + 0.3 * ({cites_sql()})
     + 0.6 * coalesce(CAST(region = 'LAC' AS DOUBLE), 0.0) * least(greatest((cosine - 0.5) / (0.65 - 0.5), 0.0), 1.0)), 6) AS score FROM scored
 ), pool AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM boosted) WHERE pos <= 200)
 """
@@ -363,7 +363,7 @@ def g02_rerank_unified(spark: SparkSession, sf: str) -> DataFrame:
     return _pool(spark, sf).select("id", "cosine", "score", "pos")
 
 
-MERGED_SQL = f"""SELECT id, round(0.428 * least(greatest(cosine, 0.0), 1.0) + 0.157 * coalesce(least(greatest(sms_level / 5.0, 0.0), 1.0), 0.0)
+MERGED_SQL = f"""SELECT id, round(0.428 * least(greatest(cosine, 0.0), 1.0) + 0.157 * least(greatest(coalesce(sms_level, 0) / 5.0, 0.0), 1.0)
  + 0.160 * ({cites_sql()}) * (0.2 + 0.8 * least(greatest(cosine, 0.0), 1.0)) + 0.021 * greatest(0.0, 1 - ({NOW} - year) / 25.0)
  + 0.147 * CASE WHEN cosine >= 0.3 THEN 1.0 WHEN cosine >= 0.1 THEN 0.7 ELSE 0.0 END + CASE WHEN regexp_matches(lower(title), 'review|meta') THEN 0.025 ELSE 0.0 END, 6) AS score FROM scored"""
 
@@ -375,7 +375,7 @@ def g08_rerank_merged(spark: SparkSession, sf: str) -> DataFrame:
     return rerank.rerank_merged(with_cosine(searchable(works(spark, sf)), query_vector(spark, sf)), NOW).select("id", "score")
 
 
-@query(f"""SELECT id, round(CASE WHEN cosine >= 0.1 THEN cosine * (1 + 0.5 * coalesce(least(greatest(sms_level / 5.0, 0.0), 1.0), 0.0))
+@query(f"""SELECT id, round(CASE WHEN cosine >= 0.1 THEN cosine * (1 + 0.5 * least(greatest(coalesce(sms_level, 0) / 5.0, 0.0), 1.0))
  * greatest(1 + 0.2 * greatest(0.0, 1 - ({NOW} - year) / 25.0), 1 + 0.3 * ({cites_sql()})) * (1 + 0.6 * coalesce(CAST(region = 'LAC' AS DOUBLE), 0.0)) ELSE 0.0 END, 6) AS score FROM scored""")
 def g11_hybrid_product(spark: SparkSession, sf: str) -> DataFrame:
     from kelpgrid.functions.vector import with_cosine

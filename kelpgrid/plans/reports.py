@@ -240,7 +240,7 @@ def i17_verbatim_overlap(spark: SparkSession, sf: str) -> DataFrame:
 METHOD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(concat_ws(' ', title, abstract)), '{p}') THEN {n}" for n, _, p in classify.METHOD_RULES) + " END"
 
 
-@query(f"SELECT id, coalesce(sms_level, least({METHOD_SQL}, CASE WHEN length(trim(abstract)) > 0 THEN 3 ELSE 2 END)) AS level FROM works")
+@query(f"SELECT id, coalesce(sms_level, CASE WHEN ({METHOD_SQL}) IS NOT NULL THEN least({METHOD_SQL}, CASE WHEN length(trim(abstract)) > 0 THEN 3 ELSE 2 END) END) AS level FROM works")
 def k01_sms_level(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).select("id", classify.sms_level(F.col("title"), F.col("abstract"), F.col("sms_level")).alias("level"))
 

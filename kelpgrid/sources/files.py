@@ -64,7 +64,7 @@ def json_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
 def repaired_array(value: Column) -> Column:
     """An array from its JSON, or from a list of words parted by semicolons; null stays null."""
     parsed = F.from_json(F.when(F.trim(value).startswith("["), value), "array<string>")
-    return F.coalesce(parsed, F.transform(F.split(value, ";"), F.trim))
+    return F.coalesce(parsed, F.transform(F.split(value, ";"), lambda x: F.trim(x)))
 
 
 # Names of fields that may hold personal data.
