@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.staging import stage
+from kelpgrid.llm.staging import shuffle_partitions, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Parts that a source's documents are ordered in, so that no task sorts a whole source.
@@ -156,11 +156,15 @@ class Mixture:
 
         def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                for r in rows.itertuples():
-                    for a in range(int(r.first), int(r.first + r.n), 65_536):
-                        slots = np.arange(a, min(a + 65_536, int(r.first + r.n)))
-                        blocks, words = plans[r.source_no].take(slots, block, seed)
-                        yield pd.DataFrame({"source_no": r.source_no, "block": blocks, "shard": r.shard, "slot": slots, "words": words})
+                for no, own in rows.groupby("source_no"):
+                    n, first, shard = (own[c].to_numpy(np.int64) for c in ("n", "first", "shard"))
+                    ends = np.cumsum(n)
+                    for a in range(0, int(ends[-1]), 1 << 17):  # however many slots a row stands for
+                        i = np.arange(a, min(a + (1 << 17), int(ends[-1])))
+                        row = np.searchsorted(ends, i, "right")
+                        slots = first[row] + i - (ends[row] - n[row])
+                        blocks, words = plans[no].take(slots, block, seed)
+                        yield pd.DataFrame({"source_no": no, "block": blocks, "shard": shard[row], "slot": slots, "words": words})
 
         drawn = spark.range(shards).mapInPandas(draw, "shard long, source_no int, n long")
         before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -170,6 +174,7 @@ class Mixture:
         short = F.broadcast(wanted).join(drawn.groupBy("source_no").agg(F.sum("n").alias("had")), "source_no", "left")
         last = short.select(F.lit(shards).cast("long").alias("shard"), "source_no", F.coalesce("had", F.lit(0)).alias("first"), (F.col("slots") - F.coalesce("had", F.lit(0))).alias("n"))
         both = drawn.select("shard", "source_no", "first", "n").unionByName(last).where("n > 0")
+        both = both.repartition(shuffle_partitions(spark), "source_no", "shard")  # few bytes, but many slots
         return both.mapInPandas(explode, "source_no int, block long, shard long, slot long, words long")
 
     def pieces(self) -> DataFrame:
