@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import fingerprint, html_text, mixing, packing, secret_scan, simhash_dedup, topk_search, toxicity, warc_archive
+from kelpgrid.llm import fingerprint, html_text, mixing, packing, secret_scan, simhash_dedup, token_counts, topk_search, toxicity, warc_archive
 from kelpgrid.sources.tables import table
 
 
@@ -61,6 +61,10 @@ FROM p LEFT JOIN f ON p.digest = f.digest
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packed.drop("ids", "source")
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_fingerprint": op4_fingerprint,
         "op5_warc": op5_warc,
+        "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
         "op8_html_text": op8_html_text,
         "op9_toxicity": op9_toxicity,
