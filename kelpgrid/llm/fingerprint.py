@@ -28,12 +28,18 @@ GRAIN = 1 << 16
 
 @dataclass(frozen=True)
 class Digester:
-    """rank: how common each entropy bin is (0: rarest). Bins below ``least_bits`` of entropy never give features unless a text has no others."""
+    """rank: how common each entropy bin is (0: rarest); the last bins give features only where a span has no others.
+
+    Texts of up to ``short`` bytes are searched in shorter spans, as they would have too few features.
+    """
 
     rank: tuple[int, ...]
     window: int = 32
     span: int = 64
     popular: int = 16
+    short: int = 1024
+    short_span: int = 16
+    short_popular: int = 4
     bits: int = 2048
     hashes: int = 5
     capacity: int = 160
@@ -41,17 +47,20 @@ class Digester:
 
     def digests(self, texts: Sequence[bytes]) -> list[str]:
         """One digest a text, as ``features:base64 of the filters``; the same bytes give the same digest."""
-        out: list[str] = []
-        for part in batches_of(texts, self.batch_bytes):
-            out += self._digests(part)
+        out = [""] * len(texts)
+        for span, popular, which in ((self.short_span, self.short_popular, lambda n: n <= self.short), (self.span, self.popular, lambda n: n > self.short)):
+            at = [i for i, t in enumerate(texts) if which(len(t))]
+            found = (d for part in batches_of([texts[i] for i in at], self.batch_bytes) for d in self._digests(part, span, popular))
+            for i, d in zip(at, found):
+                out[i] = d
         return out
 
-    def _digests(self, texts: list[bytes]) -> list[str]:
-        data, starts, lengths = joined(texts, self.window, self.span)
+    def _digests(self, texts: list[bytes], span: int, popular: int) -> list[str]:
+        data, starts, lengths = joined(texts, self.window, span)
         valid, bins = entropy_bins(data, starts, lengths, self.window)
         key = np.where(valid, np.array(self.rank, np.int64)[bins] << 40, np.int64(1) << 60) | np.arange(len(bins))
-        lowest = sliding_min(key, self.span)
-        chosen = np.bincount(lowest[lowest < np.int64(1) << 60] & ((1 << 40) - 1), minlength=len(bins)) >= self.popular
+        lowest = sliding_min(key, span)
+        chosen = np.bincount(lowest[lowest < np.int64(1) << 60] & ((1 << 40) - 1), minlength=len(bins)) >= popular
         at = np.flatnonzero(chosen & valid)
         doc = np.searchsorted(starts, at, "right") - 1
         raw, w = data.tobytes(), self.window
