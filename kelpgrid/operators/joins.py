@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
+from kelpgrid.functions.vector import cosine
 
 
 def in_order(ids: DataFrame, works: DataFrame) -> DataFrame:
@@ -54,3 +55,46 @@ def match_gate(left: DataFrame, right: DataFrame, least: float = 0.92, years: in
     both = prepare(left).alias("l").join(prepare(right).alias("r"), F.col("l.block") == F.col("r.block"))
     both = both.where((F.abs(F.col("l.year") - F.col("r.year")) <= years) & (F.col("l.id") != F.col("r.id")))
     return both.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.round(X.dice(F.col("l.pairs"), F.col("r.pairs")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def signature_matches(left: DataFrame, right: DataFrame, years: int = 8, authors: float = 0.5, match: float = 0.90, review: float = 0.85) -> DataFrame:
+    """``left_id, right_id, cosine, verdict``: for each left row the right one of the same title signature that is closest by cosine.
+
+    Rows need ``id, title, year, authors, embedding``; authors must overlap and years lie near.
+    """
+    keyed = lambda d: d.withColumn("signature", X.title_signature(F.col("title"))).where("signature is not null")
+    pairs = keyed(left).alias("l").join(keyed(right).alias("r"), F.col("l.signature") == F.col("r.signature"))
+    near = (F.abs(F.col("l.year") - F.col("r.year")) <= years) & (X.overlap(F.col("l.authors"), F.col("r.authors"), "first") >= authors) & (F.col("l.id") != F.col("r.id"))
+    scored = pairs.where(near).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.round(cosine(F.col("l.embedding"), F.col("r.embedding")), 6).alias("cosine"))
+    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc_nulls_last("cosine"), "right_id"))).where("n = 1").drop("n")
+    return best.withColumn("verdict", F.when(F.col("cosine") >= match, "match").when(F.col("cosine") >= review, "review").otherwise("low"))
+
+
+def unique_match(asked: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """``ask_id, id``: what each row of (ask_id, keys) stands for in (id, keys); null if no or several rows fit."""
+    counts = known.groupBy(*on).agg(F.min("id").alias("id"), F.count_distinct("id").alias("n"))
+    joined = asked.join(counts, on, "left")
+    return joined.select("ask_id", F.when(F.col("n") == 1, F.col("id")).alias("id"))
+
+
+def staged_match(asked: DataFrame, known: DataFrame, least: int = 20) -> DataFrame:
+    """``ask_id, id, stage`` of (ask_id, doi, title): by DOI, else by the title in any case if it is long enough."""
+    dois = known.where("doi is not null").groupBy("doi").agg(F.min("id").alias("by_doi"))
+    titles = known.where(F.length("title") >= least).groupBy(F.lower("title").alias("title_key")).agg(F.min("id").alias("by_title"))
+    joined = asked.withColumn("title_key", F.when(F.length("title") >= least, F.lower("title"))).join(dois, "doi", "left").join(titles, "title_key", "left")
+    stage = F.when(F.col("by_doi").isNotNull(), "doi").when(F.col("by_title").isNotNull(), "title").otherwise("none")
+    return joined.select("ask_id", F.coalesce("by_doi", "by_title").alias("id"), stage.alias("stage"))
+
+
+def suffix_match(asked: DataFrame, known: DataFrame, length: int = 6) -> DataFrame:
+    """``ask_id, id``: the only known id that ends with the same ``length`` characters; null if none or several do."""
+    tail = lambda c: F.substring(c.cast("string"), -length, length)
+    return unique_match(asked.withColumn("tail", tail(F.col("text"))), known.withColumn("tail", tail(F.col("id"))), ["tail"])
+
+
+def filter_harm(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
+    """``id, dropped_by``: the first filter that a row fails, null if it passes all."""
+    reason = F.lit(None).cast("string")
+    for name, keeps in reversed(list(filters.items())):
+        reason = F.when(~F.coalesce(keeps, F.lit(False)), F.lit(name)).otherwise(reason)
+    return rows.select("id", reason.alias("dropped_by"))
