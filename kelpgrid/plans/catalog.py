@@ -452,7 +452,7 @@ def g25_priority(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).select("id", rerank.priority_score(NOW).alias("priority"))
 
 
-@query(POOL_SQL + """SELECT id, round(greatest(1.0, 20 - 0.1 * pos) + coalesce(sms_level, 0) + CASE WHEN citation_count >= 100 THEN 2.0 WHEN citation_count >= 25 THEN 1.0 ELSE 0.0 END, 3) AS priority FROM pool""")
+@query(POOL_SQL + """SELECT id, CAST(round(greatest(1.0, 20 - 0.1 * pos) + coalesce(sms_level, 0) + CASE WHEN citation_count >= 100 THEN 2.0 WHEN citation_count >= 25 THEN 1.0 ELSE 0.0 END, 3) AS DOUBLE) AS priority FROM pool""")
 def g27_card_priority(spark: SparkSession, sf: str) -> DataFrame:
     return _pool(spark, sf).select("id", rerank.lazy_card_priority(F.col("pos")).alias("priority"))
 
