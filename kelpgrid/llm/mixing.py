@@ -204,8 +204,8 @@ class Mixture:
         lists = self.pieces().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "slot", "start", "n"))).alias("cuts"))
         rows = self.keyed(docs).join(lists.withColumnRenamed("key", "mix_key"), "mix_key").dropDuplicates(["mix_key"])
         words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORDS})"), F.lit(1))
-        cut = F.flatten(F.transform("cuts", lambda c: F.slice(F.col("all_words"), (c.start + 1).cast("int"), c.n.cast("int"))))
-        out = rows.withColumn("all_words", words).withColumn(text_col, F.array_join(cut, " "))
+        joined = lambda all_words: F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(all_words, (c.start + 1).cast("int"), c.n.cast("int")))), " ")
+        out = rows.withColumn(text_col, F.transform(F.array(words), joined)[0])  # bound once: the words are not split again for every cut
         if "n_chars" in kept:
             out = out.withColumn("n_chars", F.length(text_col).cast("long"))
         return out.select(*kept)

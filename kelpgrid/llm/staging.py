@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
 
@@ -24,6 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="kelpgrid-")
+            atexit.register(shutil.rmtree, root, True)
         _folders[app] = f"{root.rstrip('/')}/kelpgrid-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]
@@ -31,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
-    if context._jsc is None:
+    if context._jsc is None:  # stopped before; a folder of a stopped application may be removed by hand
         return
     try:
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
@@ -53,3 +56,15 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows with the least hashes of ``key``, ties in the order of the key; all rows if there are fewer.
+
+    Only hashes below a bound that leaves about a quarter more rows than asked for are sorted, so that what tasks send on
+    does not grow with their number.
+    """
+    total = df.count()
+    share = min(1.0, (1.25 * most + 50) / max(1, total))
+    least = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return least.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(most)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelpgrid.llm.staging import shuffle_partitions, stage
+from kelpgrid.llm.staging import bounded_sample, shuffle_partitions, stage
 
 LONG_MAX, LONG_MIN = 2**63 - 1, -(2**63)
 
@@ -210,7 +210,7 @@ def top_k(
 
 def _top_k_of_length(rows: DataFrame, dim: int, is_query, k: int, n_pivots: int, sample_rows: int, chunk_rows: int, query_rows: int) -> DataFrame:
     spark, tasks = rows.sparkSession, shuffle_partitions(rows.sparkSession)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    sample = bounded_sample(rows, "vec_id", sample_rows).collect()
     values = np.array([list(r.vec) for r in sample], np.int64).reshape(len(sample), dim)
     pivots = choose_pivots(values, n_pivots)
     packed = "n int, ids binary, data binary"

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpgrid.llm.staging import bounded_sample
+
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
 
@@ -136,15 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Only text and label are used. Rows without id, label or a document are not learned from; an id
     labelled twice has its largest label. With one class only the score is that class for all.
     """
-    chosen = (
+    labelled = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
         .where("id is not null and y is not null")
         .where(~held_out("id"))
         .groupBy("id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(sample_rows)
     )
+    chosen = bounded_sample(labelled, "id", sample_rows)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

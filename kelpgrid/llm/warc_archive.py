@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.staging import new_path, stage
+from kelpgrid.llm.staging import bounded_sample, new_path, stage
 
 # Magic numbers of the Zstandard frame format and the dictionary frame of .warc.zst.
 FRAME_MAGIC = 0xFD2FB528
@@ -154,8 +154,8 @@ def write_archives(pages: DataFrame, path: str, level: int = 3, sample_rows: int
 
     The dictionary is trained on a sample bounded by ``sample_rows`` (least hashes of the page_id).
     """
-    sample = pages.select("page_id", F.substring("html", 1, 8192).alias("html")).orderBy(F.xxhash64("page_id"), "html").limit(sample_rows).collect()
-    dictionary = train_dictionary([(r.html or "").encode() for r in sample])
+    sample = bounded_sample(pages.select("page_id", F.substring("html", 1, 8192).alias("html")), "page_id", sample_rows).collect()
+    dictionary = train_dictionary(sorted((r.html or "").encode() for r in sample))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = zstandard.ZstdCompressor(level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
