@@ -159,4 +159,4 @@ def citation_fence(text: Column, valid: Column) -> Column:
 
 def ends_cleanly(before: Column, after: Column, least: float = 0.7) -> Column:
     """Whether a rewrite keeps enough of the text and ends with a full stop or the like."""
-    return (F.length(after) >= least * F.length(before)) & F.trim(after).rlike(r"[.!?]$")
+    return (F.length(after) >= least * F.length(before)) & after.rlike(r"[.!?]\s*$")
