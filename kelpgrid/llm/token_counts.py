@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpgrid.llm.staging import stage
 from kelpgrid.llm.tokens import word_tokenizer
 
 BUCKET = 1024
@@ -94,4 +95,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Repeated rows count each, ids are not looked at; an empty table gives an empty result; other columns are not read.
     """
-    return suffix_sums(histogram(encoded_lengths(docs, tokenizer_path, id_col, text_col)))
+    counted = histogram(encoded_lengths(docs, tokenizer_path, id_col, text_col))
+    return suffix_sums(stage(counted, "histogram"))  # a row for each length; the sums read it more than once, the texts are encoded once
