@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import mixing, packing, secret_scan, simhash_dedup, toxicity
+from kelpgrid.llm import mixing, packing, secret_scan, shingle_dedup, toxicity
 from kelpgrid.llm.staging import stage
 from kelpgrid.sources.tables import table
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 64-bit SimHash of four-word shingles, at most four bits apart."""
-    return simhash_dedup.one_of_each(docs)
+    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return shingle_dedup.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

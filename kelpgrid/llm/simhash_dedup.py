@@ -165,8 +165,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
     """One row of each component, that of the smallest id (rows without id last), with all columns of ``docs``."""
     marked = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    return keep_rows(docs, marked.join(_classes(marked, radius, segments), "fp"), id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` of the smallest id of each root, by ``doc_id, key, root`` of every row."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    chosen = marked.join(_classes(marked, radius, segments), "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("row_key_"))
+    chosen = rooted.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("row_key_"))
     columns = docs.columns
     keyed = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # whatever names the table has, the key's differs
     at = [f"c{columns.index(c)}" for c in (id_col, text_col)]
