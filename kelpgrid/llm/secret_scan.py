@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -26,6 +27,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 characters or more
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SEPARATOR = re.compile(r"[+/_.=-]")
 KINDS = ("assign", "access", "hex", "format")
 
 # Public credential formats, as a prefix, an alphabet and lengths.
@@ -175,6 +177,17 @@ class Automaton:
             at = self.next[at][c]
         return (total + math.log(max(floor, self.ends[at] / max(1, self.seen[at])))) / (len(s) + 1)
 
+    def log_likelihoods(self, s: str, start: int, ends: set[int], floor: float = 1e-4) -> Iterator[tuple[int, float]]:
+        """``end, log_likelihood(s[start:end])`` for the ends that are reached by seen symbols only."""
+        at, total = 0, 0.0
+        for i in range(start, len(s) + 1):
+            if i in ends and i > start:
+                yield i, (total + math.log(max(floor, self.ends[at] / max(1, self.seen[at])))) / (i - start + 1)
+            if i == len(s) or s[i] not in self.next[at]:
+                return
+            total += math.log(max(floor, self.count[at][s[i]] / self.seen[at]))
+            at = self.next[at][s[i]]
+
 
 class FormatModel:
     """One automaton for each label, and one of ordinary strings that a candidate's likelihood is held against."""
@@ -188,6 +201,8 @@ class FormatModel:
             alone = sorted(map(own.log_likelihood, rest))
             self.formats[label], self.least[label] = own, alone[int(len(alone) * quantile)] - 0.1
             kept += rest
+        first = {os.path.commonprefix(examples) for examples in credentials.values()} - {""}
+        self.first = re.compile("|".join(map(re.escape, sorted(first, key=len, reverse=True)))) if first else None
         scores = sorted(self.score(s) for s in kept)
         self.threshold = max(0.2, scores[int(len(scores) * quantile)])
 
@@ -200,6 +215,27 @@ class FormatModel:
     def is_secret(self, s: str) -> bool:
         return any(c in DIGITS for c in s) and any(c.isalpha() for c in s) and self.score(s) >= self.threshold
 
+    def parts(self, s: str, least: int = 16) -> list[tuple[int, int]]:
+        """Ranges of s with the format of a credential, overlapping ones as one.
+
+        They start at s, after a separator or at the first symbols of a format, and end before a separator or with s.
+        """
+        cuts = [m.start() for m in SEPARATOR.finditer(s)]
+        starts = {0, *(c + 1 for c in cuts), *(m.start() for m in self.first.finditer(s))} if self.first else {0, *(c + 1 for c in cuts)}
+        ends, found = {*cuts, len(s)}, []
+        for i in sorted(starts):
+            if len(s) - i < least:
+                break
+            fit = {j for label, a in self.formats.items() for j, x in a.log_likelihoods(s, i, ends) if j - i >= least and x >= self.least[label]}
+            to = next((j for j in sorted(fit, reverse=True) if self.is_secret(s[i:j])), None)
+            if to is None:
+                continue
+            if found and i < found[-1][1]:
+                found[-1] = (found[-1][0], max(to, found[-1][1]))
+            else:
+                found.append((i, to))
+        return found
+
 
 @lru_cache(1)
 def default_model() -> FormatModel:
@@ -217,8 +253,15 @@ def scan(text: str, model: FormatModel) -> list[tuple[int, int, str]]:
     base = [(a, b) for a, b, _ in found]
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if any(c in s for c in DIGITS) and not any(a <= m.start() and m.end() <= b for a, b in base) and model.is_secret(s.strip(".=-")):
+        if not any(c in s for c in DIGITS) or any(a <= m.start() and m.end() <= b for a, b in base):
+            continue
+        if model.is_secret(s.strip(".=-")):
             found.append((m.start(), m.end(), "format"))
+            continue
+        for i, j in model.parts(s):
+            a, b = m.start() + i, m.start() + j
+            if not any(x <= a and b <= y for x, y in base):
+                found.append((a, b, "format"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

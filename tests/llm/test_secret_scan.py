@@ -83,3 +83,22 @@ def test_masking(spark):
 @pytest.mark.parametrize("text", ["", "no secret", "token=abcdef"])
 def test_masked(text):
     assert S.masked(text, S.default_model()) == ("[SECRET]" if text.startswith("token") else text)
+
+
+def test_joined_credentials():
+    model, missed, total = S.default_model(), [], 0
+    fresh = S.labelled_credentials(20, seed=77)
+    for label in ("github", "gitlab", "slack_bot", "stripe_live", "google", "package", "jwt"):
+        for s in filter(model.is_secret, fresh[label]):
+            for before, after in (("KEY=", ""), ("https://x.org/v1/", ""), ("/my_", ""), ("a.b-", ""), ("KEYx", ""), ("?q=1&key=", "/end")):
+                text, total = f"{before}{s}{after}", total + 1
+                if not any(a <= len(before) and len(before) + len(s.rstrip("._=-")) <= b for a, b, _ in S.scan(text, model)):
+                    missed.append(text)
+    assert len(missed) < 0.01 * total, missed[:5]
+    two = [fresh["github"][0], fresh["stripe_live"][1]]
+    assert S.masked(f"GITHUB={two[0]}/{two[1]}", model) == "GITHUB=[SECRET]/[SECRET]"
+
+
+def test_joined_ordinary_strings():
+    model, plain = S.default_model(), S.ordinary_strings(1500, seed=321)
+    assert sum(any(k == "format" for *_, k in S.scan(s, model)) for s in plain) / len(plain) < 0.01
