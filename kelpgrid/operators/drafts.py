@@ -84,15 +84,16 @@ def evidence_priority(now: int) -> Column:
     return F.round(F.greatest(total, F.lit(0.1)), 6)
 
 
-def twins(works: DataFrame, least: float = 0.6, years: int = 2, shared: int = 3) -> DataFrame:
+def twins(works: DataFrame, least: float = 0.6, years: int = 2) -> DataFrame:
     """``left_id, right_id, jaccard``: a working paper and an article whose titles share most of their longer words, near in year.
 
-    Pairs come from the rarest ``shared`` words of each title, so that frequent words make no pairs.
+    Pairs come from the rarest words of each title, as many as a title that is alike must share one of.
     """
     words = works.select("id", "year", "publication_type", F.array_distinct(X.content_tokens(F.col("title"), 4)).alias("ws")).where("size(ws) > 0")
-    each = words.select("id", F.explode("ws").alias("w"))
+    enough = F.size("ws") - F.ceil(F.size("ws") * least - 1e-9) + 1
+    each = words.select("id", enough.alias("enough"), F.explode("ws").alias("w"))
     rare = each.join(each.groupBy("w").agg(F.count("*").alias("df")), "w")
-    keys = rare.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))).where(F.col("n") <= shared)
+    keys = rare.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))).where(F.col("n") <= F.col("enough"))
     papers, articles = words.where("publication_type = 'working_paper'"), words.where("publication_type = 'journal_article'")
     a = papers.join(keys.select("id", "w"), "id").select(F.col("id").alias("left_id"), F.col("year").alias("ly"), F.col("ws").alias("lw"), "w")
     b = articles.join(keys.select("id", "w"), "id").select(F.col("id").alias("right_id"), F.col("year").alias("ry"), F.col("ws").alias("rw"), "w")
