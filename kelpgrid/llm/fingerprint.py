@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.staging import shuffle_partitions
+from kelpgrid.llm.staging import id_text, shuffle_partitions, with_long_id
 
 BINS_A_BIT = 64  # entropy is told apart in 1/64 of a bit
 GRAIN = 1 << 16
@@ -197,28 +198,35 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     After its own rows every partition has, marked ``ahead``, the row that follows its last one: the first of the
     next partition, and after the smallest id the first of all. The text is shuffled once; only the bounds of
-    the partitions pass the driver. Rows without id come last; equal ids are in the order of their texts.
+    the partitions pass the driver. Rows without id come last; equal ids are in descending order of the signed
+    xxhash64 of their texts, then by text, and an id (or none) that fills several partitions is cut by that hash.
     """
     spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     lowest = F.lit(-(2**63))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
-    cuts = sorted(set(rows.agg(F.percentile_approx("k", shares, F.lit(20 * parts + 1000))).first()[0] or []))
+    found = Counter(rows.agg(F.percentile_approx("k", shares, F.lit(20 * parts + 1000))).first()[0] or [])
+    cuts = sorted((k, int(2**64 * j / n) - 2**63 - (j == n)) for k, n in found.items() for j in range(1, n + 1))
+    hot = [k for k, n in found.items() if n > 1]
     width = max(1, int(len(cuts) ** 0.5))
 
-    def below(cuts_now, k):
-        return F.size(F.filter(cuts_now, lambda c: c < k))
+    def below(cuts_now, k, h):
+        return F.size(F.filter(cuts_now, lambda c: (c.k < k) | (c.k == k) & (c.h < h)))
 
-    long_array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<long>")
-    group = below(long_array(cuts[width - 1 :: width]), F.col("k"))  # in two steps, for many cuts
-    part = (F.lit(len(cuts)) - group * width - below(F.slice(long_array(cuts), group * width + 1, F.lit(width)), F.col("k"))).cast("int")
+    pairs = lambda xs: F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in xs])
+    rows = rows.withColumn("h", F.when(F.col("k").isin(hot), F.xxhash64("text")).otherwise(F.lit(0)) if hot else F.lit(0).cast("long"))
+    group = below(pairs(cuts[width - 1 :: width]), F.col("k"), F.col("h"))  # in two steps, for many cuts
+    part = (F.lit(len(cuts)) - group * width - below(F.slice(pairs(cuts), group * width + 1, F.lit(width)), F.col("k"), F.col("h"))).cast("int")
     rows = rows.withColumn("part", part if cuts else F.lit(0))
-    firsts = sorted((r.part, r.k) for r in rows.groupBy("part").agg(F.max("k").alias("k")).collect())
-    ahead = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    bounds = F.broadcast(spark.createDataFrame(ahead, "first_k long, before int"))  # a row for each partition
-    both = rows.join(bounds, F.col("k") == F.col("first_k"), "left").withColumn("to", F.explode(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(F.col("before").alias("part"), F.lit(True).alias("ahead")))))
-    both = both.select("to.part", "to.ahead", "k", "doc_id", "text").where("part is not null")
-    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", F.desc("k"), "text").drop("k")
+    firsts = sorted((r.part, r.first.k, r.first.h) for r in rows.groupBy("part").agg(F.max(F.struct("k", "h")).alias("first")).collect())
+    ahead = [(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)]
+    bounds = F.broadcast(spark.createDataFrame(ahead, "k long, h long, before int"))  # a row for each partition
+    # Of the rows of a first id the one that comes first, however many there are.
+    order = F.struct(-F.xxhash64("text").cast("decimal(20,0)"), F.col("text"), F.col("doc_id"))
+    nexts = rows.join(bounds, ["k", "h"]).groupBy("before").agg(F.min(F.struct(order.alias("order"), "k")).alias("row"))
+    nexts = nexts.select(F.col("before").alias("part"), F.lit(True).alias("ahead"), "row.k", F.col("row.order.doc_id").alias("doc_id"), F.col("row.order.text").alias("text"))
+    both = rows.select("part", F.lit(False).alias("ahead"), "k", "doc_id", "text").unionByName(nexts)
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", F.desc("k"), F.desc(F.xxhash64("text")), "text").drop("k")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +258,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 digests = digester.digests(edited)
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([None if pd.isna(x[2]) else int(x[2]) for x, _ in pairs], "Int64"),
+                        "doc_id": [x[2] for x, _ in pairs],
                         "n_chars": [len(x[3]) for x, _ in pairs],
                         "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
                         "fingerprint": [x[4] for x, _ in pairs],
@@ -260,5 +268,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     }
                 )
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInPandas(run, schema)
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return with_long_id(with_next(docs, id_col, text_col).withColumn("doc_id", id_text("doc_id")).mapInPandas(run, schema))

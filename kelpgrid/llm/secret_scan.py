@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpgrid.llm.staging import id_text, with_long_id
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -282,8 +284,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans.append([{"kind": k, "start": a, "end": b, "secret": text[a:b]} for a, b, k in scan(text, model)])
             yield pd.DataFrame({"doc_id": rows.doc_id, "spans": spans})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,secret:string>>")
+    picked = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_long_id(picked.mapInPandas(run, "doc_id string, spans array<struct<kind:string,start:long,end:long,secret:string>>"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
@@ -54,6 +54,16 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_text(id_col: str) -> Column:
+    """An id, cast to a long, as text: pandas holds longs with a null among them as doubles, which rounds ids above 2^53."""
+    return F.col(id_col).cast("long").cast("string")
+
+
+def with_long_id(df: DataFrame, *ids: str) -> DataFrame:
+    """``df`` with the ids that :func:`id_text` made text as longs again."""
+    return df.withColumns({c: F.col(c).cast("long") for c in ids or ("doc_id",)})
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.staging import stage
+from kelpgrid.llm.staging import id_text, stage, with_long_id
 from kelpgrid.llm.tokens import word_tokenizer
 
 BUCKET = 1024
@@ -27,8 +27,8 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows.doc_id, "length": [len(tokenizer.ids(t)) for t in rows.text]})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, length long")
+    picked = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_long_id(picked.mapInPandas(run, "doc_id string, length long"))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from kelpgrid.llm import fingerprint as G
 
@@ -12,12 +13,17 @@ def documents():
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(500)]
     rows = [(i * 3, " ".join(rng.choices(words, k=rng.randint(1, 500)))) for i in range(90)]
-    return [*rows, (500, None), (501, ""), (502, "é"), (503, rows[4][1]), (504, "long " * 20_000), rows[7], (None, "no id"), (None, None)]
+    return [*rows, (500, None), (501, ""), (502, "é"), (503, rows[4][1]), (504, "long " * 20_000), (2**63 - 1, "greatest"), (2**53 + 1, "odd"), (2**53 + 3, "odd too"), rows[7], (None, "no id"), (None, None)]
 
 
 def in_order(rows):
-    """Descending ids, rows without id last; equal ids by text."""
-    return sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    """Descending ids, rows without id last; equal ids by the signed hash of the text, descending."""
+
+    def signed(t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return h - 2**64 if h >> 63 else h
+
+    return sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is None, -(r[0] or 0), -signed(r[1]), r[1]))
 
 
 def test_entropy_bins():
@@ -85,3 +91,16 @@ def test_one_and_none(spark):
     assert G.fingerprints(one.where("doc_id < 0")).count() == 0
     nulls = spark.createDataFrame([(None, None), (None, "b"), (None, "a")], "doc_id long, text string")
     assert sorted(r.n_chars for r in G.fingerprints(nulls).collect()) == [0, 1, 1]
+
+
+def test_one_id_over_many_partitions(spark):
+    rows = [(None if i % 3 else 7, f"text {i} " + "x" * (i % 90)) for i in range(400)] + [(i, f"own {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = G.with_next(df).where("not ahead").groupBy("part").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 250
+    order = in_order(rows)
+    want = []
+    for (i, t), (_, n) in zip(order, [*order[1:], order[0]]):
+        k = len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in G.fingerprints(df).collect())
