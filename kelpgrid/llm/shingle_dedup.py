@@ -1,10 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-Texts of one set of shingles are one node. Nodes that may be alike share a band of their MinHash
-signature: of 240 minima in 48 bands of five, a pair at similarity 0.8 shares none with probability
-5e-9, a more similar pair with less. Pairs that share a band are verified by the exact similarity of
-their whole sets: first neighbours within a band, which connect large groups by a number of pairs
-that grows with their size, then all pairs of a band whose nodes are not yet connected.
+"""The pipeline's form of the SimHash operator: near copies by the Jaccard similarity of word shingles.
+
+Texts of one set of shingles are one node. Candidates are the links of the nodes' SimHash fingerprints found by
+multi-index hashing, verified by the exact similarity of the whole sets. No radius of 64-bit
+fingerprints covers a similarity of 0.8, so what they miss is completed: nodes that may be alike share a band
+of their MinHash signature (of 240 minima in 48 bands of five, a pair at similarity 0.8 shares none with
+probability 5e-9, a more similar pair with less). Neighbours within a band are verified first, which connects large groups
+by a number of pairs that grows with their size, then all pairs of a band whose nodes are not yet connected.
 """
 
 from __future__ import annotations
@@ -19,25 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.llm.components import components
-from kelpgrid.llm.simhash_dedup import keep_rows, row_key
-from kelpgrid.llm.staging import stage
+from kelpgrid.llm.simhash_dedup import keep_rows, links, majority, row_key, shingle_hashes
+from kelpgrid.llm.staging import id_text, stage, with_long_id
 
 BANDS, ROWS = 48, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct XXH64 of a text's shingles, words and shingles as in :func:`simhash`; none for wordless texts."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_digest
-    if len(tokens) <= words:
-        return np.frombuffer(digest(joined, seed), np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())])
-    return np.unique(np.frombuffer(hashes, np.uint64))
+    """The sorted distinct XXH64 of a text's shingles, as in :func:`shingle_hashes`; none for wordless texts."""
+    return np.unique(np.frombuffer(shingle_hashes(text, words, seed), np.uint64))
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -56,20 +48,25 @@ def _signed(x: int) -> int:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id, key, node, n, bands`` of each row."""
+    """``doc_id, key, node, n, fp, bands`` of each row; a node is a 128-bit hash of a set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            nodes, sizes, bands = [], [], []
-            for text in rows.text:
-                found = shingle_set(text, words)
-                nodes.append(_signed(xxhash.xxh64_intdigest(found.tobytes())))
-                sizes.append(len(found))
-                bands.append(band_keys(found))
-            yield pd.DataFrame({"doc_id": rows.doc_id, "key": rows.key, "node": np.array(nodes, np.int64), "n": np.array(sizes, np.int64), "bands": bands})
-
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, key long, node long, n long, bands array<long>")
+            hashes = [shingle_hashes(t, words) for t in rows.text]
+            sets = [np.unique(np.frombuffer(h, np.uint64)) for h in hashes]
+            yield pd.DataFrame(
+                {
+                    "doc_id": rows.doc_id,
+                    "key": rows.key,
+                    "node": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
+                    "n": np.fromiter(map(len, sets), np.int64, len(sets)),
+                    "fp": np.array([_signed(majority(h)) for h in hashes], np.int64),
+                    "bands": list(map(band_keys, sets)),
+                }
+            )
+
+    picked = docs.select(id_text(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return with_long_id(picked.mapInPandas(run, "doc_id string, key string, node binary, n long, fp long, bands array<long>"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -82,7 +79,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
                 yield pd.DataFrame({"node": some.node, "shingles": [shingle_set(t, words).view(np.int64) for t in some.text]})
 
     keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return keyed.join(nodes, "key").select("node", "text").mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return keyed.join(nodes, "key").select("node", "text").mapInPandas(run, "node binary, shingles array<long>").dropDuplicates(["node"])
+
+
+def _by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
+    """``u, v``: each node with the least one of its fingerprint, and the least ones of linked fingerprints."""
+    least = stage(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    found = links(least, radius)
+    for end in ("u", "v"):
+        found = found.join(least.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
+    same = nodes.join(least, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    return found.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(same)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -93,13 +100,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(alike).select("u", "v")
 
 
-def _edges(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, words: int, least: Fraction) -> DataFrame:
+def _edges(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, words: int, least: Fraction, radius: int) -> DataFrame:
     """``u, v``: verified pairs of nodes that connect all pairs at least as alike as ``least``."""
-    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("key").alias("key"))
+    nodes = marked.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"), F.min("key").alias("key"))
     table = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = table.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     table = stage(table.join(shared, "band"), "bands")
-    wanted = nodes.select("node", "key").join(table.select("node").distinct(), "node")
+    near = stage(_by_fingerprint(nodes.select("node", "fp"), radius), "near")
+    some = table.select("node").unionByName(near.select(F.col("u").alias("node"))).unionByName(near.select(F.col("v").alias("node"))).distinct()
+    wanted = nodes.select("node", "key").join(some, "node")
     sets = stage(_sets(docs, wanted, id_col, text_col, words), "sets")
 
     def fits(m: str, n: str):  # sets of sizes further apart than this cannot be as alike
@@ -108,7 +117,8 @@ def _edges(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, words
     order = Window.partitionBy("band").orderBy("n", "node")
     after = table.withColumns({"v": F.lead("node").over(order), "vn": F.lead("n").over(order)}).where(F.col("v").isNotNull() & fits("n", "vn"))
     ends = lambda u, v: (F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
-    first = stage(_verified(after.select(*ends("node", "v")).distinct(), sets, least), "pairs")
+    pairs = after.select(*ends("node", "v")).unionByName(near.select(*ends("u", "v"))).distinct()
+    first = stage(_verified(pairs, sets, least), "pairs")
 
     rooted = table.join(components(first), "node", "left").select("band", "n", "node", F.coalesce("root", "node").alias("root"))
     parted = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
@@ -119,13 +129,13 @@ def _edges(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, words
     return first.unionByName(_verified(rest, sets, least))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: str = "0.8") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: str = "0.8", radius: int = 4) -> DataFrame:
     """One row of each component, that of the smallest id (rows without id last), with all columns of ``docs``.
 
     Rows link if the sets of their shingles have a Jaccard similarity of ``least`` or more; rows without words link to
-    each other only.
+    each other only. Equal rows are one; null texts have no words; an empty table gives an empty result.
     """
     marked = stage(_marked(docs, id_col, text_col, words), "signatures")
-    roots = components(_edges(docs, marked, id_col, text_col, words, Fraction(least))).withColumnRenamed("node", "node_")
+    roots = components(_edges(docs, marked, id_col, text_col, words, Fraction(least), radius)).withColumnRenamed("node", "node_")
     rooted = marked.select("doc_id", "key", "node").join(roots, F.col("node") == F.col("node_"), "left")
     return keep_rows(docs, rooted.select("doc_id", "key", F.coalesce("root", "node").alias("root")), id_col, text_col)

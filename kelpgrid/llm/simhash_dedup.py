@@ -20,25 +20,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.llm.components import components
-from kelpgrid.llm.staging import shuffle_partitions, stage
+from kelpgrid.llm.staging import id_text, shuffle_partitions, stage, with_long_id
 
 
-def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit fingerprint of one text as an unsigned integer.
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> bytes:
+    """The XXH64 of each shingle of a text, repeats included, as eight big-endian bytes; none for null and wordless texts.
 
     A-Z are lower-cased, words are split at space and U+0009-000D, shingles are ``words`` words joined
-    by spaces, with repeats (fewer words: all of them). A bit is set if it is set in over half of
-    the shingles' XXH64. Null and wordless texts give zero.
+    by spaces (fewer words: all of them).
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return b""
+    joined, digest = b" ".join(tokens), xxhash.xxh64_digest
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), seed)
+        return digest(joined, seed)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -words] + 1]).tolist()
-    joined, digest = b" ".join(tokens), xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())])
+    starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())])
+
+
+def majority(hashes: bytes) -> int:
+    """The 64-bit fingerprint, as an unsigned integer: a bit is set if it is set in over half of the hashes; zero if there are none."""
     n, counts = len(hashes) // 8, np.zeros(64, np.int64)
     rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
     for at in range(0, n, 1 << 15):
@@ -46,13 +49,19 @@ def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one whole text; null and wordless texts have zero."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A hash that tells rows apart, as ids may be null or repeated; equal rows share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """128 bits of hash, as text, that tell rows apart, as ids may be null or repeated; equal rows share them."""
+    columns = F.col(id_col).cast("long"), F.col(text_col)
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), *columns)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -62,8 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows.doc_id, "key": rows.key, "fp": np.array([_signed(simhash(t, words)) for t in rows.text], np.int64)})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, key long, fp long")
+    picked = docs.select(id_text(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return with_long_id(picked.mapInPandas(run, "doc_id string, key string, fp long"))
 
 
 def ball_masks(width: int, radius: int) -> list[int]:
@@ -73,7 +82,7 @@ def ball_masks(width: int, radius: int) -> list[int]:
 
 def _spanning(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links at most ``radius`` apart: breadth first, each value leaves the rest once reached."""
-    found, rest = [], values.view(np.uint64)
+    found, rest = [], np.unique(values)
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
@@ -99,11 +108,13 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 2, fp_col: str =
         part = F.shiftrightunsigned(F.col("fp"), segment * width).bitwiseAND(F.lit(_signed(low & (1 << 64) - 1)))
         return F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: F.struct(F.lit(segment).alias("segment"), part.bitwiseXOR(m).alias("key")))
 
+    parts = shuffle_partitions(distinct.sparkSession)
     table = (
         distinct.select(F.col(fp_col).alias("fp"))
+        .repartition(parts, "fp")  # few bytes, but each becomes many members
         .select("fp", F.explode(F.concat(*[members(s) for s in range(segments)])).alias("m"))
         .select("m.segment", "m.key", "fp")
-        .repartition(shuffle_partitions(distinct.sparkSession), "segment", "key")
+        .repartition(parts, "segment", "key")
         .sortWithinPartitions("segment", "key")
     )
 
@@ -114,16 +125,21 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 2, fp_col: str =
         def edges(segment: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (segment[1:] != segment[:-1])) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+            size, bits = ends - starts, fp.view(np.uint64)
+            two = starts[size == 2]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= radius]
+            found = [np.stack([bits[two], bits[two + 1]], 1)]
+            for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
+                found.append(np.array(_spanning(bits[a:b], radius), np.uint64).reshape(-1, 2))
             out = []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                for u, v in _spanning(np.unique(fp[a:b]), radius):
-                    pair = (int(u), int(v))
-                    if pair not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(pair)
-                        out.append(pair)
-            return pd.DataFrame({"u": np.array([u for u, _ in out], np.uint64).view(np.int64), "v": np.array([v for _, v in out], np.uint64).view(np.int64)})
+            for pair in map(tuple, np.concatenate(found).tolist()):
+                if pair not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(pair)
+                    out.append(pair)
+            pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
         for rows in batches:
             new = rows.segment.to_numpy(), rows.key.to_numpy(), rows.fp.to_numpy()
@@ -141,12 +157,17 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 2, fp_col: str =
 
 
 def _classes(marked: DataFrame, radius: int, segments: int) -> DataFrame:
-    """``fp, root, component_id`` of every fingerprint."""
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least, radius, segments))
-    named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(names, "root").select("fp", "root", "component_id")
+    """``fp, root``: the node of the component's least doc_id, for every fingerprint.
+
+    A node is a fingerprint with the least doc_id that has it (none comes last), so that the least node of a component
+    names it, however many fingerprints it has.
+    """
+    least = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("id")).select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "fp").alias("node")), "nodes")
+    ends = links(least, radius, segments)
+    for end in ("u", "v"):
+        ends = ends.join(least.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
+    roots = components(ends.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))).withColumnRenamed("node", "from")
+    return least.join(roots, F.col("node") == F.col("from"), "left").select("fp", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
@@ -159,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
     found = marked.join(_classes(marked, radius, segments), "fp")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("root.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:

@@ -67,7 +67,7 @@ def texts():
 
 def test_components_against_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(texts())]
-    rows += [rows[0], (None, "alone text of nobody here"), (None, rows[1][1])]
+    rows += [rows[0], (None, "alone text of nobody here"), (None, rows[1][1]), (2**63 - 1, rows[2][1]), (2**53 + 1, "some other text of an id that no double holds"), (2**53 + 3, "yet another such text"), (-5, rows[3][1])]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, fingerprint string, key int")
     got = sorted((r.doc_id is None, r.doc_id, r.fingerprint, r.component_id) for r in S.near_duplicates(df).collect())
