@@ -5,11 +5,13 @@ that is to give t words gives t / block slots: whole passes over all its blocks,
 For every output shard the numbers of slots of the sources are drawn from a multinomial; the slots
 of a source, counted through the shards, are mapped to blocks by a pseudorandom permutation of the
 source's own, another one each pass, and joined with the blocks by index. Draws beyond a source's
-slots are void, and what the draws leave open fills a last shard, so that totals are met to the word.
+slots are void, and what the draws leave open fills further shards, so that totals are met to the word.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from kelpgrid.llm.staging import shuffle_partitions, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Parts that a source's documents are ordered in, so that no task sorts a whole source.
-SALTS = 1024
+WORD = re.compile(WORDS)
+#: Rows that one task orders, and shards whose counts one task adds up.
+ROWS_A_PART, SHARDS_A_PART = 100_000, 4096
 
 
 def target_sizes(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -78,15 +81,21 @@ class SourcePlan:
         self.a_pass = self.full + (self.tail > 0)
         self.slots = self.passes * self.a_pass + self.blocks + (self.rest > 0)
 
-    def take(self, slots: np.ndarray, block: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Block and number of words of each slot; the incomplete block is the last of a pass."""
+    def take(self, slots: np.ndarray, block: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pass, block and number of words of each slot.
+
+        A whole pass permutes all blocks, the incomplete one among them; the part of a pass takes whole blocks only, so that
+        its words come out right, and the incomplete one if all others are taken.
+        """
         turn, i = slots // self.a_pass, slots % self.a_pass
         out = i.copy()
         for t in np.unique(turn).tolist():
-            mine = (turn == t) & (i < self.full)
-            out[mine] = permuted(i[mine], self.full, (seed * 1_000_003 + self.number) * 64 + t % 64)
+            n = self.a_pass if t < self.passes else self.full
+            mine = (turn == t) & (i < n)
+            key = hashlib.blake2b(f"{seed}:{self.number}:{t}".encode(), digest_size=7).digest()
+            out[mine] = permuted(i[mine], n, int.from_bytes(key, "big"))
         words = np.where(out == self.full, self.tail, block)
-        return out, np.where((slots == self.slots - 1) & (self.rest > 0), self.rest, words)
+        return turn, out, np.where((slots == self.slots - 1) & (self.rest > 0), self.rest, words)
 
 
 class Mixture:
@@ -113,7 +122,7 @@ class Mixture:
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
         sized = self.keyed(docs).select(F.col("mix_key").alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
         sized = stage(sized, "sizes")
-        totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+        totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
         if len(totals) > max_sources:
             raise ValueError(f"more than {max_sources} sources")
         totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
@@ -121,26 +130,32 @@ class Mixture:
         self.plans = [SourcePlan(i, r.n, t, block) for i, (r, t) in enumerate(zip(totals, targets))]
         rows = [(i, r.source, r.n, float(t)) for i, (r, t) in enumerate(zip(totals, targets))]
         self.sources = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double")
-        self.placed = self._placed(sized)
+        self.placed = self._placed(sized, 16 + max((r.rows for r in totals), default=0) // ROWS_A_PART)
 
     def keyed(self, docs: DataFrame) -> DataFrame:
-        """``mix_key`` (a hash of a row's id, source and text) before all columns of ``docs``."""
-        return docs.select(F.xxhash64(*self.columns[::2], self.columns[1]).alias("mix_key"), "*")
+        """``mix_key`` (128 bits of hash of a row's id, source and text) before all columns of ``docs``."""
+        columns = [F.col(self.columns[0]).cast("long"), F.col(self.columns[2]).cast("string"), F.col(self.columns[1])]
+        return docs.select(F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b")).alias("mix_key"), "*")
 
-    def _placed(self, sized: DataFrame) -> DataFrame:
-        """``key, doc_id, source_no, size, at``: where each document's words begin in its source."""
+    def _placed(self, sized: DataFrame, salts: int) -> DataFrame:
+        """``key, doc_id, source_no, size, at``: where each document's words begin in its source.
+
+        A source is ordered in ``salts`` parts; equal rows are counted before and stand one after the other.
+        """
         numbered = sized.join(F.broadcast(self.sources.select("source_no", F.col("source").alias("name"))), F.col("source").eqNullSafe(F.col("name")))
-        numbered = numbered.select("key", "doc_id", "source_no", "size", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
-        parts = numbered.groupBy("source_no", "salt").agg(F.sum("size").alias("n"))
+        numbered = numbered.groupBy("source_no", "key", "doc_id", "size").agg(F.count("*").alias("copies"))
+        numbered = numbered.withColumns({"salt": F.pmod("key.a", F.lit(salts)).cast("int"), "n": F.col("size") * F.col("copies")})
+        parts = numbered.groupBy("source_no", "salt").agg(F.sum("n").alias("n"))
         before = Window.partitionBy("source_no").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.select("source_no", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
         inner = Window.partitionBy("source_no", "salt").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        run = numbered.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-        placed = run.join(parts, ["source_no", "salt"]).select("key", "doc_id", "source_no", "size", (F.col("base") + F.col("inner")).alias("at"))
-        return stage(placed, "placed")
+        run = numbered.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(parts, ["source_no", "salt"])
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+        run = run.withColumn("copy", copy)
+        return stage(run.select("key", "doc_id", "source_no", "size", (F.col("base") + F.col("inner") + F.col("copy") * F.col("size")).alias("at")), "placed")
 
     def _slots(self) -> DataFrame:
-        """``source_no, block, shard, slot, words`` of every slot of the mixture."""
+        """``source_no, turn, block, shard, slot, words`` of every slot of the mixture; turn is the pass over the source."""
         spark = self.sources.sparkSession
         plans, block, seed, size = self.plans, self.block, self.seed, self.shard
         total = sum(p.slots for p in plans)
@@ -163,28 +178,40 @@ class Mixture:
                         i = np.arange(a, min(a + (1 << 17), int(ends[-1])))
                         row = np.searchsorted(ends, i, "right")
                         slots = first[row] + i - (ends[row] - n[row])
-                        blocks, words = plans[no].take(slots, block, seed)
-                        yield pd.DataFrame({"source_no": no, "block": blocks, "shard": shard[row], "slot": slots, "words": words})
+                        turn, blocks, words = plans[no].take(slots, block, seed)
+                        yield pd.DataFrame({"source_no": no, "turn": turn, "block": blocks, "shard": shard[row], "slot": slots, "words": words})
 
         drawn = spark.range(shards).mapInPandas(draw, "shard long, source_no int, n long")
-        before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        wanted = spark.createDataFrame([(p.number, p.slots) for p in plans], "source_no int, slots long")
-        drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(wanted), "source_no")
-        drawn = stage(drawn.withColumn("n", F.least("n", F.greatest(F.col("slots") - F.col("first"), F.lit(0)))), "drawn")
-        short = F.broadcast(wanted).join(drawn.groupBy("source_no").agg(F.sum("n").alias("had")), "source_no", "left")
-        last = short.select(F.lit(shards).cast("long").alias("shard"), "source_no", F.coalesce("had", F.lit(0)).alias("first"), (F.col("slots") - F.coalesce("had", F.lit(0))).alias("n"))
-        both = drawn.select("shard", "source_no", "first", "n").unionByName(last).where("n > 0")
+        group = F.floor(F.col("shard") / SHARDS_A_PART)  # the sums over shards are made in two steps
+        drawn = stage(drawn.withColumn("group", group), "drawn")
+        before = Window.partitionBy("source_no").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+        groups = drawn.groupBy("source_no", "group").agg(F.sum("n").alias("n"))
+        groups = groups.select("source_no", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        inner = Window.partitionBy("source_no", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = F.broadcast(spark.createDataFrame([(p.number, p.slots) for p in plans], "source_no int, slots long"))
+        placed = drawn.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(groups, ["source_no", "group"]).join(wanted, "source_no")
+        placed = placed.withColumn("first", F.col("base") + F.col("inner"))
+        placed = placed.select("shard", "source_no", "first", F.least("n", F.greatest(F.col("slots") - F.col("first"), F.lit(0))).alias("n"))
+        had = drawn.groupBy("source_no").agg(F.sum("n").alias("had"))
+        open_ = wanted.join(had, "source_no", "left").select("source_no", F.least("slots", F.coalesce("had", F.lit(0))).alias("first"), "slots")
+        open_ = open_.withColumn("left", F.col("slots") - F.col("first")).where("left > 0")
+        open_ = open_.withColumn("o", F.expr("coalesce(sum(left) over (order by source_no rows between unbounded preceding and 1 preceding), 0)"))  # a row for each source
+        nth, width = F.col("nth"), F.lit(size)
+        open_ = open_.withColumn("nth", F.explode(F.sequence(F.floor(F.col("o") / width), F.floor((F.col("o") + F.col("left") - 1) / width))))
+        a, b = F.greatest("o", nth * width), F.least(F.col("o") + F.col("left"), (nth + 1) * width)
+        last = open_.select((nth + shards).cast("long").alias("shard"), "source_no", (F.col("first") + a - F.col("o")).alias("first"), (b - a).alias("n"))
+        both = placed.unionByName(last).where("n > 0")
         both = both.repartition(shuffle_partitions(spark), "source_no", "shard")  # few bytes, but many slots
-        return both.mapInPandas(explode, "source_no int, block long, shard long, slot long, words long")
+        return both.mapInPandas(explode, "source_no int, turn long, block long, shard long, slot long, words long")
 
     def pieces(self) -> DataFrame:
-        """``shard, slot, source_no, at, key, doc_id, start, n``: n words from word ``start`` of a document, in a slot of a shard."""
+        """``shard, slot, turn, source_no, at, key, doc_id, start, n``: n words from word ``start`` of a document, in a slot of a shard."""
         block, end = F.lit(self.block), F.col("at") + F.col("size")
         blocks = self.placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))))
         a = F.greatest("at", F.col("block") * block)
         b = F.least(end, F.col("block") * block + F.col("words"))
         joined = blocks.join(self._slots(), ["source_no", "block"])
-        return joined.select("shard", "slot", "source_no", "at", "key", "doc_id", (a - F.col("at")).alias("start"), (b - a).alias("n")).where("n > 0")
+        return joined.select("shard", "slot", "turn", "source_no", "at", "key", "doc_id", (a - F.col("at")).alias("start"), (b - a).alias("n")).where("n > 0")
 
     def taken(self) -> DataFrame:
         """``doc_id, size, source_size, target, taken`` of every row; rows of no words take none."""
@@ -194,23 +221,39 @@ class Mixture:
         return named.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def texts(self, docs: DataFrame) -> DataFrame:
-        """The documents that the mixture takes words of, with those words as text, in the order of the slots.
+        """The documents that the mixture takes words of, with those words as text.
 
-        All columns of ``docs`` are kept; ``n_chars``, if there, is recounted. Equal rows become one, which has
-        what all of them gave.
+        A row has, pass after pass, the words taken of it in their order; words that follow each other in the document are cut
+        out of it as one piece, with the white space between them, and pieces are parted by a line end. All columns
+        of ``docs`` are kept; ``n_chars``, if there, is recounted. Repeated rows are rows of their own.
         """
         _, text_col, _ = self.columns
         kept = docs.columns
-        lists = self.pieces().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "slot", "start", "n"))).alias("cuts"))
-        rows = self.keyed(docs).join(lists.withColumnRenamed("key", "mix_key"), "mix_key").dropDuplicates(["mix_key"])
-        words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORDS})"), F.lit(1))
-        joined = lambda all_words: F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(all_words, (c.start + 1).cast("int"), c.n.cast("int")))), " ")
-        out = rows.withColumn(text_col, F.transform(F.array(words), joined)[0])  # bound once: the words are not split again for every cut
+
+        @F.pandas_udf("string")
+        def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+            return pd.Series([cut_out(t, [(c["turn"], c["start"], c["n"]) for c in of]) for t, of in zip(texts, cuts)], dtype=object)
+
+        lists = self.pieces().groupBy("key", "at").agg(F.array_sort(F.collect_list(F.struct("turn", "start", "n"))).alias("mix_cuts"))
+        rows = self.keyed(docs).dropDuplicates(["mix_key"]).join(lists.withColumnRenamed("key", "mix_key"), "mix_key")
+        out = rows.withColumn(text_col, cut(F.col(text_col), F.col("mix_cuts")))
         if "n_chars" in kept:
             out = out.withColumn("n_chars", F.length(text_col).cast("long"))
         return out.select(*kept)
 
 
+def cut_out(text: str, cuts: list[tuple[int, int, int]]) -> str:
+    """The words that ``cuts`` (pass, first word, number of words; in order) take of a text; a pass that takes all gives the text as it is."""
+    runs: list[list[int]] = []
+    for turn, start, n in cuts:
+        if runs and runs[-1][0] == turn and runs[-1][2] == start:
+            runs[-1][2] += n
+        else:
+            runs.append([turn, start, start + n])
+    spans = [m.span() for m in WORD.finditer(text)]
+    return "\n".join(text if a == 0 and b == len(spans) else text[spans[a][0] : spans[b - 1][1]] for _, a, b in runs)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row of ``docs``; see :class:`Mixture`.
 

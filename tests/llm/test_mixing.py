@@ -48,7 +48,7 @@ def documents(n=300):
         source = None if i % 37 == 0 else f"s{i % 5 if i % 3 else 0}"
         text = rng.choice([None, "", " \t\n"]) if i % 29 == 0 else " ".join(f"w{i}.{k}" for k in range(rng.randint(1, 400)))
         rows.append((i, text, source, "en", -1, "clash", 7))
-    return [*rows, rows[5], (None, "words without id", "s1", "en", 0, "", 1), (900, "x " * 9000, "s4", "de", 1, "", 2)]
+    return [*rows, rows[5], (None, "words without id", "s1", "en", 0, "", 1), (2**63 - 1, "greatest id", "s1", "en", 0, "", 1), (2**53 + 1, "odd id", "s2", "en", 0, "", 1), (900, "x " * 9000, "s4", "de", 1, "", 2)]
 
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, key string, size int"
@@ -95,10 +95,62 @@ def test_shards_and_texts(spark):
     given = Counter()
     for p in pieces:
         given[p.doc_id] += p.n
+    taken = Counter()
     for r in texts.collect():
-        assert len(words(r.text)) == given[r.doc_id] and r.n_chars == len(r.text)
-        own = set(words(next(x[1] for x in rows if x[0] == r.doc_id)))
-        assert set(words(r.text)) <= own
+        assert r.n_chars == len(r.text)
+        taken[r.doc_id] += len(words(r.text))
+        own = next(x[1] for x in rows if x[0] == r.doc_id)
+        assert all(part in own for part in (r.text,)) or "\n" in r.text
+    assert taken == +given
+
+
+def test_texts_keep_order_and_line_ends(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        n = rng.randint(1, 900)
+        rows.append((i, "".join(f"w{i}.{k}" + rng.choice([" ", "\n", "\n\n", "\t"]) for k in range(n)), f"s{i % 3}", "en", 0, "", 1))
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = M.Mixture(df, weights=(5, 2, 0.5), block=16, shard=8).texts(df).collect()
+    text_of = {r[0]: r[1] for r in rows}
+    whole = 0
+    for r in got:
+        own = text_of[r.doc_id]
+        if r.text in (own, own + "\n" + own):
+            whole += 1
+            continue
+        at = [int(w.split(".")[1]) for w in words(r.text)]
+        falls = sum(b <= a for a, b in zip(at, at[1:]))
+        assert falls <= 1  # at most two passes, each in order
+        for a, b in zip(at, at[1:]):
+            if b == a + 1:  # what lies between neighbours is as in the document
+                assert re.search(rf"w{r.doc_id}\.{a}\s+w{r.doc_id}\.{b}\b", own).group() in r.text
+    assert whole > 20
+    assert sum(r.doc_id == 0 for r in got) == 2
+
+
+def test_cut_out():
+    text = " a b\nc  d e\n"
+    assert M.cut_out(text, [(0, 0, 5)]) == text
+    assert M.cut_out(text, [(0, 0, 2), (0, 2, 3), (1, 0, 5)]) == text + "\n" + text
+    assert M.cut_out(text, [(0, 1, 2), (0, 4, 1), (1, 2, 2)]) == "b\nc\ne\nc  d"
+
+
+def test_passes_take_every_block():
+    plan = M.SourcePlan(3, 1000, 2600.0, 64)
+    turn, block, words_ = plan.take(np.arange(plan.slots), 64, 17)
+    assert words_.sum() == 2600 and turn.max() == 2
+    for t in (0, 1):
+        assert sorted(block[turn == t].tolist()) == list(range(16)) and words_[turn == t].sum() == 1000
+    assert block[turn == 0].tolist() != block[turn == 1].tolist() and block[turn == 0][-1] + block[turn == 1][-1] != 30
+    assert len(set(block[turn == 2].tolist())) == (turn == 2).sum()
+
+
+def test_shards_are_of_the_set_size(spark):
+    df = spark.createDataFrame(documents(), SCHEMA)
+    sizes = Counter(r.shard for r in M.Mixture(df, block=4, shard=64)._slots().collect())
+    assert max(sizes.values()) <= 64 and sum(sizes.values()) > 64 * 50
 
 
 def test_empty(spark):
