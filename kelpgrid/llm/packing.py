@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.staging import shuffle_partitions, stage
+from kelpgrid.llm.staging import id_text, shuffle_partitions, stage, with_long_id
 from kelpgrid.llm.tokens import word_tokenizer
 
 NO_SOURCE = "￿"  # rows without a source form one queue, served last
@@ -70,45 +70,47 @@ def deficit_round_robin(queues: dict[str, deque], credit: dict[str, float], shar
         turn = (turn + 1) % max(1, len(order))
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, lanes: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int = 1) -> DataFrame:
-    """``lane, source, doc_id, n, ids`` of every row: its ids and the closing one; a null text is empty."""
+def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int = 1) -> DataFrame:
+    """``source, doc_id, deal, n, ids`` of every row: its ids and the closing one; a null text is empty.
+
+    ``deal`` is a hash that rows are dealt by; equal rows of one batch get one each, so that a row that is repeated often does not fill a lane.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4")
+        tokenizer = word_tokenizer(tokenizer_path)
+        end, wide = np.array([end_id], tokenizer.dtype).tobytes(), tokenizer.dtype.itemsize == 4
         for rows in batches:
-            ids = [np.concatenate([tokenizer.ids(t), end]) for t in rows.text]
-            small = [x.astype("<u2").tobytes() if int(x.max()) < 1 << 16 else b"\xff" + x.tobytes() for x in ids]  # an odd length marks the wide form
-            yield pd.DataFrame({"lane": rows.lane, "source": rows.source, "doc_id": rows.doc_id, "n": [len(x) for x in ids], "ids": small})
+            ids = [d + end for d in tokenizer.encoded(rows.text.tolist())]
+            deal, seen = [], {}
+            for i, d in zip(rows.doc_id, ids):
+                own = f"{i}:{zlib.crc32(d)}"
+                nth = seen[own] = seen.get(own, -1) + 1
+                deal.append(zlib.crc32(f"{own}:{nth}".encode()))
+            n = [len(d) // tokenizer.dtype.itemsize for d in ids]
+            yield pd.DataFrame({"source": rows.source, "doc_id": rows.doc_id, "deal": deal, "n": n, "ids": [b"\xff" + d for d in ids] if wide else ids})  # an odd length marks the wide form
 
     picked = docs.select(
-        F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(lanes)).cast("int").alias("lane"),
         F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"),
-        F.col(id_col).cast("long").alias("doc_id"),
+        id_text(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
     )
-    return picked.mapInPandas(run, "lane int, source string, doc_id long, n long, ids binary")
+    return with_long_id(picked.mapInPandas(run, "source string, doc_id string, deal long, n long, ids binary"))
 
 
 def _ids(data: bytes) -> np.ndarray:
     return np.frombuffer(data[1:], "<u4") if len(data) % 2 else np.frombuffer(data, "<u2").astype("<u4")
 
 
-def _starts(tokens: DataFrame, window: int, targets: dict[str, float] | None) -> DataFrame:
+def _starts(laned: DataFrame, window: int, shares: DataFrame) -> DataFrame:
     """``lane, sequence, credit``: the first sequence of each lane and what it starts with, ``source, share, credit``."""
-    held = tokens.groupBy("source", "lane").agg(F.sum("n").alias("n"))
-    sources = held.groupBy("source").agg(F.sum("n").cast("double").alias("weight"))
-    if targets is not None:
-        given = tokens.sparkSession.createDataFrame([(NO_SOURCE if s is None else s, float(w)) for s, w in targets.items()], "source string, weight double")
-        sources = sources.select("source").join(given, "source", "left").na.fill(0.0, ["weight"])
-    total = F.expr("sum(weight) over ()")  # a row for each source
-    shares = sources.select("source", F.when(total > 0, F.col("weight") / total).otherwise(0.0).alias("share"))
+    held = laned.groupBy("source", "lane").agg(F.sum("n").alias("n"))
     totals = held.groupBy("lane").agg(F.sum("n").alias("lane_n"))
     count = F.floor(F.col("lane_n") / window) + F.bit_count(F.col("lane_n") % window)
     before = "order by lane rows between unbounded preceding and 1 preceding"
     totals = totals.withColumn("sequences", count.cast("long"))  # a row for each lane
     totals = totals.select("lane", F.expr(f"coalesce(sum(lane_n) over ({before}), 0)").alias("tokens_before"), F.expr(f"coalesce(sum(sequences) over ({before}), 0)").alias("sequence"))
     own = held.withColumn("own_before", F.expr(f"coalesce(sum(n) over (partition by source {before}), 0)"))
-    own = own.join(shares, "source").join(totals, "lane")
+    own = own.join(F.broadcast(shares), "source").join(totals, "lane")
     return own.groupBy("lane").agg(
         F.min("sequence").alias("sequence"),
         F.collect_list(F.struct("source", "share", (F.col("share") * F.col("tokens_before") - F.col("own_before")).alias("credit"))).alias("credit"),
@@ -127,27 +129,40 @@ def pack(
     text_col: str = "text",
     source_col: str = "source",
     with_ids: bool = True,
+    lane_tokens: int = 8_000_000,
+    max_sources: int = 100_000,
 ) -> DataFrame:
     """The pieces that fill sequences of ``window`` tokens: ``doc_id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids``.
 
-    Every id of every row lies in exactly one piece. Documents are dealt to ``lanes`` (the shuffle partitions) by
-    a hash; a lane is one task and holds its tokens. ``targets`` gives each source's weight (None as key: rows
-    without source); by default the sources' shares of all tokens, so that all queues run dry together. All
-    tokens are packed whatever the targets. The last sequences of a lane have powers of two as lengths, so that
-    none needs padding. Null texts are empty documents of one token; repeated rows are packed each.
+    Every id of every row lies in exactly one piece. Documents are dealt to ``lanes`` by a hash: as many as the shuffle
+    partitions, and more where a lane would hold over ``lane_tokens`` tokens; a lane is one task and holds its tokens.
+    ``targets`` gives each source's weight (None as key: rows without source); by default the sources' shares of all
+    tokens, so that all queues run dry together. All tokens are packed whatever the targets. The last sequences of a
+    lane have powers of two as lengths, so that none needs padding. Null texts are empty documents of one token;
+    repeated rows are packed each; an empty table gives an empty result; other columns are not read. A source's
+    total is a row on the driver: more than ``max_sources`` raise.
     """
     spark = docs.sparkSession
-    lanes = lanes or shuffle_partitions(spark)
-    tokens = stage(tokenized(docs, tokenizer_path, lanes, id_col, text_col, source_col), "tokens")
-    starts = _starts(tokens, window, targets)
-    rows = tokens.withColumns({"sequence": F.lit(None).cast("long"), "credit": F.lit(None).cast("array<struct<source:string,share:double,credit:double>>")})
-    heads = starts.select("lane", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"), "sequence", "credit")
-    dealt = rows.unionByName(heads).repartitionById(lanes, F.col("lane")).sortWithinPartitions("lane", F.col("n").isNotNull(), F.xxhash64("doc_id"), "doc_id", "ids")
+    tokens = stage(tokenized(docs, tokenizer_path, id_col, text_col, source_col), "tokens")
+    totals = tokens.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()
+    if len(totals) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    given = None if targets is None else {NO_SOURCE if s is None else s: float(w) for s, w in targets.items()}
+    weights = {r.source: float(r.n) if given is None else given.get(r.source, 0.0) for r in totals}
+    whole = sum(weights.values())
+    shares = spark.createDataFrame([(s, w / whole if whole else 0.0) for s, w in weights.items()], "source string, share double")
+    lanes = lanes or max(shuffle_partitions(spark), -(-sum(r.n for r in totals) // lane_tokens))
+    laned = tokens.withColumn("lane", (F.col("deal") % lanes).cast("int"))
+    # The head of a lane has credit and no ids; it is told by them, not by a null id.
+    rows = laned.select("lane", "source", id_text("doc_id").alias("doc_id"), "deal", "ids", F.lit(None).cast("string").alias("sequence"), F.lit(None).cast("array<struct<source:string,share:double,credit:double>>").alias("credit"))
+    none = F.lit(None).cast("string")
+    heads = _starts(laned, window, shares).select("lane", none.alias("source"), none.alias("doc_id"), F.lit(-1).cast("long").alias("deal"), F.lit(None).cast("binary").alias("ids"), F.col("sequence").cast("string").alias("sequence"), "credit")
+    dealt = rows.unionByName(heads).repartitionById(lanes, F.col("lane")).sortWithinPartitions("lane", F.col("ids").isNotNull(), "deal", "doc_id", "ids")
 
     def pieces(first: int, credit: dict, share: dict, queued: list[tuple]) -> Iterator[pd.DataFrame]:
         queues: dict[str, deque] = {s: deque() for s in share}
         for k, (source, _, data) in enumerate(queued):
-            queues[source].append((k, 0, len(_ids(data))))
+            queues[source].append((k, 0, len(data) // 2 if len(data) % 2 == 0 else len(data) // 4))
         total = sum(end for q in queues.values() for _, _, end in q)
         opened: dict[int, np.ndarray] = {}
         out = []
@@ -168,22 +183,22 @@ def pack(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lane, first, credit, share, queued = None, 0, {}, {}, []
         for rows in batches:
-            for r in rows.itertuples(index=False):
-                if r.lane != lane:
+            for at, source, i, data, sequence, given_credit in zip(rows.lane, rows.source, rows.doc_id, rows.ids, rows.sequence, rows.credit):
+                if at != lane:
                     if queued:
                         yield from pieces(first, credit, share, queued)
-                    lane, first, queued = r.lane, int(r.sequence), []
-                    credit = {x["source"]: x["credit"] for x in r.credit}
-                    share = {x["source"]: x["share"] for x in r.credit}
+                    lane, first, queued = at, int(sequence), []
+                    credit = {x["source"]: x["credit"] for x in given_credit}
+                    share = {x["source"]: x["share"] for x in given_credit}
                 else:
-                    queued.append((r.source, None if pd.isna(r.doc_id) else int(r.doc_id), r.ids))
+                    queued.append((source, i, data))
         if queued:
             yield from pieces(first, credit, share, queued)
 
-    schema = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary"
-    return dealt.select("lane", "source", "doc_id", "ids", "sequence", "credit").mapInPandas(run, schema)
+    schema = "doc_id string, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary"
+    return with_long_id(dealt.select("lane", "source", "doc_id", "ids", "sequence", "credit").mapInPandas(run, schema))
 
 
 def _pieces(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"])
-    return out.astype({"doc_id": "Int64", "source": object, "ids": object})
+    return out.astype({"doc_id": object, "source": object, "ids": object})

@@ -25,7 +25,7 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = word_tokenizer(tokenizer_path)
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows.doc_id, "length": [len(tokenizer.ids(t)) for t in rows.text]})
+            yield pd.DataFrame({"doc_id": rows.doc_id, "length": [len(d) // tokenizer.dtype.itemsize for d in tokenizer.encoded(rows.text.tolist())]})
 
     picked = docs.select(id_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return with_long_id(picked.mapInPandas(run, "doc_id string, length long"))

@@ -63,7 +63,7 @@ def test_carried_credit_is_served_first():
 def documents():
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(["alpha", "Beta", "gamma.", "δ", "it's"], k=rng.randint(0, 300))), rng.choice(["s0", "s0", "s1", None]), "en", 0) for i in range(150)]
-    return [*rows, rows[3], (400, None, "s1", "en", 1), (401, "", "s2", "en", 1), (None, "no id", "s1", "en", 1), (402, "word " * 12_000, "s1", "en", 1)]
+    return [*rows, rows[3], (400, None, "s1", "en", 1), (401, "", "s2", "en", 1), (None, "no id", "s1", "en", 1), (402, "word " * 12_000, "s1", "en", 1), (2**63 - 1, "the greatest id", "s1", "en", 1), (2**53 + 1, "an odd id", "s0", "en", 1), (2**53 + 3, "an odd id", None, "en", 1)]
 
 
 SCHEMA = "doc_id long, text string, source string, lane string, n int"
@@ -106,3 +106,16 @@ def test_targets_and_empty(spark):
             early[r.source] += r.length
     assert early["s0"] / sum(early.values()) == pytest.approx(0.6, abs=0.05)
     assert P.pack(df.where("doc_id = -1"), PATH).count() == 0
+
+
+def test_lanes_follow_the_tokens(spark):
+    df = spark.createDataFrame(documents(), SCHEMA)
+    got = P.pack(df, PATH, window=256, lane_tokens=2000, with_ids=False)
+    plan = Counter(r.doc_id for r in got.select("doc_id", "start", "doc_tokens").collect())
+    assert set(plan) == {i for i, *_ in documents()}
+    many = spark.createDataFrame([(5, "the same row", "s0", "", 0)] * 400, SCHEMA)
+    deals = P.tokenized(many, PATH).select("deal").distinct().count()
+    assert deals > 90  # one row that is repeated is dealt to many lanes
+    assert sum(r.length for r in P.pack(many, PATH).collect()) == 400 * 4
+    with pytest.raises(ValueError):
+        P.pack(df, PATH, max_sources=2)
