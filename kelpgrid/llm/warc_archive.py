@@ -1,8 +1,9 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, one frame a record.
 
 Archives are written and read with Spark's own file sources, so that any file system Spark knows
-will do and lost tasks are simply written again. Each partition is one archive: the text writer puts
-its frames one after the other, parted by an empty skippable frame, which every reader passes over.
+will do and lost tasks are simply written again. A line of the text writer is a run of frames, and a file
+holds a set number of lines, parted by an empty skippable frame, which every reader passes over: an archive is
+bounded by its bytes, however large the partition is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.staging import bounded_sample, new_path, stage
+from kelpgrid.llm.staging import bounded_sample, id_text, new_path, stage, with_long_id
 
 # Magic numbers of the Zstandard frame format and the dictionary frame of .warc.zst.
 FRAME_MAGIC = 0xFD2FB528
@@ -45,11 +46,11 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
 
-def _record_id(page_id: int | None) -> str:
+def _record_id(page_id: int | str | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None) -> bytes:
+def record_bytes(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers_to: int | str | None = None) -> bytes:
     """One record: a response, or a revisit without payload if ``refers_to`` is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -118,8 +119,8 @@ def parse_record(data: bytes) -> dict:
     if not gap or not http.startswith(b"HTTP/"):
         raise ArchiveError(f"{headers['warc-record-id']}: no HTTP header")
     if headers["warc-type"] == "response":
-        said = next((x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
-        if int(said) != len(payload) or headers.get("warc-payload-digest") != f"sha256:{hashlib.sha256(payload).hexdigest()}":
+        said = next((x.split(b":")[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+        if not said.isdigit() or int(said) != len(payload) or headers.get("warc-payload-digest") != f"sha256:{hashlib.sha256(payload).hexdigest()}":
             raise ArchiveError(f"{headers['warc-record-id']}: wrong payload length or digest")
     elif headers["warc-type"] == "revisit" and ("warc-refers-to" not in headers or payload):
         raise ArchiveError(f"{headers['warc-record-id']}: a revisit refers to a record and has no payload")
@@ -144,14 +145,15 @@ def records(data: bytes) -> Iterator[dict]:
         at = end
 
 
-def _number(record_id: str | None) -> int | None:
+def _id_of(record_id: str | None) -> str | None:
     said = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
-    return None if said in ("", "null") else int(said)
+    return None if said in ("", "null") else said
 
 
-def write_archives(pages: DataFrame, path: str, level: int = 3, sample_rows: int = 512) -> None:
-    """Writes ``page_id, url, html, payload_digest, refers_to`` as archives below ``path``, one a partition.
+def write_archives(pages: DataFrame, path: str, level: int = 3, sample_rows: int = 512, line_bytes: int = 1 << 20, lines: int = 64) -> None:
+    """Writes ``page_id, url, html, payload_digest, refers_to`` as archives below ``path``.
 
+    An archive ends with the line that fills it: ``lines`` of ``line_bytes`` or little more, or of one record that is larger.
     The dictionary is trained on a sample bounded by ``sample_rows`` (least hashes of the page_id).
     """
     sample = bounded_sample(pages.select("page_id", F.substring("html", 1, 8192).alias("html")), "page_id", sample_rows).collect()
@@ -159,16 +161,22 @@ def write_archives(pages: DataFrame, path: str, level: int = 3, sample_rows: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = zstandard.ZstdCompressor(level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
-        first = [dictionary_frame(dictionary)]
+        done, held, size = 0, [], 0
         for rows in batches:
-            whole = lambda x: None if pd.isna(x) else int(x)
-            frames = [coder.compress(record_bytes(whole(i), u, (h or "").encode("utf-8", "surrogatepass"), d, whole(r))) for i, u, h, d, r in zip(rows.page_id, rows.url, rows.html, rows.payload_digest, rows.refers_to)]
-            yield pd.DataFrame({"frame": first + frames})
-            first = []
-
-    picked = pages.select("page_id", "url", "html", "payload_digest", "refers_to")
-    frames = picked.mapInPandas(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", EMPTY_FRAME.decode("ascii")).text(path)
+            for i, u, h, d, r in zip(rows.page_id, rows.url, rows.html, rows.payload_digest, rows.refers_to):
+                if not held and done % lines == 0:  # the first line of a file
+                    held.append(dictionary_frame(dictionary))
+                held.append(coder.compress(record_bytes(i, u, (h or "").encode("utf-8", "surrogatepass"), d, r)))
+                size += len(held[-1])
+                if size >= line_bytes:
+                    yield pd.DataFrame({"frames": [b"".join(held)]})
+                    done, held, size = done + 1, [], 0
+        if held:
+            yield pd.DataFrame({"frames": [b"".join(held)]})
+
+    picked = pages.select(id_text("page_id").alias("page_id"), "url", "html", "payload_digest", id_text("refers_to").alias("refers_to"))
+    frames = picked.mapInPandas(run, "frames binary").select(F.col("frames").cast("string").alias("value"))
+    frames.write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("maxRecordsPerFile", lines).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -181,24 +189,24 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for data in files.content:
-                held = []
+                held, size = [], 0
                 for r in records(bytes(data)):
                     own = r["warc-type"] == "response"
-                    held.append(
-                        (_number(r["warc-record-id"]), r.get("warc-target-uri"), r["warc-type"], _number(r.get("warc-refers-to")), len(r["payload"]) if own else None, r["warc-payload-digest"].removeprefix("sha256:"), r["payload"] if own and payloads else None)
-                    )
-                    if len(held) >= 512:
+                    n = str(len(r["payload"])) if own else None
+                    held.append((_id_of(r["warc-record-id"]), r.get("warc-target-uri"), r["warc-type"], _id_of(r.get("warc-refers-to")), n, r["warc-payload-digest"].removeprefix("sha256:"), r["payload"] if own and payloads else None))
+                    size += len(r["payload"])
+                    if len(held) >= 512 or size > 1 << 25:
                         yield _frame(held)
-                        held = []
+                        held, size = [], 0
                 yield _frame(held)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    found = files.mapInPandas(run, "page_id string, url string, record_type string, refers_to string, payload_bytes string, payload_digest string, payload binary")
+    return with_long_id(found, "page_id", "refers_to", "payload_bytes")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64", "url": object, "payload": object})
+    return pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"], dtype=object)
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:

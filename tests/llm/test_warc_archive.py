@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
 import struct
 
 import pytest
@@ -44,7 +46,7 @@ def test_headers_are_validated():
 
 def pages():
     same, short = "<p>" + "same " * 50, "short"
-    rows = [(5, "http://a", same), (3, "http://b", same), (9, None, same), (4, "u\nv", short), (2, "w", short), (7, None, None), (8, "x", ""), (None, "n", same), (3, "http://b", same), (11, "long", "é" * 300_000)]
+    rows = [(5, "http://a", same), (3, "http://b", same), (9, None, same), (4, "u\nv", short), (2, "w", short), (7, None, None), (8, "x", ""), (None, "n", same), (3, "http://b", same), (11, "long", "é" * 300_000), (2**63 - 1, "greatest", same), (2**53 + 1, "odd", "odd " * 40), (2**53 + 3, "odd again", "odd " * 40), (-4, "negative", "y" * 120)]
     return [(*r, "clash", 1) for r in rows]
 
 
@@ -74,5 +76,26 @@ def test_payloads_and_files(spark):
     assert all(d[:4] == struct.pack("<I", W.DICTIONARY_MAGIC) for d in raw if d)
 
 
+def test_archives_are_bounded(spark):
+    rng = random.Random(3)
+    rows = [(i, f"u{i}", "".join(rng.choices("abcdefgh <>/", k=rng.randint(0, 3000))), None, None) for i in range(300)]
+    df = W.with_revisits(spark.createDataFrame(rows, SCHEMA)).coalesce(1)
+    path = new_path(spark, "test")
+    W.write_archives(df, path, line_bytes=5000, lines=4)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
+    assert len(files) > 10 and max(len(f.content) for f in files) < 4 * 10_000 + 20_000
+    assert all(len(list(W.records(bytes(f.content)))) > 0 for f in files)
+    assert {(r.page_id, bytes(r.payload).decode()) for r in W.read_archives(spark, path).collect()} == {(i, h) for i, _, h, *_ in rows}
+
+
+def test_a_missing_length_is_an_archive_error():
+    bare = W.record_bytes(1, "u", b"abc", hashlib.sha256(b"abc").hexdigest())
+    head, _, rest = bare.partition(b"\r\n\r\n")
+    block = rest[:-4].replace(b"Content-Length: 3", b"X-Other-Len.th: 3")
+    head = re.sub(rb"WARC-Block-Digest: sha256:\w+", b"WARC-Block-Digest: sha256:" + hashlib.sha256(block).hexdigest().encode(), head)
+    with pytest.raises(W.ArchiveError):
+        W.parse_record(head + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
 def test_empty(spark):
     assert W.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
