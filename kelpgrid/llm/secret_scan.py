@@ -215,7 +215,7 @@ class FormatModel:
         return max(fit) - self.ordinary.log_likelihood(s) if fit else -math.inf
 
     def is_secret(self, s: str) -> bool:
-        return any(c in DIGITS for c in s) and any(c.isalpha() for c in s) and self.score(s) >= self.threshold
+        return self.score(s) >= self.threshold
 
     def parts(self, s: str, least: int = 16) -> list[tuple[int, int]]:
         """Ranges of s with the format of a credential, overlapping ones as one.
@@ -252,17 +252,25 @@ def scan(text: str, model: FormatModel) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    base = [(a, b) for a, b, _ in found]
+    base, at, end = sorted((a, b) for a, b, _ in found), 0, 0
+
+    def inside(a: int, b: int) -> bool:
+        """Whether a base span holds a .. b; asked with rising a, so that the spans are walked once."""
+        nonlocal at, end
+        while at < len(base) and base[at][0] <= a:
+            at, end = at + 1, max(end, base[at][1])
+        return end >= b
+
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if not any(c in s for c in DIGITS) or any(a <= m.start() and m.end() <= b for a, b in base):
+        if inside(m.start(), m.end()):
             continue
+        s = m.group()
         if model.is_secret(s.strip(".=-")):
             found.append((m.start(), m.end(), "format"))
             continue
         for i, j in model.parts(s):
             a, b = m.start() + i, m.start() + j
-            if not any(x <= a and b <= y for x, y in base):
+            if not inside(a, b):
                 found.append((a, b, "format"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most ``sample_rows`` labelled rows that are not held out (least hashes of the id).
 
     Only text and label are used. Rows without id, label or a document are not learned from; an id
-    labelled twice has its largest label. With one class only the score is that class for all.
+    labelled twice has its largest label, and of documents of one id one is learned from. With one class only the score is that class for all.
     """
     labelled = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -154,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             data = [np.array(_terms(t, words), np.int32).tobytes() for t in rows.text]
             yield pd.DataFrame({"id": rows.id.astype(str), "y": rows.y, "terms": data})
 
-    got = sorted(picked.mapInPandas(run, "id string, y int, terms binary").toLocalIterator())
+    # one row an id, however often a document is repeated
+    each = picked.mapInPandas(run, "id string, y int, terms binary").groupBy("id").agg(F.min(F.struct("y", "terms")).alias("r")).select("id", "r.y", "r.terms")
+    got = sorted(each.toLocalIterator())
     return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.y for r in got], float))
 
 
