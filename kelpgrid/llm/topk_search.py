@@ -2,10 +2,11 @@
 
 Vectors are scaled to integers. Every row keeps its distances to ``n_pivots`` pivots; for a query q
 and a row x, max over pivots p of |d(q, p) - d(x, p)| bounds d(q, x) from below, and so
-(|q|^2 + |x|^2 - bound^2) / 2 bounds the inner product from above. Rows are sorted into chunks of
-one nearest pivot and similar distance to it. A block of queries meets every chunk once: a chunk
-whose distance intervals exclude it is passed over for that query, the rows of the others are
-evaluated in the order of their bounds until the k-th best score exceeds the next bound.
+(|q|^2 + |x|^2 - bound^2) / 2 bounds the inner product from above. The table of distances is made once and travels
+with the rows. Rows and queries meet in a grid of lanes, each pair once; a lane is sorted by nearest pivot and
+distance to it and read as chunks, of which some are held at a time and visited in the order of their intervals' bounds.
+A chunk whose intervals exclude it is passed over for a query; of the others the rows of the highest
+bounds are evaluated first, then all that the k-th best score so far does not exclude.
 """
 
 from __future__ import annotations
@@ -55,116 +56,151 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * (x @ p.T), 0))
 
 
-def _margin(*norms: np.ndarray) -> float:
-    """Above the rounding error of a bound made from squared norms of this size."""
-    return 1e-6 * (1 + sum(float(n.max(initial=0)) for n in norms))
-
-
-class _Best:
-    """The k best (score, smaller id) of each query so far."""
-
-    def __init__(self, k: int):
-        self.k, self.rows = k, {}
-
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        old = self.rows.get(query)
-        if old is not None:
-            scores, ids = np.concatenate([old[0], scores]), np.concatenate([old[1], ids])
-        best = np.lexsort((ids, -scores))[: self.k]
-        self.rows[query] = scores[best], ids[best]
-
-    def floor(self, query: int) -> float:
-        old = self.rows.get(query)
-        return float(old[0][-1]) if old is not None and len(old[0]) == self.k else -np.inf
+class Searcher:
+    """The k best (score, smaller id) other rows of each query among the rows shown to it; counts what it evaluates."""
+
+    def __init__(self, k: int, ids: np.ndarray, q: np.ndarray, dist: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, block: int = 256):
+        self.k, self.ids, self.q, self.dist, self.block = k, ids, q, dist.astype(np.float32), block
+        self.norm = (q.astype(np.float64) ** 2).sum(1)
+        self.found = [np.zeros(0, np.int64)] * 3  # query, score, id
+        self.floor = np.full(len(ids), -1e300)  # what a k-th best score is at least
+        self.pairs = self.evaluated = 0
+        for a in range(0, len(ids), block) if len(sample) >= k + 1 else ():
+            known = _exact_scores(sample, q[a : a + block]).astype(np.float64)
+            known[ids[a : a + block, None] == sample_ids[None, :]] = -np.inf
+            self.floor[a : a + block] = np.partition(known, -k, axis=1)[:, -k]
+
+    def _add(self, query: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
+        every = [np.concatenate(x) for x in zip(self.found, (query, score, vec))]
+        order = np.lexsort((every[2], -every[1], every[0]))
+        query = every[0][order]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+        nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        self.found = [x[order][nth < self.k] for x in every]
+        last = nth == self.k - 1
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], every[1][order][last])
+
+    def show(self, chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """``ids, vectors, distances`` of chunks of rows; each block of queries visits them in the order of their bounds."""
+        least = np.stack([d.min(0) for _, _, d in chunks])
+        most = np.stack([d.max(0) for _, _, d in chunks])
+        norms = [(x.astype(np.float64) ** 2).sum(1) for _, x, _ in chunks]
+        top = np.array([n.max() for n in norms])
+        error = 2.5e-7 * (self.dist.max(0, initial=0) + most.max(0))  # above the rounding of single-precision distances to each pivot
+        for a in range(0, len(self.ids), self.block):
+            mine = np.arange(a, min(a + self.block, len(self.ids)))
+            apart = (np.maximum(self.dist[mine, None, :] - most, least - self.dist[mine, None, :]) - error).max(2).clip(0).astype(np.float64)
+            slack = 2e-6 * (1 + self.norm[mine].max(initial=0) + top.max())  # above the rounding of the squares
+            upper = (self.norm[mine, None] + top - apart**2) / 2 + slack
+            for c in np.argsort(-upper.max(0), kind="stable").tolist():
+                self.pairs += len(mine) * len(chunks[c][0])
+                near = mine[upper[:, c] >= self.floor[mine]]
+                if len(near):
+                    self._chunk(near, *chunks[c], norms[c], slack, error)
+
+    def _chunk(self, near: np.ndarray, ids: np.ndarray, x: np.ndarray, dist: np.ndarray, norm: np.ndarray, slack: float, error: np.ndarray, first: int = 16) -> None:
+        bound, step = np.zeros((len(near), len(ids)), np.float32), np.empty((len(near), len(ids)), np.float32)
+        across = np.ascontiguousarray(dist.T)
+        for p in range(dist.shape[1]):
+            np.subtract(self.dist[near, p][:, None], across[p][None, :], out=step)
+            np.abs(step, out=step)
+            np.subtract(step, error[p], out=step)
+            np.maximum(bound, step, out=bound)
+        bound = np.square(bound, dtype=np.float32 if self.dist.max(initial=0) + dist.max() < 1e18 else np.float64)
+        upper = (self.norm[near, None] + norm[None, :] - bound) / 2 + slack
+        upper[self.ids[near][:, None] == ids[None, :]] = -np.inf
+        if len(ids) > 4 * first:
+            best = np.argpartition(-upper, first, axis=1)[:, :first]
+            open_ = np.take_along_axis(upper, best, 1) >= self.floor[near][:, None]
+            row, col = np.nonzero(open_)
+            self._evaluate(near[row], best[row, col], ids, x)
+            upper[row, best[row, col]] = -np.inf
+        open_ = upper >= self.floor[near][:, None]
+        some = np.flatnonzero(open_.any(0))
+        for at in range(0, len(some), 512):  # dense products of the columns that some query leaves open
+            part = some[at : at + 512]
+            scores, mask = _exact_scores(x[part], self.q[near]), open_[:, part]
+            self.evaluated += int(mask.sum())
+            row, col = np.nonzero(mask & (scores >= self.floor[near][:, None]))
+            self._add(near[row], scores[row, col], ids[part[col]])
+
+    def _evaluate(self, query: np.ndarray, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        self.evaluated += len(query)
+        for a in range(0, len(query), 1 << 14):
+            one, row = query[a : a + (1 << 14)], at[a : a + (1 << 14)]
+            scores = _paired_scores(self.q[one], x[row])
+            good = scores >= self.floor[one]
+            self._add(one[good], scores[good], ids[row[good]])
 
     def frame(self) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "query_id": np.concatenate([np.full(len(s), q) for q, (s, _) in self.rows.items()] or [np.zeros(0, int)]),
-                "vec_id": np.concatenate([i for _, i in self.rows.values()] or [np.zeros(0, int)]),
-                "score": np.concatenate([s for s, _ in self.rows.values()] or [np.zeros(0, int)]),
-            }
-        ).astype(np.int64)
+        return pd.DataFrame({"query_id": self.ids[self.found[0]], "vec_id": self.found[2], "score": self.found[1]}).astype(np.int64)
 
 
-def _index_rows(pivots: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                d = _distances(np.stack(rows.vec.to_numpy()), pivots)
-                yield pd.DataFrame({"vec_id": rows.vec_id, "vec": rows.vec, "cell": d.argmin(1).astype(np.int32), "ring": d.min(1)})
-
-    return run
-
+def _paired_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows of a with those of b, one by one; saturates at the limits of a long."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[-1])
+    if most < 2**62:
+        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    return np.clip((a.astype(object) * b.astype(object)).sum(1), LONG_MIN, LONG_MAX).astype(np.int64)
 
-def _pack(size: int, by_cell: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows of a partition, in their order, as blocks of at most ``size`` rows (of one cell)."""
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows.vec.to_numpy()).astype(np.int64)
-        return pd.DataFrame({"n": [len(rows)], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "data": [x.tobytes()]})
+def _index_rows(pivots: np.ndarray, dtype: np.dtype) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The table: each row's vector, distances to the pivots, nearest pivot and distance to that."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
         for rows in batches:
-            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            while len(held) >= size or (by_cell and len(held) and held.cell.iloc[0] != held.cell.iloc[-1]):
-                n = size
-                if by_cell:
-                    n = min(size, int(np.argmax(held.cell.to_numpy() != held.cell.iloc[0])) or len(held))
-                yield block(held.iloc[:n])
-                held = held.iloc[n:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield block(held)
+            if len(rows):
+                x = np.stack(rows.vec.to_numpy())
+                d = _distances(x, pivots)
+                data = {"vec": [v.tobytes() for v in x.astype(dtype)], "dist": [v.tobytes() for v in d.astype(np.float32)]}
+                yield pd.DataFrame({"vec_id": rows.vec_id, **data, "cell": d.argmin(1).astype(np.int32), "ring": d.min(1)})
 
     return run
 
 
-def _search(pivots: np.ndarray, k: int, sample_ids: np.ndarray, sample: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    dim = pivots.shape[1]
+def _search(dim: int, n_pivots: int, dtype: np.dtype, k: int, sample_ids: np.ndarray, sample: np.ndarray, chunk_rows: int, held_chunks: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(rows.vec), dtype).reshape(-1, dim)
+        return rows.vec_id.to_numpy(np.int64), x.astype(np.int64), np.frombuffer(b"".join(rows.dist), np.float32).reshape(-1, n_pivots)
 
-    def chunk_of(ids: bytes, data: bytes) -> tuple:
-        x = np.frombuffer(data, np.int64).reshape(-1, dim)
-        d = _distances(x, pivots)
-        return np.frombuffer(ids, np.int64), x, d, (x.astype(np.float64) ** 2).sum(1)
+    def chunks(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of rows of one cell, of at most ``chunk_rows``."""
+        ids, x, d = arrays(rows)
+        cell = rows.cell.to_numpy()
+        starts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(ids)]
+        cuts = [(i, min(i + chunk_rows, b)) for a, b in zip(starts, starts[1:]) for i in range(a, b, chunk_rows)]
+        return [(ids[a:b], x[a:b], d[a:b]) for a, b in cuts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, floors, blocks = _Best(k), {}, {}
-        for rows in batches:
-            for r in rows.itertuples():
-                if r.q_ids not in blocks:
-                    if len(blocks) > 64:
-                        blocks.clear()
-                    blocks[r.q_ids] = chunk_of(r.q_ids, r.q_data)
-                    q_ids, q, _, _ = blocks[r.q_ids]
-                    known = _exact_scores(q, sample).T  # a row's k-th best in the sample is a floor of its k-th best
-                    for i, s in zip(q_ids.tolist(), known):
-                        s = s[sample_ids != i]
-                        floors[i] = float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else -np.inf
-                q_ids, q, dq, nq = blocks[r.q_ids]
-                ids, x, dx, nx = chunk_of(r.ids, r.data)
-                slack = _margin(nq, nx)
-                apart = np.maximum(np.maximum(dq - dx.max(0), dx.min(0) - dq), 0).max(1)
-                floor = np.array([max(best.floor(i), floors[i]) for i in q_ids.tolist()])
-                near = np.flatnonzero((nq + nx.max() - apart**2) / 2 + slack >= floor)
-                if not len(near):
-                    continue
-                bound = np.zeros((len(near), len(x)))
-                for p in range(len(pivots)):
-                    np.maximum(bound, np.abs(dq[near, p][:, None] - dx[:, p][None, :]), out=bound)
-                upper = (nq[near][:, None] + nx[None, :] - bound**2) / 2 + slack
-                for row, i in enumerate(near.tolist()):
-                    me, u = int(q_ids[i]), upper[row]
-                    least = floor[i]
-                    left = np.flatnonzero((u >= least) & (ids != me))
-                    left = left[np.argsort(-u[left], kind="stable")]
-                    at, step = 0, 64
-                    while at < len(left) and u[left[at]] >= least:
-                        part = left[at : at + step]
-                        best.add(me, _exact_scores(q[i : i + 1], x[part])[:, 0], ids[part])
-                        least = max(least, best.floor(me))
-                        at, step = at + step, step * 2
-        yield best.frame()
+        lane, searcher, asked, held, size = None, None, [], [], 0
+
+        def show() -> None:
+            nonlocal searcher, held, size
+            if searcher is None:
+                ids, q, d = arrays(pd.concat(asked)) if asked else (np.zeros(0, np.int64), np.zeros((0, dim), np.int64), np.zeros((0, n_pivots), np.float32))
+                searcher = Searcher(k, ids, q, d, sample_ids, sample)
+            if held and len(searcher.ids):
+                searcher.show(chunks(pd.concat(held)))
+            held, size = [], 0
+
+        for every in batches:
+            for at, rows in every.groupby("lane", sort=True):
+                if at != lane:
+                    if lane is not None:
+                        show()
+                        yield searcher.frame()
+                    lane, searcher, asked = at, None, []
+                ask = (rows.kind == 0).to_numpy()
+                if ask.any():
+                    asked.append(rows[ask])
+                if not ask.all():
+                    held.append(rows[~ask])
+                    size += int((~ask).sum())
+                    if size >= held_chunks * chunk_rows:
+                        show()
+        if lane is not None:
+            show()
+            yield searcher.frame()
 
     return run
 
@@ -179,15 +215,18 @@ def top_k(
     n_pivots: int = 32,
     sample_rows: int = 1024,
     chunk_rows: int = 2048,
-    query_rows: int = 256,
+    held_chunks: int = 16,
+    lane_queries: int = 8192,
+    max_lengths: int = 64,
 ) -> DataFrame:
     """The k best other rows of each query row: ``query_id, rank, vec_id, score``, ties to the smaller id.
 
     ``is_query`` marks the query rows by their id. Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part; repeated rows of an id count once (the
-    smallest vector). Vectors are compared within one length; scores beyond a long saturate. An empty
+    smallest vector). Vectors are compared within one length (more than ``max_lengths`` raise); scores beyond a long saturate. An empty
     table gives an empty result; other columns are not read. Pivots come from a sample bounded by
-    ``sample_rows`` (least hashes of the id); every row is indexed and the result is exact.
+    ``sample_rows`` (least hashes of the id); every row is indexed and the result is exact. A task holds
+    ``lane_queries`` queries and ``held_chunks`` chunks at a time, whatever the size of the table.
     """
     spark = embeddings.sparkSession
     rows = (
@@ -197,40 +236,35 @@ def top_k(
         .agg(F.min("vec").alias("vec"))
     )
     rows = stage(rows, "vectors")
-    lengths = [r[0] for r in rows.select(F.size("vec")).distinct().limit(10_001).collect()]
-    if len(lengths) > 10_000:
-        raise ValueError("vectors of more than 10,000 different lengths")
+    largest = F.max(F.aggregate("vec", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double")))))
+    lengths = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.sum(is_query(F.col("vec_id")).cast("long")).alias("asked"), largest.alias("largest")).limit(max_lengths + 1).collect()
+    if len(lengths) > max_lengths:
+        raise ValueError(f"vectors of more than {max_lengths} different lengths")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")])
     found = spark.createDataFrame([], schema)
-    for dim in sorted(lengths):
-        found = found.unionByName(_top_k_of_length(rows.where(F.size("vec") == dim), dim, is_query, k, n_pivots, sample_rows, chunk_rows, query_rows))
+    for r in sorted(lengths, key=lambda r: r.dim):
+        if r.asked:
+            dtype = np.dtype(next((t for t, most in (("<i2", 2**15), ("<i4", 2**31)) if r.largest < most), "<i8"))
+            down = max(1, -(-r.asked // lane_queries), round((shuffle_partitions(spark) / 50) ** 0.5))
+            found = found.unionByName(_top_k_of_length(rows.where(F.size("vec") == r.dim), r.dim, dtype, is_query, k, n_pivots, sample_rows, chunk_rows, held_chunks, down))
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _top_k_of_length(rows: DataFrame, dim: int, is_query, k: int, n_pivots: int, sample_rows: int, chunk_rows: int, query_rows: int) -> DataFrame:
-    spark, tasks = rows.sparkSession, shuffle_partitions(rows.sparkSession)
+def _top_k_of_length(rows: DataFrame, dim: int, dtype: np.dtype, is_query, k: int, n_pivots: int, sample_rows: int, chunk_rows: int, held_chunks: int, down: int) -> DataFrame:
+    """A grid of ``down`` rows of lanes: a row of the table goes to one column in every row, a query to one row in every column."""
+    tasks = shuffle_partitions(rows.sparkSession)
     sample = bounded_sample(rows, "vec_id", sample_rows).collect()
     values = np.array([list(r.vec) for r in sample], np.int64).reshape(len(sample), dim)
     pivots = choose_pivots(values, n_pivots)
-    packed = "n int, ids binary, data binary"
-    chunks = (
-        rows.mapInPandas(_index_rows(pivots), "vec_id long, vec array<long>, cell int, ring double")
-        .repartitionByRange(tasks, "cell", "ring", "vec_id")
-        .sortWithinPartitions("cell", "ring", "vec_id")
-        .mapInPandas(_pack(chunk_rows, True), packed)
-    )
-    queries = (
-        rows.where(is_query(F.col("vec_id")))
-        .repartitionByRange(max(1, tasks // 4), "vec_id")
-        .mapInPandas(_pack(query_rows, False), packed)
-        .select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    )
-    # A grid of lanes: a chunk goes to one column in every row, a block of queries to one row in every
-    # column, so that each pair meets once. Few rows, as there are about fifty times fewer queries.
-    down = max(1, round((tasks / 50) ** 0.5))
-    across = max(1, tasks // down)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    lanes = chunks.withColumn("col", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int")).withColumn("row", every(down))
-    asked = queries.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(down)).cast("int")).withColumn("col", every(across))
-    return lanes.join(asked, ["row", "col"]).mapInPandas(_search(pivots, k, np.array([r.vec_id for r in sample], np.int64), values), "query_id long, vec_id long, score long")
+    across = max(1, -(-tasks // down))
+    indexed = rows.mapInPandas(_index_rows(pivots, dtype), "vec_id long, vec binary, dist binary, cell int, ring double")
+    place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("vec_id")), F.lit(n)).cast("int")
+    lanes = lambda n, lane, kind: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(lane(i).alias("lane"), F.lit(kind).alias("kind")))
+    own = lanes(down, lambda i: i * across + place(across, "column"), 1)
+    asked = lanes(across, lambda i: place(down, "row") * across + i, 0)
+    roles = F.explode(F.concat(own, F.when(is_query(F.col("vec_id")), asked).otherwise(F.slice(own, 1, 0))))
+    dealt = indexed.withColumn("role", roles).select("role.lane", "role.kind", "cell", "ring", "vec_id", "vec", "dist")
+    dealt = dealt.repartitionById(down * across, F.col("lane")).sortWithinPartitions("lane", "kind", "cell", "ring", "vec_id")
+    run = _search(dim, len(pivots), dtype, k, np.array([r.vec_id for r in sample], np.int64), values, chunk_rows, held_chunks)
+    return dealt.select("lane", "kind", "cell", "vec_id", "vec", "dist").mapInPandas(run, "query_id long, vec_id long, score long")
