@@ -11,6 +11,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x to some digits; what lies within 1e-10 below a tie is one, so that the order of a sum or product does not decide."""
+    return F.round(x + 1e-10, digits)
+
+
 def decade(year: Column) -> Column:
     return (F.floor(year / 10) * 10).cast("int")
 

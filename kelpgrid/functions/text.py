@@ -111,6 +111,21 @@ def overlap(a: Column, b: Column, by: str = "max") -> Column:
     return F.when(under > 0, common / under).otherwise(0.0)
 
 
+def author_overlap(a: Column, b: Column) -> Column:
+    """Which share of the first list of authors the second one has."""
+    return overlap(a, b, "first")
+
+
+def json_array(text: Column) -> Column:
+    """A JSON array of strings; null if it is none."""
+    return F.from_json(text, "array<string>")
+
+
+def url_parameter(url: Column, name: str) -> Column:
+    """The value of a parameter of a URL; null if it has none."""
+    return F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
+
+
 def title_signature(title: Column, least: int = 4) -> Column:
     """Distinct longer words without stop words, in order; null if there are fewer than ``least``."""
     words = F.array_sort(F.array_distinct(content_tokens(title, 4)))

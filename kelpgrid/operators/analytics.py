@@ -107,6 +107,12 @@ def evidence_distribution(works: DataFrame, by: str, now: int) -> DataFrame:
     )
 
 
+def so_what(works: DataFrame, by: str) -> DataFrame:
+    """``strong_share`` (percent, rounded half up) and ``lac``: strong methods and regional works of each group."""
+    strong = F.floor(100.0 * F.count_if(F.col("sms_level") >= 4) / F.count("*") + 0.5).cast("int")
+    return works.groupBy(by).agg(strong.alias("strong_share"), F.count_if(F.col("region") == "LAC").alias("lac"))
+
+
 def mixed_evidence(works: DataFrame, by: str) -> DataFrame:
     """Whether a group has at least three graded works, one strong and one weak."""
     graded, strong, weak = F.count("sms_level"), F.count_if(F.col("sms_level") >= 4), F.count_if(F.col("sms_level") <= 2)

@@ -8,15 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
-
-# Method patterns by level, the strongest first.
-METHOD_RULES = [
-    (5, "rct", "randomi[sz]ed|random assignment|field experiment"),
-    (4, "quasi_experiment", "regression discontinuity|instrumental variable|natural experiment"),
-    (3, "panel", "difference.in.difference|fixed effects|propensity score|matching"),
-    (2, "regression", "regression|correlation|cross.section"),
-    (1, "descriptive", "case study|descriptive|interviews|survey"),
-]
+from kelpgrid.operators import rules as R
 
 
 def first_match(text: Column, rules: list[tuple], result: int) -> Column:
@@ -28,10 +20,25 @@ def first_match(text: Column, rules: list[tuple], result: int) -> Column:
     return out
 
 
+def method(text: Column, rules: list[tuple] = R.METHODS) -> Column:
+    """``level, design`` of the first rule that the text matches, null if none does."""
+    low, out = F.lower(text), F.lit(None).cast("struct<level:int,design:string>")
+    for level, design, closed, open_, acronyms in reversed(rules):
+        hit = low.rlike(R.lower_pattern(closed, open_))
+        if acronyms:
+            hit = hit | text.rlike(R.acronym_pattern(acronyms))
+        out = F.when(hit, F.struct(F.lit(level).alias("level"), F.lit(design).alias("design"))).otherwise(out)
+    return out
+
+
+def method_text(title: Column, abstract: Column) -> Column:
+    return F.concat_ws(" ", F.coalesce(abstract, F.lit("")), F.coalesce(title, F.lit("")))
+
+
 def sms_level(title: Column, abstract: Column, known: Column | None = None) -> Column:
     """Level of evidence by keywords, at most 3, at most 2 without an abstract; a known level wins."""
-    found = first_match(F.concat_ws(" ", title, abstract), METHOD_RULES, 0).cast("int")
-    capped = F.when(found.isNotNull(), F.least(found, F.when(F.coalesce(F.length(F.trim(abstract)), F.lit(0)) > 0, 3).otherwise(2)))
+    found = method(method_text(title, abstract)).level
+    capped = F.when(found.isNotNull(), F.least(found, F.when(F.coalesce(F.length(abstract), F.lit(0)) > 0, 3).otherwise(2)))
     return F.coalesce(known, capped) if known is not None else capped
 
 
@@ -55,28 +62,20 @@ def publication_type(text: Column, known: Column) -> Column:
     return F.coalesce(first_match(text, TYPE_RULES, 0), known, F.lit("unknown"))
 
 
-# Country names and their buckets; the last pattern is a regional name.
-COUNTRIES = [
-    ("brazil", "LAC", "brazil|brasil"),
-    ("mexico", "LAC", "mexic"),
-    ("peru", "LAC", "peru"),
-    ("germany", "Europe & Central Asia", "german|deutsch"),
-    ("france", "Europe & Central Asia", "franc"),
-    ("egypt", "MENA", "egypt"),
-    ("latin america", "LAC", "latin america|caribbean"),
-]
+def _map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)) for kv in pairs.items() for x in kv])
 
 
 def countries(text: Column) -> Column:
-    """Distinct country tags of a text in order; accents are folded."""
-    low = F.lower(X.fold(text))
-    return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(c)) for c, _, p in COUNTRIES])))
+    """Distinct tags of a text in order: the countries it names, in one pass, and the groups these belong to; accents are folded."""
+    named = F.array_distinct(F.regexp_extract_all(F.lower(X.fold(text)), F.lit(R.COUNTRY_PATTERN), F.lit(1)))
+    tags = F.flatten(F.transform(named, lambda w: _map(R.TAGS_OF)[_map(R.COUNTRY_OF)[w]]))
+    return F.array_sort(F.array_distinct(tags))
 
 
 def regions(tags: Column) -> Column:
-    """Distinct buckets of country tags in order, Global if there are none."""
-    bucket = F.create_map(*[F.lit(x) for c, r, _ in COUNTRIES for x in (c, r)])
-    found = F.array_sort(F.array_distinct(F.transform(tags, lambda t: bucket[t])))
+    """Distinct buckets of tags in order, Global if there are none."""
+    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(tags, lambda t: _map(R.REGION_OF)[t]))))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Global")))
 
 
@@ -89,9 +88,10 @@ def lac_mismatch(text: Column, tags: Column) -> Column:
 TOPICS = {"labour": ["work", "labour", "wage"], "schooling": ["school", "education"], "health": ["health", "heal"], "trade": ["trade", "export"], "other": ["the ", "of "]}
 
 
-def topics(text: Column) -> Column:
+def topics(text: Column, rules: dict[str, list[str]] = TOPICS) -> Column:
+    """Topics whose keywords the text holds; a corpus gives its own ``rules``."""
     low = F.lower(text)
-    marks = [F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), F.lit(t)) for t, words in TOPICS.items()]
+    marks = [F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), F.lit(t)) for t, words in rules.items()]
     return F.array_sort(F.array_compact(F.array(*marks)))
 
 
@@ -108,6 +108,23 @@ def effect_direction(text: Column) -> Column:
     return F.when(up & down, "mixed").when(up, "positive").when(down, "negative").when(low.rlike("no effect|insignificant|null"), "null").otherwise("unclear")
 
 
+def missing_fields(names: list[str]) -> Column:
+    """The names of the critical fields that a row has no value for."""
+    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in names]))
+
+
+def normalised(rows: DataFrame, column: str, rules: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """Rows with several columns set by the first rule whose pattern (as of ILIKE) their ``column`` matches."""
+    names = sorted({c for _, values in rules for c in values})
+    new = {}
+    for c in names:
+        out = F.col(c)
+        for pattern, values in reversed(rules):
+            out = F.when(F.col(column).ilike(pattern), F.lit(values[c]) if c in values else F.col(c)).otherwise(out)
+        new[c] = out
+    return rows.withColumns(new)
+
+
 def paper_channels(cosine: Column, sms: Column, cited: Column, year: Column, region: Column) -> Column:
     """Channels that a row belongs to, in a fixed order."""
     return F.array_compact(F.array(F.when(sms >= 4, F.lit("causal")), F.when((cited >= 75) & (year < 2020), F.lit("foundational")), F.when(year >= 2020, F.lit("recent")), F.when(region == "LAC", F.lit("lac"))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +12,18 @@ from kelpgrid.functions import text as X
 
 
 def first_of_each(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key; rows without a key are all kept."""
+    """The first row of each key; rows without a key are all kept, and never meet in one task."""
+    keyed = rows.withColumn("key_", key)
     nth = F.row_number().over(Window.partitionBy("key_").orderBy(*order))
-    return rows.withColumn("key_", key).withColumn("nth_", nth).where("key_ is null or nth_ = 1").drop("key_", "nth_")
+    first = keyed.where("key_ is not null").withColumn("nth_", nth).where("nth_ = 1").drop("nth_")
+    return first.unionByName(keyed.where("key_ is null")).drop("key_")
 
 
 def duplicate_pairs(rows: DataFrame, key: Column) -> DataFrame:
     """``first_id, other_id``: every row of a key against the one of the smallest id."""
     keyed = rows.select("id", key.alias("key")).where("key is not null")
-    first = F.min("id").over(Window.partitionBy("key"))
-    return keyed.withColumn("first_id", first).where("id > first_id").select("first_id", F.col("id").alias("other_id"))
+    first = keyed.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(first, "key").where("id > first_id").select("first_id", F.col("id").alias("other_id"))
 
 
 def with_provenance(rows: DataFrame, key: Column) -> DataFrame:
@@ -27,22 +32,86 @@ def with_provenance(rows: DataFrame, key: Column) -> DataFrame:
     return keyed.groupBy("key").agg(F.min(F.struct("source_order", "id")).alias("f"), F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("sources"), F.count("*").alias("n")).select("key", F.col("f.id").alias("id"), "sources", "n")
 
 
-def fuzzy_first(rows: DataFrame, block: Column, least: float = 90.0) -> DataFrame:
+def edit_pieces(least: float = 90.0):
+    """Pieces by which texts within an edit distance of (100 - least) percent of the longer one's length meet.
+
+    A text of n characters is cut into one piece more than it may have edits, one of which the other text then holds
+    unchanged. The other text, as long or longer, shows for every length that it may meet the substrings that can be such
+    a piece: an unchanged piece lies no further off than the edits before and after it allow. Yields (t, side, n, piece, text).
+    """
+    share = (100.0 - least) / 100.0
+
+    def cuts(n: int) -> list[int]:
+        parts = min(n, int(n * share / (1 - share) + 1e-9) + 1)
+        return [n * i // parts for i in range(parts + 1)]
+
+    def of(t: str) -> Iterator[tuple[str, int, int, int, str]]:
+        n = len(t)
+        own = cuts(n)
+        for i, (a, b) in enumerate(zip(own, own[1:])):
+            yield t, 0, n, i, t[a:b]
+        most = int(n * share + 1e-9)
+        for m in range(max(1, n - most), n + 1):
+            left, right, marks = (most - (n - m)) // 2, (most + (n - m)) // 2, cuts(m)
+            for i, (a, b) in enumerate(zip(marks, marks[1:])):
+                for part in {t[at : at + b - a] for at in range(max(0, a - left), min(a + right, n - (b - a)) + 1)}:
+                    yield t, 1, m, i, part
+
+    return of
+
+
+def fuzzy_first(rows: DataFrame, least: float = 90.0) -> DataFrame:
     """``id, kept_id``: each row and the smallest id among itself and the rows of a near equal title and the same or no year.
 
-    Equal titles are one before anything is compared; distinct titles are compared within a block, by the edit
-    distance of their words in order.
+    Titles are near if the edit distance of their words in order is at most (100 - least) percent of the longer one's length.
+    Equal ones are one before anything is compared; of the others those meet that share a piece which so few edits must
+    leave unchanged (:func:`edit_pieces`), and are then compared whole. No near pair is lost; a null title is empty.
     """
-    ready = rows.select("id", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce(F.array_join(F.array_sort(X.tokens(F.col("title"))), " "), F.lit("")).alias("t"), F.coalesce(block, F.lit("")).alias("block"))
-    each = ready.groupBy("block", "t", "year").agg(F.min("id").alias("first"))
-    a, b = each.alias("a"), each.alias("b")
-    longer = F.greatest(F.length("a.t"), F.length("b.t"))
-    same_year = (F.col("a.year") == F.col("b.year")) | (F.col("a.year") == 0) | (F.col("b.year") == 0)
-    close = (longer > 0) & (100.0 * (1 - F.levenshtein(F.col("a.t"), F.col("b.t")) / longer) >= least)
-    found = a.join(b, F.col("a.block") == F.col("b.block")).where((F.col("b.first") < F.col("a.first")) & same_year & close)
-    earlier = found.groupBy(F.col("a.block").alias("block"), F.col("a.t").alias("t"), F.col("a.year").alias("year")).agg(F.min("b.first").alias("earlier"))
-    kept = each.join(earlier, ["block", "t", "year"], "left").select("block", "t", "year", F.least("first", F.coalesce("earlier", "first")).alias("kept_id"))
-    return ready.join(kept, ["block", "t", "year"]).select("id", "kept_id")
+    ready = rows.select("id", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce(F.array_join(F.array_sort(X.tokens(F.col("title"))), " "), F.lit("")).alias("t"))
+    each = ready.groupBy("t", "year").agg(F.min("id").alias("first"))
+    of = edit_pieces(least)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                found = [x for t in batch.t.iloc[at : at + 200] for x in of(t)]
+                yield pd.DataFrame(found, columns=["t", "side", "n", "piece", "part"])
+
+    pieces = each.where("t <> ''").select("t").distinct().mapInPandas(run, "t string, side int, n int, piece int, part string")
+    a = pieces.where("side = 0").select(F.col("t").alias("at"), "n", "piece", "part")
+    b = pieces.where("side = 1").select(F.col("t").alias("bt"), "n", "piece", "part")
+    met = a.join(b, ["n", "piece", "part"]).where("at <> bt").select("at", "bt").distinct()
+    longer = F.greatest(F.length("at"), F.length("bt"))
+    close = met.where((longer > 0) & (100.0 * (1 - F.levenshtein("at", "bt") / longer) >= least)).select("at", "bt")
+    near = close.unionByName(close.select(F.col("bt").alias("at"), F.col("at").alias("bt"))).distinct()
+    same = each.where("t <> ''").select(F.col("t").alias("at"), F.col("t").alias("bt")).distinct()  # the same title with and without a year
+    x, y = each.alias("x"), each.alias("y")
+    same_year = (F.col("x.year") == F.col("y.year")) | (F.col("x.year") == 0) | (F.col("y.year") == 0)
+    found = near.unionByName(same).join(x, F.col("at") == F.col("x.t")).join(y, F.col("bt") == F.col("y.t")).where(same_year & (F.col("y.first") < F.col("x.first")))
+    earlier = found.groupBy(F.col("x.t").alias("t"), F.col("x.year").alias("year")).agg(F.min("y.first").alias("earlier"))
+    kept = each.join(earlier, ["t", "year"], "left").select("t", "year", F.least("first", F.coalesce("earlier", "first")).alias("kept_id"))
+    return ready.join(kept, ["t", "year"]).select("id", "kept_id")
+
+
+def ranked_pairs(works: DataFrame, least_length: int = 30, years: int = 8, same_surname: bool = False) -> DataFrame:
+    """``shadow_id, canonical_id, r``: rows of one long title near in years, the second of a higher publication rank r."""
+    from kelpgrid.functions.numeric import publication_rank
+
+    keyed = works.withColumn("t", X.normalize_title(F.col("title"))).withColumn("r", publication_rank(F.col("publication_type"))).where(F.length("t") >= least_length).select("id", "t", "r", "year", "surname")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    near = (F.col("a.r") > F.col("b.r")) & (F.abs(F.col("a.year") - F.col("b.year")) <= years)
+    if same_surname:
+        near = near & F.coalesce(F.col("a.surname") == F.col("b.surname"), F.lit(True))
+    return a.join(b, F.col("a.t") == F.col("b.t")).where(near).select(F.col("a.id").alias("shadow_id"), F.col("b.id").alias("canonical_id"), F.col("b.r").alias("r"))
+
+
+def merge_shadows(works: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Works with ``shadow_of``; a canonical row takes its shadow's larger citation count, and its region where it has none."""
+    from kelpgrid.operators.joins import fill_from
+
+    given = pairs.select(F.col("shadow_id").alias("source_id"), F.col("canonical_id").alias("id"))
+    merged = fill_from(works, works, given, ["citation_count", "region"], ("citation_count",))
+    return merged.join(pairs.select(F.col("shadow_id").alias("id"), F.col("canonical_id").alias("shadow_of")), "id", "left")
 
 
 def cross_source_shadows(works: DataFrame, years: int = 8) -> DataFrame:
@@ -57,10 +126,6 @@ def cross_source_shadows(works: DataFrame, years: int = 8) -> DataFrame:
 
 def fuzzy_shadows(works: DataFrame, least_length: int = 30, years: int = 8) -> DataFrame:
     """``shadow_id, canonical_id``: for each row the best-ranked other row of the same long title near its year; chains are left out."""
-    from kelpgrid.functions.numeric import publication_rank
-
-    keyed = works.withColumn("t", X.normalize_title(F.col("title"))).withColumn("r", publication_rank(F.col("publication_type"))).where(F.length("t") >= least_length).select("id", "t", "r", "year", "surname")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.col("a.t") == F.col("b.t")).where((F.col("a.r") > F.col("b.r")) & (F.abs(F.col("a.year") - F.col("b.year")) <= years))
-    best = pairs.groupBy(F.col("a.id").alias("shadow_id")).agg(F.min(F.struct(F.col("b.r").alias("r"), F.col("b.id").alias("id"))).alias("m")).select("shadow_id", F.col("m.id").alias("canonical_id"))
+    pairs = ranked_pairs(works, least_length, years)
+    best = pairs.groupBy("shadow_id").agg(F.min(F.struct("r", F.col("canonical_id").alias("id"))).alias("m")).select("shadow_id", F.col("m.id").alias("canonical_id"))
     return best.join(best.select(F.col("shadow_id").alias("canonical_id")), "canonical_id", "left_anti").select("shadow_id", "canonical_id")

@@ -41,6 +41,13 @@ def rank_change(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.withColumn("delta", F.col("before") - F.col("after"))
 
 
+def level_distribution(ranked: DataFrame, k: int = 20) -> DataFrame:
+    """``sms_level, n, lac_rate, mean``: the first k rows by level, and in a row without a level all of them."""
+    top = ranked.where(F.col("pos") <= k)
+    rate = F.round(100.0 * F.count_if(F.col("region") == "LAC") / F.count("*"), 1)
+    return top.groupingSets([[F.col("sms_level")], []], "sms_level").agg(F.count("*").alias("n"), rate.alias("lac_rate"), F.round(F.avg("sms_level"), 2).alias("mean"))
+
+
 def discounted(rank: Column) -> Column:
     """1 / log2(rank + 2) of a rank from 0."""
     return 1 / F.log2(rank + 2)

@@ -27,10 +27,15 @@ def without_disliked(works: DataFrame, feedback: DataFrame, query: DataFrame, le
     return works.join(similar_feedback(feedback, query, DISLIKES, least), "id", "left_anti")
 
 
+def signal_counts(signals: DataFrame, least: int = 8) -> DataFrame:
+    """``user_id, domain, pos, neg`` of those with enough signals."""
+    counts = signals.groupBy("user_id", "domain").agg(F.count_if(F.col("signal") > 0).alias("pos"), F.count_if(F.col("signal") < 0).alias("neg"))
+    return counts.where(F.col("pos") + F.col("neg") >= least)
+
+
 def beta_weights(signals: DataFrame, least: int = 8, step: float = 0.15, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """New weight of each (user, domain) with enough signals: 0.5 + 1.5 times the posterior mean, at most a step from 1, within bounds."""
-    counts = signals.groupBy("user_id", "domain").agg(F.count_if(F.col("signal") > 0).alias("pos"), F.count_if(F.col("signal") < 0).alias("neg"))
-    enough = counts.where(F.col("pos") + F.col("neg") >= least)
+    enough = signal_counts(signals, least)
     alpha, beta = F.col("pos") + 1, F.col("neg") + 1
     raw = 0.5 + 1.5 * alpha / (alpha + beta)
     stepped = clamp(clamp(raw, 1 - step, 1 + step), low, high)

@@ -14,6 +14,28 @@ def in_order(ids: DataFrame, works: DataFrame) -> DataFrame:
     return ids.join(works, "id").orderBy("pos")
 
 
+def broadcast_if_few(rows: DataFrame, most: int) -> DataFrame:
+    """Marked to be broadcast if a count finds at most ``most`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``: one semi-join, however many ids."""
+    return rows.join(ids.select("id"), "id", "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(ids.select("id"), "id", "left_anti")
+
+
+def exact_match(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``ask, id``: the known rows of the same DOI or the same id, each once."""
+    doi = lambda rows: X.normalize_doi(rows.doi)
+    by_doi = asked.select("ask", doi(asked).alias("d")).join(known.select("id", doi(known).alias("d")), "d").select("ask", "id")
+    by_id = asked.select("ask", "id").join(known.select("id"), "id").select("ask", "id")
+    return by_doi.unionByName(by_id).distinct()
+
+
 def mutual_pairs(left: DataFrame, right: DataFrame, key: str, condition: Column) -> DataFrame:
     """Pairs of the aliases ``l`` and ``r`` with equal keys that meet a condition, where each side occurs in one pair only."""
     pairs = left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}")).where(condition)
@@ -46,15 +68,29 @@ def crawl(edges: DataFrame, seeds: DataFrame, known: DataFrame, each: int = 20)
     return near.join(known.select("id"), "id", "left_anti").groupBy("id").agg(F.count_distinct("seed").alias("seeds"))
 
 
-def match_gate(left: DataFrame, right: DataFrame, least: float = 0.92, years: int = 1, prefix: int = 12) -> DataFrame:
-    """``left_id, right_id, similarity``: titles of a near equal wording, a year at most ``years`` apart and the same surname.
+def match_gate(left: DataFrame, right: DataFrame, least: float = 0.92, years: int = 1) -> DataFrame:
+    """``left_id, right_id, similarity``: titles of a near equal wording, of years at most ``years`` apart and of one surname.
 
-    Pairs are blocked by surname and the first letters of the normalised title.
+    The wording is alike if the Dice similarity of the pairs of neighbouring words is at least ``least``. Rows meet by the
+    rarest of these pairs, as many of each title as one that is alike must share one of. A missing year or
+    surname passes, and so does a surname that holds the other. Titles without words match nothing.
     """
-    prepare = lambda d: d.withColumn("t", X.normalize_title(F.col("title"))).withColumn("block", F.concat_ws("|", "surname", F.substring("t", 1, prefix))).withColumn("pairs", X.bigrams(X.tokens(F.col("t"))))
-    both = prepare(left).alias("l").join(prepare(right).alias("r"), F.col("l.block") == F.col("r.block"))
-    both = both.where((F.abs(F.col("l.year") - F.col("r.year")) <= years) & (F.col("l.id") != F.col("r.id")))
-    return both.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.round(X.dice(F.col("l.pairs"), F.col("r.pairs")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    pairs = X.bigrams(X.tokens(X.normalize_title(F.col("title"))))
+    prepare = lambda d: d.select("id", "year", F.lower("surname").alias("surname"), F.filter(pairs, lambda p: p != "").alias("pairs")).where("size(pairs) > 0")
+    l, r = prepare(left), prepare(right)
+    each = lambda d: d.select("id", F.size("pairs").alias("n"), F.explode("pairs").alias("p"))
+    counts = each(l).select("p").unionByName(each(r).select("p")).groupBy("p").agg(F.count("*").alias("df"))
+    enough = F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9) + 1
+
+    def keys(d: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "p"))
+        return each(d).join(counts, "p").withColumn("nth", nth).where(F.col("nth") <= enough).select("id", "p")
+
+    met = keys(l).withColumnRenamed("id", "left_id").join(keys(r).withColumnRenamed("id", "right_id"), "p").where("left_id <> right_id").select("left_id", "right_id").distinct()
+    both = met.join(l.alias("l"), F.col("left_id") == F.col("l.id")).join(r.alias("r"), F.col("right_id") == F.col("r.id"))
+    names = F.contains(F.col("l.surname"), F.col("r.surname")) | F.contains(F.col("r.surname"), F.col("l.surname"))
+    near = F.coalesce(F.abs(F.col("l.year") - F.col("r.year")) <= years, F.lit(True)) & F.coalesce(names, F.lit(True))
+    return both.where(near).select("left_id", "right_id", F.round(X.dice(F.col("l.pairs"), F.col("r.pairs")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def signature_matches(left: DataFrame, right: DataFrame, years: int = 8, authors: float = 0.5, match: float = 0.90, review: float = 0.85) -> DataFrame:

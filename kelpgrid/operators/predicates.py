@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
+from kelpgrid.operators.rules import NOISE
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,27 @@ class SearchFilters:
         return F.coalesce(gate, F.lit(False))
 
 
+# The sources that a search takes where none are named.
+DEFAULT_TIERS = (1, 2, 3)
+DEFAULT_INSTITUTIONS = ("IADB", "WB", "IMF", "OECD")
+DEFAULT_SERIES = ("NBER", "IZA", "CEPR_REPEC", "SSRN")
+
+
+@dataclass(frozen=True)
+class Sources:
+    """Named sources; None has not been asked for, an empty tuple has been asked to be none."""
+
+    journal_tiers: tuple[int, ...] | None = None
+    institutions: tuple[str, ...] | None = None
+    series: tuple[str, ...] | None = None
+
+    def resolved(self) -> Sources:
+        """The default universe where nothing is named; any choice is taken as it is."""
+        if self.journal_tiers or self.institutions is not None or self.series is not None:
+            return self
+        return Sources(DEFAULT_TIERS, DEFAULT_INSTITUTIONS, DEFAULT_SERIES)
+
+
 def period_filters(period: str, now: int, server: bool = True, custom: tuple[int, int] | None = None) -> SearchFilters:
     """Year bounds of a named period; ``recent`` starts in 2020 on the server and four years back in the client."""
     starts = {"recent": 2020 if server else now - 4, "2000+": 2000, "last-5": now - 5}
@@ -101,23 +123,13 @@ def is_generic_title(title: Column) -> Column:
     return X.normalize_title(title).isin(*GENERIC_TITLES) | X.normalize_title(title).rlike(r"^(volume|issue|chapter|part) [0-9ivx]+$")
 
 
-# Noise rules in their order; the first that matches names the reason.
-NOISE_RULES = [
-    ("book_review", r"book review|review of "),
-    ("correction_retraction", r"erratum|corrigendum|correction to|retract"),
-    ("obituary_award", r"obituary|in memoriam|award"),
-    ("vacancy", r"vacancy|job opening|call for papers"),
-    ("front_matter", r"front matter|table of contents|editorial board"),
-    ("licence", r"released under|all rights reserved"),
-]
-
-
-def noise_reason(text: Column) -> Column:
-    """The first noise rule that the text matches, null if none does."""
-    low = F.lower(text)
+def noise_reason(title: Column) -> Column:
+    """The first noise rule that a title matches, null if none does."""
+    low = F.lower(F.trim(title))
     out = F.lit(None).cast("string")
-    for reason, pattern in reversed(NOISE_RULES):
-        out = F.when(low.rlike(pattern), F.lit(reason)).otherwise(out)
+    for reason, pattern, below in reversed(NOISE):
+        hit = low.rlike(pattern)
+        out = F.when(hit if below is None else hit & (F.length(title) < below), F.lit(reason)).otherwise(out)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgrid.functions.numeric import citation_score, clamp, recency_score, region_ramp, rigor_score
+from kelpgrid.functions.numeric import citation_score, clamp, recency_score, region_ramp, rigor_score, rounded
 
 # Boosts of each profile.
 PROFILES = {
@@ -32,7 +32,7 @@ def rerank_unified(rows: DataFrame, now: int, region: str | None = None, name: s
         boost = boost + F.coalesce(clamp(weight - 1, -0.5, 1.0), F.lit(0.0)) * ramp
     if promoted is not None:
         boost = boost + F.coalesce(promoted, F.lit(0.0)) * ramp
-    return rows.withColumn("score", F.round(cos * (1 + boost), digits))
+    return rows.withColumn("score", rounded(cos * (1 + boost), digits))
 
 
 # Weights of the merged score.
@@ -52,7 +52,57 @@ def rerank_merged(rows: DataFrame, now: int, digits: int = 6) -> DataFrame:
         + MERGED["directness"] * direct
         + F.when(F.lower("title").rlike("review|meta"), 0.025).otherwise(0.0)
     )
-    return rows.withColumn("score", F.round(total, digits))
+    return rows.withColumn("score", rounded(total, digits))
+
+
+# What a topicality label adds, titles that tell of a review, and the weights of single channels.
+DIRECTNESS = {"direct-lac": 0.10, "direct-global": 0.07, "indirect": 0.0, "excluded": -0.15}
+REVIEW_TITLE = r"(systematic|literature|meta[ -]?analy[sz]is|narrative) (review|analysis)|meta[ -]analys[ie]s|evidence synthesis|handbook of|annual review of|scoping review|umbrella review"
+CHANNEL_WEIGHTS = {
+    "causal": {"similarity": 0.282, "citation": 0.046, "rigor": 0.400, "recency": 0.021, "region": 0.146, "fts": 0.105},
+    "foundational": {"similarity": 0.213, "citation": 0.633, "rigor": 0.080, "recency": 0.000, "region": 0.023, "fts": 0.071},
+    "recent": {"similarity": 0.496, "citation": 0.217, "rigor": 0.031, "recency": 0.203, "region": 0.030, "fts": 0.023},
+    "lac": {"similarity": 0.223, "citation": 0.079, "rigor": 0.024, "recency": 0.023, "region": 0.600, "fts": 0.051},
+}
+
+
+def directness(label: Column) -> Column:
+    """What a topicality label adds to a score; nothing for none or another."""
+    out = F.lit(0.0)
+    for name, value in DIRECTNESS.items():
+        out = F.when(label == name, value).otherwise(out)
+    return out
+
+
+def review_bonus(design: Column, title: Column) -> Column:
+    """0.025 for a review by its design or title."""
+    return F.when((F.lower(design) == "review") | F.coalesce(F.lower(title).rlike(REVIEW_TITLE), F.lit(False)), 0.025).otherwise(0.0)
+
+
+def channel_score(rows: DataFrame, channel: str, now: int, region: str, digits: int = 6) -> DataFrame:
+    """``score``: the weighted sum of a single channel's profile; rows without a lexical rank ``fts`` have none of its part."""
+    w = CHANNEL_WEIGHTS[channel]
+    total = (
+        w["similarity"] * clamp(F.col("cosine"), 0.0, 1.0)
+        + w["citation"] * citation_score(F.col("citation_count"), F.col("year"), now)
+        + w["rigor"] * rigor_score(F.col("sms_level"))
+        + w["recency"] * recency_score(F.col("year"), now)
+        + w["region"] * F.coalesce((F.col("region") == region).cast("double"), F.lit(0.0))
+    )
+    if "fts" in rows.columns:
+        total = total + w["fts"] * F.coalesce("fts", F.lit(0.0))
+    return rows.withColumn("score", rounded(total, digits))
+
+
+def weak_before(rows: DataFrame) -> DataFrame:
+    """How many weak-method rows stand before each row of a bounded pool with positions ``pos``."""
+    before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("weak_before", F.count_if(F.coalesce(F.col("sms_level") <= 2, F.lit(True))).over(before))
+
+
+def load_more(rows: DataFrame, pages: int, size: int = 20, ahead: int = 1) -> DataFrame:
+    """The rows of ``pages`` pages, and of ``ahead`` more that are not ``shown`` yet."""
+    return rows.where(F.col("pos") <= (pages + ahead) * size).withColumn("shown", F.col("pos") <= pages * size)
 
 
 def order_within(rows: DataFrame, score: str, name: str = "pos") -> DataFrame:
@@ -133,7 +183,7 @@ def hybrid_product(rows: DataFrame, now: int, region: str, gate: float, digits:
     classic = 1 + b["foundational"] * citation_score(F.col("citation_count"), F.col("year"), now)
     local = 1 + b["region"] * F.coalesce((F.col("region") == region).cast("double"), F.lit(0.0))
     product = F.col("cosine") * (1 + b["causal"] * rigor_score(F.col("sms_level"))) * F.greatest(recent, classic) * local
-    return rows.withColumn("score", F.round(F.when(F.col("cosine") >= gate, product).otherwise(0.0), digits))
+    return rows.withColumn("score", rounded(F.when(F.col("cosine") >= gate, product).otherwise(0.0), digits))
 
 
 def evidence_floor(rows: DataFrame, k: int, is_wanted: Column, least: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
+from kelpgrid.functions.numeric import rounded
 from kelpgrid.functions.vector import cosine, literal, only_row, with_cosine
 from kelpgrid.operators.predicates import SearchFilters
 from kelpgrid.plans.works import searchable
@@ -18,8 +19,22 @@ def ranked(rows: DataFrame, score: str, k: int, name: str = "rank") -> DataFrame
 
     The rows are cut to k by a top-k on every task before a single task numbers them.
     """
-    top = rows.orderBy(F.desc(score), "id").limit(k)
-    return top.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), "id")))
+    return top(rows, [F.desc(score), F.asc("id")], k, name)
+
+
+def top(rows: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:
+    """The first k rows in an order, numbered from 1."""
+    return rows.orderBy(*order).limit(k).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
+    """``size`` rows after the first ``offset`` in an order; partitions, not pages, are for reading a whole table."""
+    return rows.orderBy(*order).offset(offset).limit(size)
+
+
+def after_key(rows: DataFrame, key: str, last: int, size: int) -> DataFrame:
+    """The next ``size`` rows by key after the last one seen; stable while rows before it change."""
+    return rows.where(F.col(key) > last).orderBy(key).limit(size)
 
 
 def cosine_top_k(works: DataFrame, query: DataFrame, k: int = 20, threshold: float = 0.0, strict: bool = False, filters: SearchFilters = SearchFilters()) -> DataFrame:
@@ -79,6 +94,23 @@ def multi_facet(works: DataFrame, facets: DataFrame, k: int = 200, threshold: fl
     return grouped.where("channels > 0")
 
 
+def facet_order(found: DataFrame, most: int = 12_800) -> DataFrame:
+    """Rows of :func:`multi_facet` with their ``pos``: most facets first, then the geometric mean (64 facets of 200 rows at most)."""
+    return top(found, [F.desc("channels"), F.desc("gm"), F.asc("id")], most, "pos")
+
+
+def escalated(works: DataFrame, query: DataFrame, facets: DataFrame, enough: int = 200, threshold: float = 0.0) -> DataFrame:
+    """``id, stage, similarity``: the best rows of one vector, or if there are not ``enough``, those of all facets.
+
+    Which stage counts is decided within the plan, by a one-row count that both arms are joined with.
+    """
+    one = cosine_top_k(works, query, enough, threshold).select("id", F.lit("single").alias("stage"), F.col("cosine").alias("similarity"))
+    more = multi_facet(works, facets, enough, threshold).select("id", F.lit("facets").alias("stage"), "similarity")
+    held = one.agg(F.count("*").alias("held"))
+    both = one.unionByName(more).join(F.broadcast(held))  # one row
+    return both.where((F.col("stage") == "single") == (F.col("held") >= enough)).select("id", "stage", "similarity")
+
+
 def channel(works: DataFrame, name: str, condition: Column, order: list[Column], k: int, similarity: float | None = None) -> DataFrame:
     """``id, channel, similarity``: the first k searchable rows that meet a condition, in an order that ends with the id."""
     rows = searchable(works).where(condition).orderBy(*order, "id").limit(k)
@@ -132,37 +164,43 @@ def probe(works: DataFrame, query: DataFrame, terms: list[str], threshold: float
         F.count_if(F.col("cosine") >= threshold).alias("above"),
         F.count_if(F.col("fts") > 0).alias("matched"),
         F.max("cosine").alias("best"),
-        F.round(F.avg(F.when(F.col("cosine") > 0, F.col("cosine"))), 6).alias("mean_positive"),
+        rounded(F.avg(F.when(F.col("cosine") > 0, F.col("cosine")))).alias("mean_positive"),
     )
 
 
-def pick_terms(query: str, most: int = 3, boosted: frozenset[str] = frozenset()) -> list[str]:
-    """Content words of a query, longest first; boosted words count ten characters more."""
-    import re
-
-    words = [w for w in re.findall(r"[a-z0-9]+", query.lower()) if len(w) > 2 and w not in X.STOPWORDS]
-    return sorted(dict.fromkeys(words), key=lambda w: (-(len(w) + 10 * (w in boosted)), w))[:most]
-
+def pick_terms(query: Column, most: int = 3, boosted: list[str] = ()) -> Column:
+    """Distinct content words of a query, longest first, then in their order; boosted words count ten characters more."""
+    words = F.filter(X.content_tokens(query), lambda w: F.length(w) > 2)
+    extra = lambda w: F.when(w.isin(*boosted), 10).otherwise(0) if boosted else F.lit(0)
+    keyed = F.transform(F.array_distinct(words), lambda w: F.struct((-(F.length(w) + extra(w))).alias("n"), w.alias("w")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda x: x.w)
 
-def expand_synonyms(query: str, rules: dict[str, list[str]]) -> str:
-    """The query with the terms of every rule whose pattern it holds, terms already there left out."""
-    import re
 
-    out = query
-    for pattern, terms in rules.items():
-        if re.search(pattern, query, re.I):
-            out = " ".join([out, *[t for t in terms if t.lower() not in out.lower()]])
+def expand_synonyms(query: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """The query with the terms of every rule whose pattern it matches, terms that it holds by then left out."""
+    out, low = query, F.lower(query)
+    for pattern, terms in rules:
+        before = F.lower(out)
+        new = F.concat_ws(" ", *[F.when(~F.contains(before, F.lit(t.lower())), F.lit(t)) for t in terms])
+        out = F.concat_ws(" ", out, F.when(low.rlike(pattern) & (new != ""), new))
     return out
 
 
-def query_variants(query: str) -> list[str]:
+def query_variants(query: Column) -> Column:
     """One to three wordings of a query: its content words, with developing countries, as a review."""
-    import re
-
-    bare = " ".join(w for w in re.findall(r"[\w-]+", query.lower()) if w not in X.STOPWORDS)
-    variants = [bare]
-    if "countr" not in bare:
-        variants.append(f"{bare} developing countries")
-    if not re.search(r"review|meta", bare):
-        variants.append(f"{bare} systematic review")
-    return variants
+    stop = F.array(*[F.lit(w) for w in X.STOPWORDS])
+    bare = F.array_join(F.filter(X.tokens(query), lambda w: ~F.array_contains(stop, w)), " ")
+    more = [F.when(~F.contains(bare, F.lit("countr")), F.concat(bare, F.lit(" developing countries"))), F.when(~bare.rlike("review|meta"), F.concat(bare, F.lit(" systematic review")))]
+    return F.array_compact(F.array(bare, *more))
+
+
+def matched_facets(query: Column, facets: dict[str, tuple[list[str], list[str]]]) -> Column:
+    """Names of the facets that a query matches: by a trigger (a word as such, a phrase as part of the text) or by all of some words."""
+    words, low = X.tokens(query), F.lower(query)
+    marks = []
+    for name, (triggers, every) in facets.items():
+        hits = [F.contains(low, F.lit(t)) if " " in t else F.array_contains(words, t) for t in triggers]
+        if every:
+            hits.append(F.size(F.array_except(F.array(*[F.lit(w) for w in every]), words)) == 0)
+        marks.append(F.when(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(name)))
+    return F.array_compact(F.array(*marks))

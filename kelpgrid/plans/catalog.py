@@ -160,7 +160,7 @@ def d25_relaxed(spark: SparkSession, sf: str) -> DataFrame:
     return search.relaxed_candidates(works(spark, sf), ["license", "reserved"])
 
 
-@query(ARMS_SQL + "SELECT count(*) AS n, count(*) FILTER (cosine >= 0.2) AS above, count(*) FILTER (fts > 0) AS matched, max(cosine) AS best, round(avg(cosine) FILTER (cosine > 0), 6) AS mean_positive FROM lex")
+@query(ARMS_SQL + "SELECT count(*) AS n, count(*) FILTER (cosine >= 0.2) AS above, count(*) FILTER (fts > 0) AS matched, max(cosine) AS best, round(avg(cosine) FILTER (cosine > 0) + 1e-10, 6) AS mean_positive FROM lex")
 def d26_probe(spark: SparkSession, sf: str) -> DataFrame:
     return search.probe(works(spark, sf), query_vector(spark, sf), TERMS, 0.2)
 
@@ -207,12 +207,12 @@ def b13_generic_titles(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).where(predicates.is_generic_title(F.col("title"))).select("id")
 
 
-NOISE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(abstract), '{p}') THEN '{r}'" for r, p in predicates.NOISE_RULES) + " END"
+NOISE_SQL = "CASE " + " ".join("WHEN regexp_matches(lower(trim(title)), '{}'){} THEN '{}'".format(p.replace("'", "''"), "" if n is None else f" AND length(title) < {n}", r) for r, p, n in predicates.NOISE) + " END"
 
 
 @query(f"SELECT noise_reason, count(*) AS n FROM (SELECT {NOISE_SQL} AS noise_reason FROM works) GROUP BY noise_reason")
 def b14_noise_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return works(spark, sf).groupBy(predicates.noise_reason(F.col("abstract")).alias("noise_reason")).agg(F.count("*").alias("n"))
+    return works(spark, sf).groupBy(predicates.noise_reason(F.col("title")).alias("noise_reason")).agg(F.count("*").alias("n"))
 
 
 REAL_SQL = "length(trim(abstract)) >= 60 AND NOT (" + " OR ".join(f"regexp_matches(lower(trim(abstract)), '{p}')" for p in ("^https?://", "^(no abstract|abstract not available|n/a|none)", "^highlights", "</?[a-z]+>", "(cookies|all rights reserved|javascript)")) + ")"
@@ -317,13 +317,13 @@ def h02_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-, r AS (SELECT id, coalesce(year, 0) AS year, array_to_string(list_sort({words_sql('title')}), ' ') AS t, substr(title, 1, 12) AS block FROM works)
-, e AS (SELECT block, t, year, min(id) AS first FROM r GROUP BY ALL)
-, m AS (SELECT a.block, a.t, a.year, min(b.first) AS earlier FROM e a JOIN e b ON a.block = b.block AND b.first < a.first AND (a.year = b.year OR a.year = 0 OR b.year = 0)
+, r AS (SELECT id, coalesce(year, 0) AS year, array_to_string(list_sort({words_sql('title')}), ' ') AS t FROM works)
+, e AS (SELECT t, year, min(id) AS first FROM r GROUP BY ALL)
+, m AS (SELECT a.t, a.year, min(b.first) AS earlier FROM e a JOIN e b ON b.first < a.first AND (a.year = b.year OR a.year = 0 OR b.year = 0)
    AND greatest(length(a.t), length(b.t)) > 0 AND 100.0 * (1 - levenshtein(a.t, b.t) / CAST(greatest(length(a.t), length(b.t)) AS DOUBLE)) >= 90 GROUP BY ALL)
-SELECT r.id, least(e.first, coalesce(m.earlier, e.first)) AS kept_id FROM r JOIN e USING (block, t, year) LEFT JOIN m USING (block, t, year)""")
+SELECT r.id, least(e.first, coalesce(m.earlier, e.first)) AS kept_id FROM r JOIN e USING (t, year) LEFT JOIN m USING (t, year)""")
 def h02_fuzzy_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.fuzzy_first(works(spark, sf), F.substring("title", 1, 12))
+    return dedup.fuzzy_first(works(spark, sf))
 
 
 @query(f"""
@@ -346,7 +346,7 @@ def h01_provenance(spark: SparkSession, sf: str) -> DataFrame:
 POOL_SQL = f"""
 , boosted AS (
   SELECT *, round(cosine * (1 + 0.5 * least(coalesce(sms_level, 0), 5) / 5.0 + 0.3 * ({cites_sql()})
-    + 0.6 * coalesce(CAST(region = 'LAC' AS DOUBLE), 0.0) * least(greatest((cosine - 0.5) / (0.65 - 0.5), 0.0), 1.0)), 6) AS score FROM scored
+    + 0.6 * coalesce(CAST(region = 'LAC' AS DOUBLE), 0.0) * least(greatest((cosine - 0.5) / (0.65 - 0.5), 0.0), 1.0)) + 1e-10, 6) AS score FROM scored
 ), pool AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM boosted) WHERE pos <= 200)
 """
 
@@ -365,7 +365,7 @@ def g02_rerank_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 MERGED_SQL = f"""SELECT id, round(0.428 * least(greatest(cosine, 0.0), 1.0) + 0.157 * least(greatest(coalesce(sms_level, 0) / 5.0, 0.0), 1.0)
  + 0.160 * ({cites_sql()}) * (0.2 + 0.8 * least(greatest(cosine, 0.0), 1.0)) + 0.021 * greatest(0.0, 1 - ({NOW} - year) / 25.0)
- + 0.147 * CASE WHEN cosine >= 0.3 THEN 1.0 WHEN cosine >= 0.1 THEN 0.7 ELSE 0.0 END + CASE WHEN regexp_matches(lower(title), 'review|meta') THEN 0.025 ELSE 0.0 END, 6) AS score FROM scored"""
+ + 0.147 * CASE WHEN cosine >= 0.3 THEN 1.0 WHEN cosine >= 0.1 THEN 0.7 ELSE 0.0 END + CASE WHEN regexp_matches(lower(title), 'review|meta') THEN 0.025 ELSE 0.0 END + 1e-10, 6) AS score FROM scored"""
 
 
 @query(MERGED_SQL)
@@ -376,7 +376,7 @@ def g08_rerank_merged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT id, round(CASE WHEN cosine >= 0.1 THEN cosine * (1 + 0.5 * least(greatest(coalesce(sms_level, 0) / 5.0, 0.0), 1.0))
- * greatest(1 + 0.2 * greatest(0.0, 1 - ({NOW} - year) / 25.0), 1 + 0.3 * ({cites_sql()})) * (1 + 0.6 * coalesce(CAST(region = 'LAC' AS DOUBLE), 0.0)) ELSE 0.0 END, 6) AS score FROM scored""")
+ * greatest(1 + 0.2 * greatest(0.0, 1 - ({NOW} - year) / 25.0), 1 + 0.3 * ({cites_sql()})) * (1 + 0.6 * coalesce(CAST(region = 'LAC' AS DOUBLE), 0.0)) ELSE 0.0 END + 1e-10, 6) AS score FROM scored""")
 def g11_hybrid_product(spark: SparkSession, sf: str) -> DataFrame:
     from kelpgrid.functions.vector import with_cosine
 

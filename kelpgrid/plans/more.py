@@ -271,10 +271,14 @@ def a08_feed_items(spark: SparkSession, sf: str) -> DataFrame:
     return files.feed_items(feeds, "feed", "page_id").groupBy("page_id").agg(F.count("*").alias("items"))
 
 
-@query("SELECT event_id, CAST(length(event_type) AS VARCHAR) AS name_len, CAST(user_id AS VARCHAR) AS user FROM events", False)
+@query("SELECT event_id, CAST(length(event_type) AS VARCHAR) AS name_len, CAST(user_id AS VARCHAR) AS user, CAST(user_id AS VARCHAR) AS inner_id, '3' AS tags, CAST(length(event_type) AS VARCHAR) AS inner_len FROM events", False)
 def a16_scrubbed(spark: SparkSession, sf: str) -> DataFrame:
-    payload = files.scrubbed(F.create_map(F.lit("name"), "event_type", F.lit("user"), F.col("user_id").cast("string")))
-    return _events(spark, sf).select("event_id", payload["name_len"].alias("name_len"), payload["user"].alias("user"))
+    inner = F.struct("user_id", F.col("event_type").alias("message"), F.struct(F.col("value").alias("deep")).alias("more"))
+    tags = F.array(F.lit("a"), F.lit("b"), F.col("event_type"))
+    raw = F.to_json(F.struct(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("user"), inner.alias("props"), tags.alias("tags")))
+    payload = files.scrubbed_json(raw)
+    named = {"name_len": "name_len", "user": "user", "inner_id": "props.user_id", "tags": "tags_count", "inner_len": "props.message_len"}
+    return _events(spark, sf).select("event_id", *[payload[k].alias(n) for n, k in named.items()])
 
 
 @query("SELECT event_id, array_to_string(CASE WHEN event_id % 2 = 0 THEN [event_type, CAST(user_id AS VARCHAR)] ELSE [event_type, 'x'] END, '|') AS parts FROM events", False)

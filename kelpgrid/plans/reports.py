@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions import numeric as N
 from kelpgrid.functions import text as X
-from kelpgrid.operators import analytics, classify, evaluation, feedback
+from kelpgrid.operators import rules as R
+from kelpgrid.operators import analytics, classify, evaluation, feedback, joins
 from kelpgrid.plans.catalog import NOW, query, title_sql, words_sql
 from kelpgrid.plans.works import query_vector, works
 from kelpgrid.sources import files
@@ -221,15 +222,22 @@ GRAM = 10
  r AS (SELECT doc_id, item_id, island, count(*) AS run FROM h GROUP BY ALL)
 SELECT doc_id, item_id, max(run) + 9 AS words FROM r GROUP BY ALL""", False)
 def i17_verbatim_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Longest run of words that a document shares with a benchmark item, from runs of shared ten-word grams."""
+    """Longest run of words that a document shares with a benchmark item, from runs of shared ten-word grams.
+
+    Grams are two hashes, made within the row; those of the benchmark are sent to the documents if they are few enough.
+    """
 
     def grams(rows: DataFrame, key: str) -> DataFrame:
         ws = rows.select(key, X.tokens(F.col("text")).alias("ws")).where(F.size("ws") >= GRAM)
         pos = F.sequence(F.lit(1), F.size("ws") - GRAM + 1)
-        return ws.select(key, F.explode(F.transform(pos, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("ws", i, F.lit(GRAM)), " ").alias("g")))).alias("x")).select(key, "x.pos", F.xxhash64("x.g").alias("h"), F.col("x.g").alias("g"))
+        text = F.transform(pos, lambda i: F.array_join(F.slice("ws", i, F.lit(GRAM)), " "))
+        hashed = F.transform(text, lambda g, i: F.struct((i + 1).alias("pos"), F.xxhash64(g).alias("h"), F.xxhash64(F.lit("second"), g).alias("g")))
+        return ws.select(key, F.explode(hashed).alias("x")).select(key, "x.*")
 
     items, docs = grams(table(spark, sf, "benchmark"), "item_id"), grams(table(spark, sf, "documents"), "doc_id").drop("pos")
-    hits = items.join(docs, ["h", "g"]).select("doc_id", "item_id", "pos").distinct()
+    known = joins.broadcast_if_few(items.select("h", "g").distinct(), 2_000_000)
+    near = docs.join(known, ["h", "g"], "left_semi").distinct()
+    hits = items.join(near, ["h", "g"]).select("doc_id", "item_id", "pos").distinct()
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy("pos"))
     runs = hits.withColumn("island", island).groupBy("doc_id", "item_id", "island").agg(F.count("*").alias("run"))
     return runs.groupBy("doc_id", "item_id").agg((F.max("run") + GRAM - 1).alias("words"))
@@ -237,12 +245,27 @@ def i17_verbatim_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- labels -----------------------------------------------------------------------------------------------------------
 
-METHOD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(concat_ws(' ', title, abstract)), '{p}') THEN {n}" for n, _, p in classify.METHOD_RULES) + " END"
+def method_sql(text: str, rules: list, result: int) -> str:
+    """A CASE over the rules of methods: their level (0) or design (1)."""
+    hit = lambda c, o, a: f"regexp_matches(lower({text}), '{R.lower_pattern(c, o)}')" + (f" OR regexp_matches({text}, '{R.acronym_pattern(a)}')" if a else "")
+    return "CASE " + " ".join(f"WHEN {hit(*r[2:])} THEN {repr(r[result])}" for r in rules) + " END"
+
+
+METHOD_TEXT = "(coalesce(abstract, '') || ' ' || coalesce(title, ''))"
 
 
-@query(f"SELECT id, coalesce(sms_level, CASE WHEN ({METHOD_SQL}) IS NOT NULL THEN least({METHOD_SQL}, CASE WHEN length(trim(abstract)) > 0 THEN 3 ELSE 2 END) END) AS level FROM works")
+@query(f"""SELECT id, coalesce(sms_level, least(found, CASE WHEN length(abstract) > 0 THEN 3 ELSE 2 END)) AS level, design
+ FROM (SELECT *, {method_sql(METHOD_TEXT, R.METHODS, 0)} AS found, {method_sql(METHOD_TEXT, R.METHODS, 1)} AS design FROM works) WHERE sms_level IS NOT NULL OR found IS NOT NULL""")
 def k01_sms_level(spark: SparkSession, sf: str) -> DataFrame:
-    return works(spark, sf).select("id", classify.sms_level(F.col("title"), F.col("abstract"), F.col("sms_level")).alias("level"))
+    title, abstract = F.col("title"), F.col("abstract")
+    labelled = works(spark, sf).select("id", classify.sms_level(title, abstract, F.col("sms_level")).alias("level"), classify.method(classify.method_text(title, abstract)).design.alias("design"))
+    return labelled.where("level is not null")
+
+
+@query(f"SELECT id, {method_sql(METHOD_TEXT, R.INGEST_METHODS, 0)} AS level, {method_sql(METHOD_TEXT, R.INGEST_METHODS, 1)} AS design FROM works")
+def k04_ingest_methods(spark: SparkSession, sf: str) -> DataFrame:
+    found = classify.method(classify.method_text(F.col("title"), F.col("abstract")), R.INGEST_METHODS)
+    return works(spark, sf).select("id", found.alias("m")).select("id", "m.level", "m.design")
 
 
 @query("""SELECT id, CASE WHEN id % 2 = 0 AND sms_level >= 3 AND length(trim(abstract)) = 0 THEN least(sms_level, 2) WHEN id % 2 = 0 AND sms_level >= 4 THEN least(sms_level, 3) ELSE sms_level END AS level FROM works""")
@@ -260,7 +283,12 @@ def k05_publication_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FOLD_SQL = f"lower(translate(abstract, '{X.ACCENTED}', '{X.FOLDED}'))"
-TAGS_SQL = "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({FOLD_SQL}, '{p}') THEN '{c}' END" for c, _, p in classify.COUNTRIES) + "], lambda x: x IS NOT NULL))"
+def case_sql(value: str, pairs: dict) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in pairs.items()) + " END"
+
+
+TAGS_SQL = f"""list_sort(list_distinct(flatten(list_transform(list_transform(regexp_extract_all({FOLD_SQL}, '{R.COUNTRY_PATTERN}', 1),
+ lambda w: {case_sql('w', R.COUNTRY_OF)}), lambda c: {case_sql('c', R.TAGS_OF)}))))"""
 
 
 @query(f"SELECT id, array_to_string({TAGS_SQL}, ',') AS tags FROM works")
@@ -268,10 +296,7 @@ def k06_countries(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).select("id", F.array_join(classify.countries(F.col("abstract")), ",").alias("tags"))
 
 
-BUCKET_SQL = "CASE t " + " ".join(f"WHEN '{c}' THEN '{r}'" for c, r, _ in classify.COUNTRIES) + " END"
-
-
-@query(f"SELECT id, CASE WHEN len(tags) = 0 THEN 'Global' ELSE array_to_string(list_sort(list_distinct(list_transform(tags, lambda t: {BUCKET_SQL}))), ',') END AS regions FROM (SELECT id, {TAGS_SQL} AS tags FROM works)")
+@query(f"SELECT id, CASE WHEN len(r) = 0 THEN 'Global' ELSE array_to_string(r, ',') END AS regions FROM (SELECT id, list_sort(list_distinct(list_filter(list_transform({TAGS_SQL}, lambda t: {case_sql('t', R.REGION_OF)}), lambda x: x IS NOT NULL))) AS r FROM works)")
 def k07_regions(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).select("id", F.array_join(classify.regions(classify.countries(F.col("abstract"))), ",").alias("regions"))
 

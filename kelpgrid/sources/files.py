@@ -18,16 +18,18 @@ def feed_items(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 
 def inverted_abstract(rows: DataFrame, id_col: str, index_col: str) -> DataFrame:
-    """Text of a {word: [positions]} map, the words by position."""
-    words = rows.select(id_col, F.explode(index_col).alias("word", "positions")).select(id_col, "word", F.explode("positions").alias("pos"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word), " ")
-    return words.groupBy(id_col).agg(joined.alias("abstract"))
+    """Text of a {word: [positions]} map, the words by position, put together within the row; rows of no words are left out."""
+    entries = F.map_entries(index_col)
+    placed = F.flatten(F.transform(entries, lambda e: F.transform(e.value, lambda p: F.struct(p.alias("pos"), e.key.alias("word")))))
+    joined = F.array_join(F.transform(F.array_sort(placed), lambda x: x.word), " ")
+    return rows.where(F.size(placed) > 0).select(id_col, joined.alias("abstract"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, ignore: bool = False) -> DataFrame:
-    """One row per key: the incoming one, or with ``ignore`` the existing one."""
+    """One row per key: the incoming one, or with ``ignore`` the existing one; of several of one side the one with the least hash of its values."""
     both = existing.withColumn("order_", F.lit(0 if ignore else 1)).unionByName(incoming.withColumn("order_", F.lit(1 if ignore else 0)), allowMissingColumns=True)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("order_"))
+    values = [c for c in both.columns if c != "order_"]
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("order_", F.xxhash64(*values)))
     return both.withColumn("nth_", nth).where("nth_ = 1").drop("nth_", "order_")
 
 
@@ -67,8 +69,25 @@ def repaired_array(value: Column) -> Column:
     return F.coalesce(parsed, F.transform(F.split(value, ";"), lambda x: F.trim(x)))
 
 
-# Names of fields that may hold personal data.
-PERSONAL = "(?i)email|name|phone|address|token|text|query"
+# Parts of the names of fields that may hold personal data or text that people wrote.
+PERSONAL = "(?i)query|question|prompt|text|instruction|abstract|title|body|content|email|answer|message|doi|url|paste|name|phone|address|token"
+
+
+def scrubbed_json(payload: Column, most: int = 64) -> Column:
+    """A JSON object in text without personal fields, as a map of text.
+
+    Each personal field is replaced by its length; lists are kept as their number of entries only; objects within are
+    scrubbed the same way, one level deep, their fields named ``outer.inner``, and anything deeper is dropped.
+    """
+    top = F.from_json(payload, "map<string,string>")
+    is_object, is_list = (lambda v: F.trim(v).startswith("{")), (lambda v: F.trim(v).startswith("["))
+    nested = F.map_filter(top, lambda k, v: is_object(v) & ~k.rlike(PERSONAL))
+    inner = F.flatten(F.transform(F.map_entries(nested), lambda e: F.transform(F.map_entries(F.from_json(e.value, "map<string,string>")), lambda f: F.struct(F.concat(e.key, F.lit("."), f.key).alias("key"), f.value.alias("value")))))
+    inner = F.map_filter(F.map_from_entries(inner), lambda k, v: ~is_object(v))
+    flat = F.map_concat(F.map_filter(top, lambda k, v: ~is_object(v) | k.rlike(PERSONAL)), inner)
+    lists = F.map_filter(flat, lambda k, v: is_list(v) & ~k.rlike(PERSONAL))
+    sizes = F.transform_keys(F.transform_values(lists, lambda k, v: F.json_array_length(v).cast("string")), lambda k, v: F.concat(k, F.lit("_count")))
+    return F.map_concat(scrubbed(F.map_filter(flat, lambda k, v: ~is_list(v) | k.rlike(PERSONAL)), most), sizes)
 
 
 def scrubbed(payload: Column, most: int = 64) -> Column:

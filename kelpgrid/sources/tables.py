@@ -17,7 +17,8 @@ def on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join([ROOT, *known])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table below ``sf_dir``; any path that Spark's readers can open."""
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """One parquet table below ``sf_dir`` (any path that Spark's readers can open), or some of its columns."""
     on_workers(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.select(*columns) if columns else rows

@@ -60,7 +60,7 @@ def test_array_predicates(spark):
 
 
 def test_quality_gates(spark):
-    assert one(spark, predicates.noise_reason(F.lit("Erratum: a book review"))) == "book_review"
+    assert one(spark, predicates.noise_reason(F.lit("A book review"))) == "book_review"
     assert one(spark, predicates.noise_reason(F.lit(None).cast("string"))) is None
     assert not one(spark, predicates.is_real_abstract(F.lit(None).cast("string")))
     assert one(spark, predicates.is_real_abstract(F.lit("A study of things " * 5)))
@@ -137,11 +137,12 @@ def test_fusion_only_holds_rows_of_its_arms(spark):
     assert one(spark, search.rrf(F.lit(1), F.lit(None).cast("int"))) == pytest.approx(1 / 61)
 
 
-def test_query_helpers():
-    assert search.pick_terms("the impact of early schooling on wages", 2) == ["schooling", "impact"]
-    assert search.pick_terms("wages and schooling", 1, frozenset({"wages"})) == ["wages"]
-    assert search.expand_synonyms("women at work", {"women": ["gender", "Women"]}) == "women at work gender"
-    assert len(search.query_variants("effect of schools")) == 3
+def test_query_helpers(spark):
+    assert one(spark, search.pick_terms(F.lit("the impact of early schooling on wages"), 2)) == ["schooling", "impact"]
+    assert one(spark, search.pick_terms(F.lit("wages and schooling"), 1, ["wages"])) == ["wages"]
+    assert one(spark, search.expand_synonyms(F.lit("women at work"), [("women", ["gender", "Women"]), ("gender", ["sex"])])) == "women at work gender"
+    assert one(spark, search.query_variants(F.lit("effect of schools"))) == ["effect schools", "effect schools developing countries", "effect schools systematic review"]
+    assert one(spark, search.query_variants(F.lit("review of countries"))) == ["review countries"]
 
 
 def test_text(spark):
@@ -172,7 +173,7 @@ def test_vectors(spark):
 
 def test_levels(spark):
     level = lambda title, text, known=None: one(spark, classify.sms_level(F.lit(title), F.lit(text).cast("string"), F.lit(known).cast("int")))
-    assert level("A randomized trial", "we did") == 3 and level("A randomized trial", None) == 2 and level("x", "y") is None and level("a survey", "b", 5) == 5
+    assert level("A randomized experiment", "we did") == 3 and level("A randomized experiment", None) == 2 and level("x", "y") is None and level("a survey", "b", 5) == 5
     cap = lambda n, how, text: one(spark, classify.capped_level(F.lit(n), F.lit(how), F.lit(text)))
     assert [cap(5, "keyword", "x"), cap(5, "keyword", ""), cap(5, "manual", ""), cap(1, "keyword", "")] == [3, 2, 5, 1]
 
@@ -211,7 +212,7 @@ def test_joins_and_dedup(spark):
     assert sorted(r.id for r in dedup.first_of_each(w, key, [F.asc("id")]).collect()) == [1, 3, 6]
     again = dedup.first_of_each(dedup.first_of_each(w, key, [F.asc("id")]), key, [F.asc("id")])
     assert again.count() == 3
-    assert {tuple(r) for r in dedup.fuzzy_first(w, F.lit("x")).collect()} >= {(1, 1), (2, 2), (4, 4), (5, 5), (6, 6)}
+    assert {tuple(r) for r in dedup.fuzzy_first(w).collect()} >= {(1, 1), (2, 2), (4, 4), (5, 5), (6, 6)}
     assert [tuple(r)[:2] for r in joins.match_gate(w.where("id = 3"), w.where("id = 4")).collect()] == [(3, 4)]
     edges = spark.createDataFrame([(1, 10), (2, 10), (1, 2), (2, 11)], "citing long, cited long")
     seeds = spark.createDataFrame([(1,), (2,)], "id long")
@@ -248,3 +249,114 @@ def test_claims(spark):
     q = spark.createDataFrame([(1, "queued", 1.0, 5, None), (2, "processing", 9.0, 1, "2024-01-31 23:00:00"), (3, "processing", 9.0, 0, "2024-01-31 23:55:00"), (4, "queued", 9.0, 2, None), (5, "done", 9.0, 0, None)], "id long, state string, priority double, enqueued_at int, s string")
     q = q.withColumn("started_at", F.col("s").cast("timestamp_ntz"))
     assert [r.id for r in jobs.claim(q, "2024-02-01 00:00:00", 2).collect()] == [2, 4]
+
+
+def test_fuzzy_titles_against_all_pairs(spark):
+    """Edits anywhere, words in another order, another case, missing years: no near pair is lost."""
+    import random
+
+    rng = random.Random(3)
+    base = [" ".join(rng.choices("income school water trade growth policy labour market rural urban firm export".split(), k=rng.randint(1, 8))) for _ in range(25)]
+    rows = []
+    for t in base:
+        rows.append(t)
+        for _ in range(3):
+            words = t.upper().split()
+            rng.shuffle(words)
+            chars = list(" ".join(words))
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(chars))
+                chars[at] = rng.choice(["", "x", chars[at] + "y"])
+            rows.append("".join(chars))
+    rows = [(i, t, rng.choice([None, 2000, 2001])) for i, t in enumerate([*rows, None, "", "a"])]
+
+    def key(t):
+        return " ".join(sorted(x for x in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()))
+
+    def distance(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                before, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, before + (x != y))
+        return line[-1]
+
+    first = {}
+    for i, t, y in rows:
+        first.setdefault((key(t), y or 0), i)
+    want = set()
+    for i, t, y in rows:
+        best = first[key(t), y or 0]
+        for (k, z), j in first.items():
+            longer = max(len(k), len(key(t)))
+            if j < first[key(t), y or 0] and longer and 100 * (1 - distance(k, key(t)) / longer) >= 90 and (z == (y or 0) or not z or not y):
+                best = min(best, j)
+        want.add((i, best))
+    df = spark.createDataFrame(rows, "id long, title string, year int")
+    assert {tuple(r) for r in dedup.fuzzy_first(df).collect()} == want
+
+
+def test_methods_of_titles_and_abstracts(spark):
+    def label(title, abstract):
+        t, a = F.lit(title).cast("string"), F.lit(abstract).cast("string")
+        return one(spark, classify.sms_level(t, a)), one(spark, classify.method(classify.method_text(t, a)).design)
+
+    assert label("Effects of a program", "We run a randomized controlled trial with treatment and control groups.") == (3, "RCT")
+    assert label("Policy shock", "Using a difference-in-differences design across states, we estimate...") == (3, "DiD")
+    assert label("A natural experiment on earthquakes and regression discontinuity", None) == (2, "RDD")
+    assert label("Panel data evidence on fixed effects estimation", "")[0] == 2
+    assert label("A qualitative study", "This qualitative case study describes interviews with officials.") == (1, "Qualitative")
+    assert label("Determinants of spending", "We document a correlation using OLS cross-sectional regression.")[0] == 2
+    assert label("An essay", "Some thoughts on policy.") == (None, None)
+    assert label(None, "the RCT of 2009") == (3, "RCT") and label(None, "a didactic arctic diverse text") == (None, None)
+
+
+def test_countries_and_regions(spark):
+    tags = lambda t: one(spark, classify.countries(F.lit(t)))
+    assert tags("Schools in México, Costa Rica and the Dominican Republic") == ["Caribbean", "Central America", "Costa Rica", "Dominican Republic", "LAC", "Mexico"]
+    assert tags("GERMAN and South African firms in South Africa") == ["Germany", "OECD", "South Africa"]
+    assert tags("Indiana and Peruse") == []
+    region = lambda t: one(spark, classify.regions(classify.countries(F.lit(t))))
+    assert region("Chinese trade") == ["Global"] and region("Haiti and Egypt") == ["LAC", "MENA"] and region("nothing") == ["Global"]
+
+
+@pytest.mark.parametrize(
+    "title,reason",
+    [
+        ("Book Review: Trade", "book_review"),
+        ("Some book reviews", "book_review"),
+        ("A long title that speaks of book reviews in passing", None),
+        ("Errata", "correction_retraction"),
+        ("Retracted: Growth", "correction_retraction"),
+        ("In Memoriam", "obituary_award"),
+        ("Call for papers", "vacancy_announcement"),
+        ("Index to Volume 3", "index_front_matter"),
+        ("Editors' Summary", "generic_section_header"),
+        ("Introduction to trade", None),
+        ("Forthcoming Papers", "forthcoming"),
+    ],
+)
+def test_noise(spark, title, reason):
+    assert one(spark, predicates.noise_reason(F.lit(title))) == reason
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "quoted", text', None), (2, "plain", 3)], "id long, text string, n int")
+    files.write_csv(df, f"{tmp_path}/csv")
+    back = spark.read.option("header", True).option("quote", '"').option("escape", '"').schema(df.schema).csv(f"{tmp_path}/csv")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    files.write_json_lines(df, f"{tmp_path}/json")
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(f"{tmp_path}/json").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_upsert_of_several_rows_of_one_key(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "b"), (1, "c"), (1, "d")], "k int, v string")
+    assert len({tuple(files.upsert(old, new.repartition(n), "k").first()) for n in (1, 2, 3)}) == 1
+
+
+def test_scrub(spark):
+    raw = '{"title": "secret words", "channel": "rss", "props": {"message": "hello", "n": 3, "deeper": {"text": "no"}}, "ids": [1, 2, 3], "urls": ["a"]}'
+    got = one(spark, files.scrubbed_json(F.lit(raw)))
+    assert got == {"title_len": "12", "channel": "rss", "props.message_len": "5", "props.n": "3", "ids_count": "3", "urls_len": "5"}
+    assert one(spark, files.scrubbed_json(F.lit(None).cast("string"))) is None

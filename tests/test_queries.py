@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from kelpgrid.plans import catalog, enrichment, more, reports, wording  # noqa: F401
+from kelpgrid.plans import catalog, details, enrichment, more, reports, wording  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
