@@ -37,7 +37,8 @@ def edit_pieces(least: float = 90.0):
 
     A text of n characters is cut into one piece more than it may have edits, one of which the other text then holds
     unchanged. The other text, as long or longer, shows for every length that it may meet the substrings that can be such
-    a piece: an unchanged piece lies no further off than the edits before and after it allow. Yields (t, side, n, piece, text).
+    a piece: an unchanged piece lies no further off than the edits before and after it allow. Two functions of a text
+    that yield (length of the cut text, number of the piece, piece).
     """
     share = (100.0 - least) / 100.0
 
@@ -45,19 +46,21 @@ def edit_pieces(least: float = 90.0):
         parts = min(n, int(n * share / (1 - share) + 1e-9) + 1)
         return [n * i // parts for i in range(parts + 1)]
 
-    def of(t: str) -> Iterator[tuple[str, int, int, int, str]]:
+    def own(t: str) -> Iterator[tuple[int, int, str]]:
+        n, marks = len(t), cuts(len(t))
+        for i, (a, b) in enumerate(zip(marks, marks[1:])):
+            yield n, i, t[a:b]
+
+    def met(t: str) -> Iterator[tuple[int, int, str]]:
         n = len(t)
-        own = cuts(n)
-        for i, (a, b) in enumerate(zip(own, own[1:])):
-            yield t, 0, n, i, t[a:b]
         most = int(n * share + 1e-9)
         for m in range(max(1, n - most), n + 1):
             left, right, marks = (most - (n - m)) // 2, (most + (n - m)) // 2, cuts(m)
             for i, (a, b) in enumerate(zip(marks, marks[1:])):
                 for part in {t[at : at + b - a] for at in range(max(0, a - left), min(a + right, n - (b - a)) + 1)}:
-                    yield t, 1, m, i, part
+                    yield m, i, part
 
-    return of
+    return own, met
 
 
 def fuzzy_first(rows: DataFrame, least: float = 90.0) -> DataFrame:
@@ -69,21 +72,25 @@ def fuzzy_first(rows: DataFrame, least: float = 90.0) -> DataFrame:
     """
     ready = rows.select("id", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce(F.array_join(F.array_sort(X.tokens(F.col("title"))), " "), F.lit("")).alias("t"))
     each = ready.groupBy("t", "year").agg(F.min("id").alias("first"))
-    of = edit_pieces(least)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                found = [x for t in batch.t.iloc[at : at + 200] for x in of(t)]
-                yield pd.DataFrame(found, columns=["t", "side", "n", "piece", "part"])
-
-    pieces = each.where("t <> ''").select("t").distinct().mapInPandas(run, "t string, side int, n int, piece int, part string")
-    a = pieces.where("side = 0").select(F.col("t").alias("at"), "n", "piece", "part")
-    b = pieces.where("side = 1").select(F.col("t").alias("bt"), "n", "piece", "part")
-    met = a.join(b, ["n", "piece", "part"]).where("at <> bt").select("at", "bt").distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    titles = each.where("t <> ''").select("t").distinct().repartition(parts)  # few bytes, but many pieces
+
+    def pieces(of, name: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 200):
+                    found = [(t, *x) for t in batch.t.iloc[at : at + 200] for x in of(t)]
+                    yield pd.DataFrame(found, columns=[name, "n", "piece", "part"])
+
+        return titles.mapInPandas(run, f"{name} string, n int, piece int, part string")
+
+    own, met = edit_pieces(least)
+    # The size of what Python makes is not estimated: both sides are shuffled, whatever the titles' size.
+    pairs = pieces(own, "at").hint("merge").join(pieces(met, "bt"), ["n", "piece", "part"]).where("at <> bt").select("at", "bt").distinct()
     longer = F.greatest(F.length("at"), F.length("bt"))
-    close = met.where((longer > 0) & (100.0 * (1 - F.levenshtein("at", "bt") / longer) >= least)).select("at", "bt")
-    near = close.unionByName(close.select(F.col("bt").alias("at"), F.col("at").alias("bt"))).distinct()
+    close = pairs.where((longer > 0) & (100.0 * (1 - F.levenshtein("at", "bt") / longer) >= least))
+    both = F.explode(F.array(F.struct("at", "bt"), F.struct(F.col("bt").alias("at"), F.col("at").alias("bt"))))
+    near = close.select(both.alias("x")).select("x.*").distinct()
     same = each.where("t <> ''").select(F.col("t").alias("at"), F.col("t").alias("bt")).distinct()  # the same title with and without a year
     x, y = each.alias("x"), each.alias("y")
     same_year = (F.col("x.year") == F.col("y.year")) | (F.col("x.year") == 0) | (F.col("y.year") == 0)

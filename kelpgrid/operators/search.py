@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
 from kelpgrid.functions.numeric import rounded
-from kelpgrid.functions.vector import cosine, literal, only_row, with_cosine
+from kelpgrid.functions.vector import cosine_to, only_row, with_cosine
 from kelpgrid.operators.predicates import SearchFilters
 from kelpgrid.plans.works import searchable
 
@@ -46,11 +46,14 @@ def cosine_top_k(works: DataFrame, query: DataFrame, k: int = 20, threshold: flo
 
 def lexical_score(text: Column, terms: list[str]) -> Column:
     """Share of the words that are a term, times 100; 0 unless every term occurs."""
-    words = X.tokens(text)
     wanted = F.array(*[F.lit(t) for t in terms])
-    every = F.size(F.array_except(wanted, words)) == 0
-    hits = F.size(F.filter(words, lambda w: F.array_contains(wanted, w)))
-    return F.when(every & (F.size(words) > 0), F.round(100.0 * hits / F.size(words), 6)).otherwise(0.0)
+
+    def score(words: Column) -> Column:
+        every = F.size(F.array_except(wanted, words)) == 0
+        hits = F.size(F.filter(words, lambda w: w.isin(*terms)))
+        return F.when(every & (F.size(words) > 0), F.round(100.0 * hits / F.size(words), 6)).otherwise(0.0)
+
+    return F.transform(F.array(X.tokens(text)), score)[0]  # bound once: the text is not split again for each use
 
 
 def lexical_top_k(works: DataFrame, terms: list[str], k: int = 20, filters: SearchFilters = SearchFilters()) -> DataFrame:
@@ -82,16 +85,15 @@ def multi_facet(works: DataFrame, facets: DataFrame, k: int = 200, threshold: fl
     ``facets`` is (facet, q), a row for each of the at most 64 facets of one query.
     """
     wanted = only_row(facets, 64)
-    each = F.array(*[F.struct(F.lit(f.facet).alias("facet"), F.round(cosine(F.col("embedding"), literal(f.q)), 6).alias("sim")) for f in wanted])
-    sims = searchable(works).select("id", F.explode(each).alias("x")).select("id", "x.facet", "x.sim")
+    each = F.array(*[F.struct(F.lit(f.facet).alias("facet"), F.round(cosine_to(F.col("embedding"), f.q), 6).alias("sim")) for f in wanted])
+    rows = searchable(works).select("id", each.alias("sims"))
+    sims = rows.select("id", F.explode("sims").alias("x")).select("id", "x.facet", "x.sim").where(F.col("sim") >= threshold)
     w = Window.partitionBy("facet").orderBy(F.desc("sim"), "id")
-    hit = sims.withColumn("hit", (F.row_number().over(w) <= k) & (F.col("sim") >= threshold))
-    grouped = hit.groupBy("id").agg(
-        F.max(F.when(F.col("hit"), F.col("sim"))).alias("similarity"),
-        F.count_if("hit").alias("channels"),
-        F.round(F.exp(F.avg(F.log(F.greatest("sim", F.lit(0.01))))), 6).alias("gm"),
-    )
-    return grouped.where("channels > 0")
+    best = sims.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)  # each task keeps its own k before the shuffle
+    found = best.groupBy("id").agg(F.max("sim").alias("similarity"), F.count("*").alias("channels"))
+    logs = F.transform("sims", lambda x: F.log(F.greatest(x.sim, F.lit(0.01))))
+    gm = F.exp(F.aggregate(logs, F.lit(0.0), lambda s, x: s + x) / F.size("sims"))
+    return rows.join(F.broadcast(found), "id").select("id", "similarity", "channels", F.round(gm, 6).alias("gm"))  # 64 k rows at most are broadcast
 
 
 def facet_order(found: DataFrame, most: int = 12_800) -> DataFrame:
