@@ -130,7 +130,7 @@ class Mixture:
         self.plans = [SourcePlan(i, r.n, t, block) for i, (r, t) in enumerate(zip(totals, targets))]
         rows = [(i, r.source, r.n, float(t)) for i, (r, t) in enumerate(zip(totals, targets))]
         self.sources = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double")
-        self.placed = self._placed(sized, 16 + max((r.rows for r in totals), default=0) // ROWS_A_PART)
+        self.placed = self._placed(sized, 256 + max((r.rows for r in totals), default=0) // ROWS_A_PART)
 
     def keyed(self, docs: DataFrame) -> DataFrame:
         """``mix_key`` (128 bits of hash of a row's id, source and text) before all columns of ``docs``."""
