@@ -6,7 +6,8 @@ fingerprints covers a similarity of 0.8, so what they miss is completed: nodes t
 of their MinHash signature (of 240 minima in 48 bands of five, a pair at similarity 0.8 shares none with
 probability 5e-9, a more similar pair with less). Neighbours within a band are verified first, which connects large groups
 by a number of pairs that grows with their size; then, of the nodes that share a band with another component, the pairs that
-share one of their rarest shingles.
+share one of their rarest shingles, early enough in both sets that what follows can still make them alike (prefix and
+positional filters of set similarity joins): texts with more words of their own than a match may have make no pairs.
 """
 
 from __future__ import annotations
@@ -125,15 +126,17 @@ def _edges(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, words
     parted = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
     # What is left are nodes that share a band with another component. Of two sets as alike as asked for, the rarest
     # shingles have one in common (as many of each as it may lack, and one more): a passage that many texts share brings no pairs.
+    # At the first shingle that both have, what is left of either set bounds what they share.
     open_nodes = rooted.join(parted, "band").select("node", "root", "n").distinct()
     each = sets.join(open_nodes, "node").select("node", "root", "n", F.explode("shingles").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
     need = F.col("n") - F.ceil(F.col("n") * least.numerator / least.denominator - 1e-9) + 1
     rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
     keys = each.join(counts, "s").withColumn("nth", rarest).where((F.col("nth") <= need) & (F.col("least") < F.col("most")))
-    keys = stage(keys.select("s", "node", "root", "n"), "rarest")
+    keys = stage(keys.select("s", "node", "root", "n", (F.col("n") - F.col("nth") + 1).alias("left")), "rarest")
     a, b = keys.alias("a"), keys.alias("b")
-    rest = a.join(b, "s").where((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits("a.n", "b.n"))
+    enough = F.least("a.left", "b.left") * (least.numerator + least.denominator) >= (F.col("a.n") + F.col("b.n")) * least.numerator
+    rest = a.join(b, "s").where((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & fits("a.n", "b.n") & enough)
     rest = rest.select(*ends("a.node", "b.node")).distinct()
     return first.unionByName(_verified(rest, sets, least))
 
