@@ -89,3 +89,16 @@ def np_and(a, b):
 
 def test_empty(spark):
     assert S.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_of_one_text_on_both_sides_of_the_bound(spark):
+    rng = random.Random(12)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
+    data = [(k, changed(rng, base, rng.choice([1, 2, 3, 4, 5, 6, 9]))) for k in range(40)]
+    words = base.split()
+    for k in range(40, 60):  # parts left out: no words of their own
+        at = rng.randrange(100)
+        data.append((k, " ".join(words[:at] + words[at + rng.choice([8, 20, 35]) :])))
+    kept = S.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
+    assert 1 < len(slow_kept(data)) < 50
+    assert sorted((False, r.doc_id) for r in kept.collect()) == slow_kept(data)
