@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpgrid.llm import fingerprint, html_text, mixing, packing, secret_scan, simhash_dedup, token_counts, topk_search, toxicity, warc_archive
+from kelpgrid.llm import cross_tokens, divergence, fingerprint, html_text, mixing, packing, secret_scan, sharding, simhash_dedup, token_counts, topk_search, toxicity, warc_archive
 from kelpgrid.sources.tables import table
 
 
@@ -82,6 +82,54 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (
+  SELECT row, lang, source, unnest(words) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+), l AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (kept.lang_n + 2)) // (l.lang_total + 2 * l.v) AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(pairs.value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rn FROM parts
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rn AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rn <= 10
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
@@ -94,8 +142,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_toxicity": op9_toxicity,
         "op10_secret_scan": op10_secret_scan,
+        "op11_divergence": op11_divergence,
+        "op12_alignment": op12_alignment,
+        "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": SQL_OP1, "op5_warc": SQL_OP5}
+    return {"op1_topk_search": SQL_OP1, "op5_warc": SQL_OP5, "op11_divergence": SQL_OP11}
