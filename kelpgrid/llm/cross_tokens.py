@@ -130,7 +130,7 @@ def _batch(both: Pair, doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordB
 TOKENS = "docs array<struct<doc_id:long,chunks:array<int>,n_a:long,n_b:long>>, chunks array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>"
 
 
-def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 23) -> DataFrame:
+def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
     """``docs, chunks`` of about ``batch_chars`` bytes of text a row: the distinct chunks' tokens, and the chunks of each text in order.
 
     A text that can't be cut at its spaces is one chunk. Null and empty texts, and those whose joined token bytes are
@@ -241,10 +241,14 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
 def _linked(batches: DataFrame, once: bool) -> DataFrame:
     """``batch, place, pair``: the id pairs of the links of every text, all of them or each distinct one once."""
-    each = batches.select("batch", "links", F.posexplode("docs").alias("place", "doc")).select("batch", "place", "links", F.col("doc.chunks").alias("chunks"))
-    chunks = F.array_distinct("chunks") if once else F.col("chunks")
-    pairs = F.flatten(F.transform(chunks, lambda k: F.col("links")[k]))
-    return each.select("batch", "place", F.explode(F.array_distinct(pairs) if once else pairs).alias("pair"))
+
+    def pairs(d: Column) -> Column:
+        chunks = F.array_distinct(d.chunks) if once else d.chunks
+        found = F.flatten(F.transform(chunks, lambda k: F.col("links")[k]))
+        return F.array_distinct(found) if once else found
+
+    each = batches.select("batch", F.posexplode(F.transform("docs", pairs)).alias("place", "pairs"))  # put together before rows are made: no row carries the batch's table
+    return each.select("batch", "place", F.explode("pairs").alias("pair"))
 
 
 def pair_counts(batches: DataFrame) -> DataFrame:
