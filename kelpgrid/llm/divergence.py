@@ -42,9 +42,10 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     words = docs.select(lang.alias("lang"), source.alias("source"), terms(text).alias("w"))
     # Every occurrence counts one; each distinct term of a document comes once more, with a mark in front.
     marked = F.concat("w", F.transform(F.array_distinct("w"), lambda w: F.concat(F.lit(" "), w)))
-    each = words.select("lang", "source", F.explode(marked).alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
+    each = words.select("lang", "source", F.explode(marked).alias("term"))
     by_doc = F.startswith("term", F.lit(" "))
-    return each.groupBy("lang", "source", F.ltrim("term").alias("term")).agg(F.sum(F.when(~by_doc, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(by_doc, F.col("n")).otherwise(0)).alias("docs"))
+    found = each.select("lang", "source", F.ltrim("term").alias("term"), F.when(by_doc, 0).otherwise(1).alias("n"), F.when(by_doc, 1).otherwise(0).alias("docs"))
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def audit(docs: DataFrame, least: int = 10, top: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
