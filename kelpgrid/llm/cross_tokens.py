@@ -32,6 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: A text some of whose chunks can't be told apart without their neighbours.
 TANGLED = re.compile(r"\x20(?:\s|$)|^\x20")
 EDGE = re.compile(r"^\s|\s$")
+EDGES = re.compile(r"\s\x20|\x20\s")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -62,26 +63,35 @@ class Pair:
             return [np.array(a, np.int32), np.array(b, np.int32)]
         return None
 
-    def chunks(self, words: list[str]) -> tuple[list[list[np.ndarray]], np.ndarray]:
-        """The ids of each word, with a space before it, under both, and the words that have none."""
-        joined = [i for i, w in enumerate(words) if not EDGE.search(w)]
-        alone = {i: self.one(words[i]) for i in range(len(words)) if EDGE.search(words[i])} if len(joined) < len(words) else {}
-        whole = self.one(" ".join([words[i] for i in joined])) if joined else []
+    def chunks(self, words: list[str], sizes: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For both: the ids of all words, each with a space before it, one after the other, and each word's number of them; the words that have none.
+
+        ``sizes`` are the words' bytes. Words with white space at an end are encoded alone, all others as one text.
+        """
+        joined = " ".join(words)
+        apart = np.array([i for i, w in enumerate(words) if EDGE.search(w)] if EDGES.search(joined) or joined[:1].isspace() or joined[-1:].isspace() else [], np.int64)
+        inside = np.ones(len(words), bool)
+        inside[apart] = False
+        whole = self.one(joined if not len(apart) else " ".join([w for w, x in zip(words, inside.tolist()) if x])) if inside.any() else []
         if whole is None:  # the bytes of some words are not theirs
-            alone |= {i: self.one(words[i]) for i in joined}
-            joined = []
-        ids: list[list[np.ndarray]] = [[], []]
-        none = np.zeros(0, np.int32)
-        ends = np.cumsum([len(words[i].encode()) + 1 for i in joined])
+            inside[:] = False
+        alone = {i: self.one(words[i]) for i in np.flatnonzero(~inside).tolist()}
+        out = []
         for k in (0, 1):
-            parts = np.split(whole[k], np.searchsorted(np.cumsum(self.lengths[k][whole[k]]), ends)[:-1] + 1) if joined else []
-            ids[k] = parts if not alone else [none] * len(words)
+            counts = np.zeros(len(words), np.int64)
+            ids = np.zeros(0, np.int32)
+            if inside.any():
+                ends = np.searchsorted(np.cumsum(self.lengths[k][whole[k]]), np.cumsum(sizes[inside] + 1)) + 1
+                counts[inside], ids = np.diff(ends, prepend=0), whole[k]
             if alone:
-                for i, part in zip(joined, parts):
-                    ids[k][i] = part
+                starts = np.cumsum(counts) - counts
+                parts = [ids[a : a + n] for a, n in zip(starts.tolist(), counts.tolist())]
                 for i, found in alone.items():
-                    ids[k][i] = none if found is None else found[k]
-        return ids, np.array([i for i, found in alone.items() if found is None], np.int64)
+                    parts[i] = np.zeros(0, np.int32) if found is None else found[k]
+                    counts[i] = len(parts[i])
+                ids = np.concatenate(parts)
+            out.append((ids, counts))
+        return out, np.array([i for i, found in alone.items() if found is None], np.int64)
 
 
 @lru_cache(2)
@@ -90,48 +100,52 @@ def pair_of(bpe_path: str, piece_path: str) -> Pair:
     return Pair(bpe_path, piece_path)
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _row(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
 
 
 def _batch(both: Pair, doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-    """One row: the distinct chunks of the texts, and where they stand in each."""
+    """One row: the tokens of the distinct chunks of the texts, one after the other, and where the chunks stand in each text."""
     plain = [i for i, t in enumerate(texts) if t and both.apart and not TANGLED.search(t)]
     split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
     coded = split.flatten().dictionary_encode()
-    ids, broken = both.chunks(coded.dictionary.to_pylist())
+    sizes = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64)
+    tokens, broken = both.chunks(coded.dictionary.to_pylist(), sizes)
     which, offsets = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
+    sizes += 1
     places: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     for k, i in enumerate(plain):
         places[i] = which[offsets[k] : offsets[k + 1]]
-    whole = [i for i, t in enumerate(texts) if t and (not len(places[i]) or len(broken) and np.isin(places[i], broken).any())]
-    for i in whole:  # as one chunk
-        found = both.one(texts[i])
-        places[i] = np.zeros(0, np.int64) if found is None else np.array([len(ids[0])], np.int64)
-        if found is not None:
-            ids = [[*ids[0], found[0]], [*ids[1], found[1]]] if i == whole[0] else [x.append(y) or x for x, y in zip(ids, found)]
-    tokens, counts = [], []
-    for lengths, every in zip(both.lengths, ids):
-        sizes = np.array([len(x) for x in every], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int32), *every])
-        total = np.concatenate([[0], np.cumsum(lengths[flat])])
-        first = np.cumsum(sizes) - sizes
-        tokens += [_lists(flat, sizes), _lists(total[1:] - np.repeat(total[first], sizes), sizes)]
-        counts.append(sizes)
+    more: list[list[np.ndarray]] = []
+    for i, t in enumerate(texts):
+        if t and (not len(places[i]) or len(broken) and np.isin(places[i], broken).any()):  # as one chunk
+            found = both.one(t)
+            places[i] = np.zeros(0, np.int64) if found is None else np.array([len(sizes) + len(more)], np.int64)
+            more += [] if found is None else [found]
+    sizes[broken] = 0
+    sizes = np.concatenate([sizes, [int(both.lengths[0][x[0]].sum()) for x in more]]).astype(np.int64)
     used = np.array([len(p) for p in places], np.int64)
     at = np.concatenate([np.zeros(0, np.int64), *places])
     row_of = np.repeat(np.arange(len(texts)), used)
-    n = [pa.array(np.bincount(row_of, c[at], len(texts)).astype(np.int64)) for c in counts]
-    docs = pa.StructArray.from_arrays([doc_ids, _lists(at, used), *n], ["doc_id", "chunks", "n_a", "n_b"])
-    chunks = pa.StructArray.from_arrays(tokens, ["a", "a_ends", "b", "b_ends"])
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in (docs, chunks)], ["docs", "chunks"])
+    out, n = [], []
+    for k, (ids, counts) in enumerate(tokens):
+        ids = np.concatenate([ids, *[x[k] for x in more]])
+        counts = np.concatenate([counts, [len(x[k]) for x in more]]).astype(np.int64)
+        out += [_row(ids, pa.int32()), _row(np.cumsum(both.lengths[k][ids]), pa.int32())]
+        out.append(_row(np.cumsum(counts), pa.int32()))
+        n.append(pa.array(np.bincount(row_of, counts[at], len(texts)).astype(np.int64)))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32)), pa.array(at.astype(np.int32)))
+    docs = pa.StructArray.from_arrays([doc_ids, lists, *n], ["doc_id", "chunks", "n_a", "n_b"])
+    columns = {"docs": pa.ListArray.from_arrays([0, len(docs)], docs), "a": out[0], "a_ends": out[1], "a_upto": out[2], "b": out[3], "b_ends": out[4], "b_upto": out[5], "chunk_ends": _row(np.cumsum(sizes), pa.int32())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-TOKENS = "docs array<struct<doc_id:long,chunks:array<int>,n_a:long,n_b:long>>, chunks array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>"
+TOKENS = "docs array<struct<doc_id:long,chunks:array<int>,n_a:long,n_b:long>>, a array<int>, a_ends array<int>, a_upto array<int>, b array<int>, b_ends array<int>, b_upto array<int>, chunk_ends array<int>"
 
 
 def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
-    """``docs, chunks`` of about ``batch_chars`` bytes of text a row: the distinct chunks' tokens, and the chunks of each text in order.
+    """Rows of about ``batch_chars`` bytes of text: ``docs`` with the chunks of each text in order, and of all distinct chunks, one after the other,
+    the token ids ``a`` and ``b``, the bytes up to each token's end, the tokens up to each chunk's end, and ``chunk_ends`` in bytes.
 
     A text that can't be cut at its spaces is one chunk. Null and empty texts, and those whose joined token bytes are
     not the text's under either, have no chunks.
@@ -188,8 +202,8 @@ def _steps(a_ends: Column, b_ends: Column) -> Column:
     return bound(keys, step)
 
 
-def _group_text(a_ids: Column, b_ids: Column, cuts: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group, A's before B's."""
+def _groups(a_ids: Column, b_ids: Column, cuts: Column) -> Column:
+    """``a1,a2|b1`` of every group between two cuts (A tokens, B tokens so far): A's ids before B's."""
 
     def span(ids: Column, start: Column, end: Column) -> Column:
         return F.when(end - start == 1, ids[start]).otherwise(F.array_join(F.slice(ids, start + 1, end - start), ","))
@@ -198,45 +212,48 @@ def _group_text(a_ids: Column, b_ids: Column, cuts: Column) -> Column:
         return F.concat(span(a_ids, high(before), high(cut)), F.lit("|"), span(b_ids, low(before), low(cut)))
 
     start = F.array(F.lit(0).cast("long"))
-    return F.array_join(F.zip_with(F.slice(F.concat(start, cuts), 1, F.size(cuts)), cuts, group), ";")
-
+    return F.zip_with(F.slice(F.concat(start, cuts), 1, F.size(cuts)), cuts, group)
 
-def _chunk(c: Column) -> Column:
-    """``text, n_groups, links`` of the tokens of a chunk: its groups written out, and the id pair of every link."""
-    a, b = c.a.cast("array<string>"), c.b.cast("array<string>")
-
-    def of(steps: Column) -> Column:
-        cuts = F.transform(F.filter(steps, lambda s: s < 0), lambda s: -1 - s)
-        links = F.transform(F.filter(steps, lambda s: s >= 0), lambda s: packed(c.a[high(s)], c.b[low(s)]))
-        groups = bound(F.struct(a.alias("a"), b.alias("b"), cuts.alias("cuts")), lambda x: _group_text(x.a, x.b, x.cuts))
-        return F.struct(groups.alias("text"), F.size(F.array_intersect(c.a_ends, c.b_ends)).alias("n_groups"), links.alias("links"))
 
-    # A single token of either meets all of the other's: one group, no ranks to look up.
-    whole = F.concat_ws("|", F.array_join(a, ","), F.array_join(b, ","))
-    all_links = F.when(F.size(c.a) == 1, F.transform(c.b, lambda y: packed(c.a[0], y))).otherwise(F.transform(c.a, lambda x: packed(x, c.b[0])))
-    single = F.struct(whole.alias("text"), F.lit(1).alias("n_groups"), all_links.alias("links"))
-    return F.when((F.size(c.a) == 1) | (F.size(c.b) == 1), single).otherwise(bound(_steps(c.a_ends, c.b_ends), of))
+def _ranks(ends: Column, marks: Column) -> Column:
+    """How many of the sorted distinct ``ends`` are up to each of the sorted distinct ``marks``."""
+    keys = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(marks, lambda m: m * 2 + 1)))
+    places = F.filter(F.transform(keys, lambda x, p: F.when(x % 2 == 1, p).otherwise(-1)), lambda p: p >= 0)
+    return F.transform(places, lambda p, j: p - j)
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """``batch, docs, links`` of every row of :func:`both_tokens`.
+    """``batch, docs, links, link_ends`` of every row of :func:`both_tokens`.
 
-    ``docs`` holds ``doc_id, chunks, n_a, n_b, n_groups, n_links, groups_sha256`` of each text, ``links`` the id pairs (A id
-    in the upper, B id in the lower half of a long) of every chunk.
+    ``docs`` holds ``doc_id, chunks, n_a, n_b, n_groups, n_links, groups_sha256`` of each text; ``links`` the id pair of every link of the
+    chunks (A id in the upper, B id in the lower half of a long), and ``link_ends`` how many there are up to each chunk's end.
     """
+    text = lambda ids: F.col(ids).cast("array<string>")
+
+    def flat(steps: Column) -> Column:
+        cuts = F.transform(F.filter(steps, lambda s: s < 0), lambda s: -1 - s)
+        links = F.transform(F.filter(steps, lambda s: s >= 0), lambda s: packed(F.col("a")[high(s)], F.col("b")[low(s)]))
+        groups = bound(F.struct(text("a").alias("a"), text("b").alias("b"), cuts.alias("cuts")), lambda x: _groups(x.a, x.b, x.cuts))
+        return F.struct(groups.alias("groups"), links.alias("links"))
+
+    def chunked(f: Column, upto: Column) -> Column:
+        """Texts of the chunks, their numbers of groups, and the ends of their links: of a chunk's tokens each makes a link or ends a group, or both."""
+        chunks = F.transform(upto, lambda g, k: F.struct(F.when(k > 0, upto[F.greatest(k - 1, F.lit(0))]).otherwise(0).alias("start"), g.alias("end")))
+        texts = F.transform(chunks, lambda c: F.when(c.end - c.start == 1, F.get(f.groups, c.start)).otherwise(F.array_join(F.slice(f.groups, c.start + 1, c.end - c.start), ";")))
+        ends = F.transform(upto, lambda g, k: F.col("a_upto")[k] + F.col("b_upto")[k] - g)
+        return F.struct(texts.alias("text"), F.transform(chunks, lambda c: c.end - c.start).alias("n_groups"), f.links.alias("links"), ends.alias("link_ends"))
 
     def doc(d: Column, x: Column) -> Column:
         groups = F.aggregate(d.chunks, F.lit(0).cast("long"), lambda s, k: s + x.n_groups[k])
-        text = F.array_join(F.transform(d.chunks, lambda k: x.text[k]), ";")
-        sha = F.when(F.size(d.chunks) > 0, F.sha2(text, 256)).otherwise("")
+        whole = F.array_join(F.transform(d.chunks, lambda k: x.text[k]), ";")
+        sha = F.when(F.size(d.chunks) > 0, F.sha2(whole, 256)).otherwise("")
         return bound(groups, lambda g: F.struct(d.doc_id.alias("doc_id"), d.chunks.alias("chunks"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), g.alias("n_groups"), (d.n_a + d.n_b - g).alias("n_links"), sha.alias("groups_sha256")))
 
-    def row(c: Column) -> Column:
-        fields = F.struct(c.text.alias("text"), c.n_groups.alias("n_groups"), c.links.alias("links"))
-        return bound(fields, lambda x: F.struct(F.transform("docs", lambda d: doc(d, x)).alias("docs"), x.links.alias("links")))
-
-    whole = tokens.select(F.monotonically_increasing_id().alias("batch"), bound(F.transform("chunks", _chunk), row).alias("row"))
-    return whole.select("batch", "row.docs", "row.links")
+    shared = F.array_intersect("a_ends", "b_ends")  # the ends of all groups
+    upto = _ranks(shared, F.col("chunk_ends"))
+    chunks = bound(_steps(F.col("a_ends"), F.col("b_ends")), lambda steps: bound(flat(steps), lambda f: bound(upto, lambda u: chunked(f, u))))
+    row = bound(chunks, lambda x: F.struct(F.transform("docs", lambda d: doc(d, x)).alias("docs"), x.links.alias("links"), x.link_ends.alias("link_ends")))
+    return tokens.select(F.monotonically_increasing_id().alias("batch"), row.alias("row")).select("batch", "row.docs", "row.links", "row.link_ends")
 
 
 def _linked(batches: DataFrame, once: bool) -> DataFrame:
@@ -244,7 +261,8 @@ def _linked(batches: DataFrame, once: bool) -> DataFrame:
 
     def pairs(d: Column) -> Column:
         chunks = F.array_distinct(d.chunks) if once else d.chunks
-        found = F.flatten(F.transform(chunks, lambda k: F.col("links")[k]))
+        start = lambda k: F.when(k > 0, F.col("link_ends")[F.greatest(k - 1, F.lit(0))]).otherwise(0)
+        found = F.flatten(F.transform(chunks, lambda k: F.slice("links", start(k) + 1, F.col("link_ends")[k] - start(k))))
         return F.array_distinct(found) if once else found
 
     each = batches.select("batch", F.posexplode(F.transform("docs", pairs)).alias("place", "pairs"))  # put together before rows are made: no row carries the batch's table

@@ -119,8 +119,9 @@ class Mixture:
         self.block, self.shard, self.seed = block, shard, seed
         self.columns = id_col, text_col, source_col
         spark = docs.sparkSession
-        size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-        sized = self.keyed(docs).select(F.col("mix_key").alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+        doc_id, text, source = self.places(docs)
+        size = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+        sized = self.keyed(docs).select(F.col("mix_key").alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
         sized = stage(sized, "sizes")
         totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
         if len(totals) > max_sources:
@@ -132,10 +133,16 @@ class Mixture:
         self.sources = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double")
         self.placed = self._placed(sized, 256 + max((r.rows for r in totals), default=0) // ROWS_A_PART)
 
+    def places(self, docs: DataFrame) -> list[str]:
+        """The names that the id, text and source columns have in :meth:`keyed`."""
+        return [f"c{docs.columns.index(c)}" for c in self.columns]
+
     def keyed(self, docs: DataFrame) -> DataFrame:
-        """``mix_key`` (128 bits of hash of a row's id, source and text) before all columns of ``docs``."""
-        columns = [F.col(self.columns[0]).cast("long"), F.col(self.columns[2]).cast("string"), F.col(self.columns[1])]
-        return docs.select(F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b")).alias("mix_key"), "*")
+        """``mix_key`` (128 bits of hash of a row's id, source and text) before all columns of ``docs``, which are named c0, c1, ... whatever the table calls them."""
+        doc_id, text, source = self.places(docs)
+        columns = [F.col(doc_id).cast("long"), F.col(source).cast("string"), F.col(text)]
+        numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        return numbered.select(F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b")).alias("mix_key"), "*")
 
     def _placed(self, sized: DataFrame, salts: int) -> DataFrame:
         """``key, doc_id, source_no, size, at``: where each document's words begin in its source.
@@ -227,7 +234,7 @@ class Mixture:
         out of it as one piece, with the white space between them, and pieces are parted by a line end. All columns
         of ``docs`` are kept; ``n_chars``, if there, is recounted. Repeated rows are rows of their own.
         """
-        _, text_col, _ = self.columns
+        _, text, _ = self.places(docs)
         kept = docs.columns
 
         @F.pandas_udf("string")
@@ -236,10 +243,10 @@ class Mixture:
 
         lists = self.pieces().groupBy("key", "at").agg(F.array_sort(F.collect_list(F.struct("turn", "start", "n"))).alias("mix_cuts"))
         rows = self.keyed(docs).dropDuplicates(["mix_key"]).join(lists.withColumnRenamed("key", "mix_key"), "mix_key")
-        out = rows.withColumn(text_col, cut(F.col(text_col), F.col("mix_cuts")))
+        out = rows.withColumn(text, cut(F.col(text), F.col("mix_cuts")))
         if "n_chars" in kept:
-            out = out.withColumn("n_chars", F.length(text_col).cast("long"))
-        return out.select(*kept)
+            out = out.withColumn(f"c{kept.index('n_chars')}", F.length(text).cast("long"))
+        return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)])
 
 
 def cut_out(text: str, cuts: list[tuple[int, int, int]]) -> str:

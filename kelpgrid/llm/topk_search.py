@@ -160,7 +160,7 @@ def _index_rows(pivots: np.ndarray, dtype: np.dtype) -> Callable[[Iterator[pd.Da
 
 def _search(dim: int, n_pivots: int, dtype: np.dtype, k: int, sample_ids: np.ndarray, sample: np.ndarray, chunk_rows: int, held_chunks: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.frombuffer(b"".join(rows.vec), dtype).reshape(-1, dim)
+        x = np.frombuffer(b"".join(rows.vec), dtype).reshape(len(rows), dim)  # vectors without components score 0
         return rows.vec_id.to_numpy(np.int64), x.astype(np.int64), np.frombuffer(b"".join(rows.dist), np.float32).reshape(-1, n_pivots)
 
     def chunks(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

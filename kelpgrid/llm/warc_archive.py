@@ -226,14 +226,15 @@ def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Writes every page as a record, reads the archives back and describes each record.
 
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to``: the length of a revisit is
-    that of the response it refers to. Repeated rows give a record each; an empty table gives none.
+    that of the response of the same payload that it refers to; several responses may have one page_id. Repeated rows and
+    repeated ids give a record each; an empty table gives none.
     """
     spark = pages.sparkSession
     path = new_path(spark, "archives")
     write_archives(with_revisits(pages, least_bytes), path)
     found = stage(read_archives(spark, path, payloads=False).drop("url", "payload"), "records")
-    own = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("referred")).distinct()
-    revisits = found.where("record_type = 'revisit'").drop("payload_bytes").join(own, "refers_to", "left")
-    revisits = revisits.withColumn("payload_bytes", F.when(F.col("digest") == F.col("payload_digest"), F.col("referred")).otherwise(F.raise_error(F.lit("a revisit refers to another payload")).cast("long")))
+    own = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("referred")).distinct()
+    revisits = found.where("record_type = 'revisit'").drop("payload_bytes").join(own, ["refers_to", "payload_digest"], "left")
+    revisits = revisits.withColumn("payload_bytes", F.when(F.col("referred").isNotNull(), F.col("referred")).otherwise(F.raise_error(F.lit("a revisit refers to another payload")).cast("long")))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return found.where("record_type = 'response'").select(columns).unionByName(revisits.select(columns))

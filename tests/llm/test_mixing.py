@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kelpgrid.llm import mixing as M
 
@@ -158,3 +159,14 @@ def test_empty(spark):
     assert M.mix(df).count() == 0 and M.Mixture(df).texts(df).count() == 0
     none = spark.createDataFrame([(1, None, None, None, None, None, None), (2, " ", "a", None, None, None, None)], SCHEMA)
     assert {(r.doc_id, r.target, r.taken) for r in M.mix(none).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
+
+
+def test_clashing_columns(spark):
+    plain = spark.createDataFrame([(i, f"some words {i} here", f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string")
+    extra = ["mix_key", "mix_cuts", "key", "size", "at", "c0", "c1", "n", "turn"]
+    docs = plain.select(*[F.lit("x").alias(c) for c in extra], "*")
+    same = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
+    assert same(M.mix(docs), "doc_id", "taken") == same(M.mix(plain), "doc_id", "taken")
+    texts = M.Mixture(docs).texts(docs)
+    assert texts.columns == docs.columns
+    assert same(texts, "doc_id", "text", "source") == same(M.Mixture(plain).texts(plain), "doc_id", "text", "source")

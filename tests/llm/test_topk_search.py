@@ -94,3 +94,8 @@ def test_far_rows_do_not_spoil_the_bounds(spark, spread):
     got = run(spark, with_more(rows), chunk_rows=32, sample_rows=300, n_pivots=8)
     want = brute(rows, 5, lambda i: i % 5 == 0)
     assert {(q, r, j, min(s, 2**63 - 1)) for q, r, j, s in want if s < 2**63} == {x for x in got if x[3] < 2**63 - 1}
+
+
+def test_vectors_without_components(spark):
+    rows = [(0, []), (5, []), (7, []), (10, [1.0, 2.0]), (11, [0.5, 0.5])]
+    assert run(spark, with_more(rows)) == brute(rows, 5, lambda i: i % 5 == 0)

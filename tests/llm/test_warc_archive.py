@@ -99,3 +99,11 @@ def test_a_missing_length_is_an_archive_error():
 
 def test_empty(spark):
     assert W.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_page_id_of_several_payloads(spark):
+    a, b = "a" * 150, "b" * 150
+    rows = [(1, "u", a, None, None), (1, "u", b, None, None), (5, "v", a, None, None), (5, "v", b, None, None), (5, "v", a, None, None), (3, "w", b, None, None)]
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to, r.payload_bytes) for r in W.round_trip(spark.createDataFrame(rows, SCHEMA)).collect())
+    digest = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b)}
+    assert got == sorted((i, digest[h], "response" if i == 1 else "revisit", None if i == 1 else 1, 150) for i, _, h, *_ in rows)
