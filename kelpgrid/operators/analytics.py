@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions.numeric import decade
 from kelpgrid.functions.vector import only_row
+from kelpgrid.operators.order import percentiles
 
 # What the event types stand for.
 STATUS = {"signup": "started", "purchase": "completed", "error": "failed"}
@@ -47,17 +48,17 @@ def call_price(rates: DataFrame, calls: DataFrame) -> DataFrame:
 def completion_health(events: DataFrame, by: str) -> DataFrame:
     """Attempts, successes and latency percentiles: attempts are starts, or else the ends."""
     n = lambda s: F.count_if(F.col("status") == s)
-    done = F.when(F.col("status") == "completed", F.col("latency"))
-    grouped = events.groupBy(by).agg(n("started").alias("started"), n("completed").alias("completed"), n("failed").alias("failed"), F.round(F.percentile(done, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(done, F.lit(0.95)), 6).alias("p95"))
+    grouped = events.groupBy(by).agg(n("started").alias("started"), n("completed").alias("completed"), n("failed").alias("failed"))
+    done = percentiles(events.where("status = 'completed'").select(by, "latency"), [by], "latency", {"p50": 0.5, "p95": 0.95})
+    done = done.select(F.col(by).alias("by_"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    grouped = grouped.join(done, F.col(by).eqNullSafe(F.col("by_")), "left").drop("by_")
     attempts = F.when(F.col("started") > 0, F.col("started")).otherwise(F.col("completed") + F.col("failed"))
     return grouped.withColumn("attempts", attempts).withColumn("success", F.round(F.when(F.col("attempts") > 0, F.col("completed") / F.col("attempts")), 6))
 
 
 def floor_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
     """The value at floor(p (n - 1)) of each group's values in order."""
-    w = Window.partitionBy(by)
-    nth = rows.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return nth.where(F.col("i") == F.floor(F.lit(p) * (F.col("n") - 1))).select(by, F.col(value).alias("value"), "n")
+    return percentiles(rows, [by], value, {"value_": p}, interpolated=False).select(by, F.col("value_").alias("value"), "n")
 
 
 def event_matrix(events: DataFrame, kinds: list[str]) -> DataFrame:

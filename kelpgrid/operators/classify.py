@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
 from kelpgrid.operators import rules as R
+from kelpgrid.operators.order import numbered
 
 
 def first_match(text: Column, rules: list[tuple], result: int) -> Column:
@@ -21,14 +22,23 @@ def first_match(text: Column, rules: list[tuple], result: int) -> Column:
 
 
 def method(text: Column, rules: list[tuple] = R.METHODS) -> Column:
-    """``level, design`` of the first rule that the text matches, null if none does."""
-    low, out = F.lower(text), F.lit(None).cast("struct<level:int,design:string>")
-    for level, design, closed, open_, acronyms in reversed(rules):
-        hit = low.rlike(R.lower_pattern(closed, open_))
-        if acronyms:
-            hit = hit | text.rlike(R.acronym_pattern(acronyms))
-        out = F.when(hit, F.struct(F.lit(level).alias("level"), F.lit(design).alias("design"))).otherwise(out)
-    return out
+    """``level, design`` of the first rule one of whose patterns the text matches, null if none does.
+
+    The text is lower-cased once, and a pattern is tried only on texts that hold a word it requires.
+    """
+
+    def hit(x: Column, pattern: str) -> Column:
+        matches, word = x.text.rlike(R.plain_bounds(pattern)), R.required_word(pattern)
+        return F.contains(x.low, F.lit(word)) & matches if word else matches
+
+    def first(x: Column) -> Column:
+        out = F.lit(None).cast("struct<level:int,design:string>")
+        for level, design, patterns in reversed(rules):
+            some = reduce(lambda a, b: a | b, [hit(x, p) for p in patterns])
+            out = F.when(some, F.struct(F.lit(level).alias("level"), F.lit(design).alias("design"))).otherwise(out)
+        return out
+
+    return F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), first)[0]
 
 
 def method_text(title: Column, abstract: Column) -> Column:
@@ -132,9 +142,8 @@ def paper_channels(cosine: Column, sms: Column, cited: Column, year: Column, reg
 
 def percent_rank(rows: DataFrame, value: str, by: str | None = None, name: str = "pct") -> DataFrame:
     """(position - 1) / (n - 1) by value, ties in the order of ids; 1 for a single row."""
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    nth, n = F.row_number().over(w.orderBy(value, "id")), F.count("*").over(w)
-    return rows.withColumn(name, F.when(n == 1, 1.0).otherwise((nth - 1) / (n - 1)))
+    placed = numbered(rows, [by] if by else [], [F.col(value), F.col("id")], before="before_", total="total_")
+    return placed.withColumn(name, F.when(F.col("total_") == 1, 1.0).otherwise(F.col("before_") / (F.col("total_") - 1))).drop("before_", "total_")
 
 
 def facet_label(sims: Column, geo: Column, floor: float = 0.35, gm: float = 0.35) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
+from kelpgrid.operators.order import numbered
 from kelpgrid.functions.vector import with_cosine
 
 
@@ -87,6 +90,9 @@ def evidence_priority(now: int) -> Column:
 def twins(works: DataFrame, least: float = 0.6, years: int = 2) -> DataFrame:
     """``left_id, right_id, jaccard``: a working paper and an article whose titles share most of their longer words, near in year.
 
+    With a column ``doi``, a paper whose title gives the series number of an article's DOI is that article's twin first, and
+    ``how`` tells which of the two it was; an unknown year passes then.
+
     Pairs come from the rarest words of each title, as many as a title that is alike must share one of.
     """
     words = works.select("id", "year", "publication_type", F.array_distinct(X.content_tokens(F.col("title"), 4)).alias("ws")).where("size(ws) > 0")
@@ -99,7 +105,23 @@ def twins(works: DataFrame, least: float = 0.6, years: int = 2) -> DataFrame:
     b = articles.join(keys.select("id", "w"), "id").select(F.col("id").alias("right_id"), F.col("year").alias("ry"), F.col("ws").alias("rw"), "w")
     pairs = a.join(b, "w").where(F.abs(F.col("ly") - F.col("ry")) <= years)
     scored = pairs.select("left_id", "right_id", F.round(X.overlap(F.col("lw"), F.col("rw"), "union"), 6).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= least).distinct()
+    alike = scored.where(F.col("jaccard") >= least).distinct().withColumn("how", F.lit("title"))
+    if "doi" not in works.columns:
+        return alike.drop("how")
+    numbers = works.select("id", "year", "publication_type", paper_number(F.col("title")).alias("number"), X.normalize_doi(F.col("doi")).alias("doi"))
+    own = numbers.where("publication_type = 'working_paper' and number is not null").select(F.col("id").alias("left_id"), F.col("year").alias("ly"), F.concat(F.lit("10.3386/w"), "number").alias("doi"))
+    named = numbers.where("publication_type = 'journal_article' and doi like '10.3386/w%'").select(F.col("id").alias("right_id"), F.col("year").alias("ry"), "doi")
+    near = F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= years, F.lit(True))
+    by_number = own.join(named, "doi").where(near).select("left_id", "right_id", F.lit(None).cast("double").alias("jaccard"), F.lit("number").alias("how")).distinct()
+    return by_number.unionByName(alike.join(by_number.select("left_id").distinct(), "left_id", "left_anti"))
+
+
+def paper_number(title: Column) -> Column:
+    """The series number that a title gives, as ``no. 12345`` or ``w12345``; null if none."""
+    low = F.lower(title)
+    after_no = F.regexp_extract(low, r"(?:^|[^a-z0-9_])no\.?\s*([0-9]{4,6})(?:[^a-z0-9_]|$)", 1)
+    after_w = F.regexp_extract(low, r"(?:^|[^a-z0-9_])w([0-9]{4,6})(?:[^a-z0-9_]|$)", 1)
+    return F.coalesce(F.nullif(after_no, F.lit("")), F.nullif(after_w, F.lit("")))
 
 
 def digest_since(subscriptions: DataFrame, works: DataFrame, on: str, most: int = 5) -> DataFrame:
@@ -125,9 +147,35 @@ def source_family(venue: Column) -> Column:
     return out
 
 
-def core_tier(rows: DataFrame, share: float = 0.3) -> DataFrame:
-    """``core``: rows of a channel whose place by cosine or by citations is among the top ``share`` of their group."""
-    from kelpgrid.operators.classify import percent_rank
+# Words of a query that say nothing of its subject.
+CORE_STOP = ["the", "of", "on", "and", "in", "to", "a", "for", "is", "what", "impact", "effect", "effects", "study", "studies", "evidence", "long", "term", "between", "how", "do", "does", "are"]
+
+
+def core_words(query: str) -> list[str]:
+    """Distinct words of a query that tell its subject, of three letters or more."""
+    words = re.sub(r"[^a-z\s]", " ", query.lower()).split()
+    return [w for w in dict.fromkeys(words) if len(w) > 2 and w not in CORE_STOP]
 
-    ranked = percent_rank(percent_rank(rows, "cosine", "topic", "p_cos"), "citation_count", "topic", "p_cit")
-    return ranked.withColumn("core", (F.greatest("p_cos", "p_cit") >= 1 - share) & F.col("sms_level").isNotNull())
+
+def credible_channels(design: Column, level: Column, cited: Column, year: Column, region: Column, content: Column) -> Column:
+    """The channels whose own bar a work meets: a causal design of level 3, an old well-cited work, a recent one of level 3, a region's with a text."""
+    level, cited = F.coalesce(level, F.lit(0)), F.coalesce(cited, F.lit(0))
+    causal = F.coalesce(design.isin("RCT", "DiD", "IV", "RDD"), F.lit(False)) & (level >= 3)
+    return F.array_compact(F.array(F.when(causal, F.lit("causal")), F.when((year < 2020) & (cited >= 75), F.lit("foundational")), F.when((year >= 2020) & (level >= 3), F.lit("recent")), F.when((region == "LAC") & (F.length(content) > 0), F.lit("lac"))))
+
+
+def core_tier(rows: DataFrame, words: list[str], by: str = "topic", top: float = 0.5, few: int = 20) -> DataFrame:
+    """``id, p_cos, p_kw, relevant, core`` of ``id, cosine, title, abstract, channels`` in pools ``by`` a column.
+
+    A row is relevant if its place by cosine or by the share of the query's words that its text holds is in the ``top`` of its
+    pool, which is widened by 0.3 in pools of less than ``few`` rows; a relevant row of some channel is core. Ties go by id.
+    """
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))))
+    share = sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0)) / F.lit(float(max(1, len(words))))
+    narrow = rows.select("id", by, F.coalesce("cosine", F.lit(0.0)).alias("cosine"), share.alias("kw"), (F.size("channels") > 0).alias("credible"))
+    first = numbered(narrow, [by], [F.col("cosine"), F.col("id")], before="a", total="n")
+    both = numbered(first, [by], [F.col("kw"), F.col("id")], before="b", total="n_b")
+    place = lambda c: F.when(F.col("n") == 1, 1.0).otherwise(F.col(c) / (F.col("n") - 1))
+    band = F.when(F.col("n") < few, F.lit(min(1.0, top + 0.3))).otherwise(F.lit(top))
+    marked = both.select("id", place("a").alias("p_cos"), place("b").alias("p_kw"), (F.greatest(place("a"), place("b")) >= 1 - band).alias("relevant"), "credible")
+    return marked.select("id", "p_cos", "p_kw", "relevant", (F.col("relevant") & F.col("credible")).alias("core"))

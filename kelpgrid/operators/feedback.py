@@ -43,9 +43,9 @@ def beta_weights(signals: DataFrame, least: int = 8, step: float = 0.15, low: fl
 
 
 def unless_drifting(proposals: DataFrame, most: float = 0.10) -> DataFrame:
-    """The proposals of users whose weights have not drifted from 1 by more than ``most`` on average."""
-    calm = proposals.groupBy("user_id").agg(F.round(F.avg(F.abs(F.col("weight") - 1)), 6).alias("drift")).where(F.col("drift") <= most)
-    return proposals.join(calm, "user_id")
+    """All proposals, each with the ``drift`` of all: the mean distance of their weights from 1; none if it is more than ``most``."""
+    drift = proposals.agg(F.avg(F.abs(F.col("weight") - 1)).alias("drift")).where(F.col("drift") <= most)
+    return proposals.join(F.broadcast(drift.select(F.round("drift", 6).alias("drift"))))  # one row or none
 
 
 def approve(weights: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -59,13 +59,18 @@ def co_cited(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return cited.join(seeds.select("id"), "id", "left_anti").groupBy("id").agg(F.count("*").alias("n"))
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, known: DataFrame, each: int = 20) -> DataFrame:
-    """Neighbours of the seeds in both directions, at most ``each`` a seed and direction, known works left out."""
+def crawl(edges: DataFrame, seeds: DataFrame, known: DataFrame, each: int = 20, least: int = 3) -> DataFrame:
+    """``id, seeds, citations``: neighbours of the seeds in both directions, the ``each`` most cited of a seed and direction.
+
+    Known works, and those cited less than ``least`` times, are left out after that; ties go to the smaller id.
+    """
     out = edges.join(seeds.select(F.col("id").alias("citing")), "citing").select(F.col("citing").alias("seed"), F.col("cited").alias("id"), F.lit("references").alias("direction"))
     back = edges.join(seeds.select(F.col("id").alias("cited")), "cited").select(F.col("cited").alias("seed"), F.col("citing").alias("id"), F.lit("citations").alias("direction"))
-    w = Window.partitionBy("seed", "direction").orderBy("id")
-    near = out.unionByName(back).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= each)
-    return near.join(known.select("id"), "id", "left_anti").groupBy("id").agg(F.count_distinct("seed").alias("seeds"))
+    counts = edges.groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("citations"))
+    near = out.unionByName(back).distinct().join(counts, "id", "left").na.fill(0, ["citations"])
+    w = Window.partitionBy("seed", "direction").orderBy(F.desc("citations"), "id")
+    near = near.withColumn("n", F.row_number().over(w)).where((F.col("n") <= each) & (F.col("citations") >= least))  # each task keeps its own before the shuffle
+    return near.join(known.select("id"), "id", "left_anti").groupBy("id").agg(F.count_distinct("seed").alias("seeds"), F.max("citations").alias("citations"))
 
 
 def match_gate(left: DataFrame, right: DataFrame, least: float = 0.92, years: int = 1) -> DataFrame:

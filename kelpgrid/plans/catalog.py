@@ -261,8 +261,9 @@ def c14_co_cited(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EDGES_SQL}, {SEEDS_SQL}, b AS (
  SELECT citing AS seed, cited AS id, 'references' AS direction FROM edges WHERE citing IN (SELECT id FROM seeds)
  UNION SELECT cited, citing, 'citations' FROM edges WHERE cited IN (SELECT id FROM seeds)
-), r AS (SELECT *, row_number() OVER (PARTITION BY seed, direction ORDER BY id) AS n FROM b)
-SELECT id, count(DISTINCT seed) AS seeds FROM r WHERE n <= 20 AND id NOT IN (SELECT id FROM seeds) GROUP BY id""", False)
+), c AS (SELECT cited AS id, count(*) AS citations FROM edges GROUP BY cited), k AS (SELECT b.*, coalesce(citations, 0) AS citations FROM b LEFT JOIN c USING (id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY seed, direction ORDER BY citations DESC, id) AS n FROM k)
+SELECT id, count(DISTINCT seed) AS seeds, max(citations) AS citations FROM r WHERE n <= 20 AND citations >= 3 AND id NOT IN (SELECT id FROM seeds) GROUP BY id""", False)
 def c15_crawl(spark: SparkSession, sf: str) -> DataFrame:
     seeds = _seeds(spark, sf)
     return joins.crawl(_edges(spark, sf), seeds, seeds)

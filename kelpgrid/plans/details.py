@@ -9,6 +9,7 @@ from kelpgrid.functions import numeric as N
 from kelpgrid.functions import text as X
 from kelpgrid.functions.vector import with_cosine
 from kelpgrid.operators import analytics, classify, dedup, evaluation, feedback, joins, predicates, rerank, search
+from kelpgrid.operators.order import numbered, percentiles
 from kelpgrid.plans.catalog import ARMS_SQL, CHANNELS_SQL, EDGES_SQL, FACETS_SQL, NOW, POOL_SQL, TERMS, _edges, _pool, cites_sql, query, title_sql, words_sql
 from kelpgrid.plans.works import query_vector, searchable, works
 from kelpgrid.sources import files
@@ -102,8 +103,9 @@ def b20_active(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT r.id, r.rank, w.title FROM (SELECT vec_id AS id, CAST(row_number() OVER (ORDER BY vec_id DESC) AS INTEGER) AS rank FROM embeddings) r JOIN works w ON w.id = r.id")
 def c01_rehydrate(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked ids (here of a bounded pool) joined with their works."""
-    ids = search.ranked(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("score")), "score", 1_000_000)
+    """Ranked ids joined with their works."""
+    placed = numbered(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), [], [F.desc("id")])
+    ids = placed.select("id", (F.col("before") + 1).cast("int").alias("rank"))
     return ids.join(works(spark, sf), "id").select("id", "rank", "title")
 
 
@@ -283,7 +285,8 @@ def e03_cocitations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type", False)
 def e11_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p)), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))])
+    found = percentiles(table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT venue, CAST(floor(100.0 * count(*) FILTER (sms_level >= 4) / count(*) + 0.5) AS INTEGER) AS strong_share, count(*) FILTER (region = 'LAC') AS lac FROM works GROUP BY venue")

@@ -136,6 +136,17 @@ def h11_twins(spark: SparkSession, sf: str) -> DataFrame:
     return drafts.twins(works(spark, sf))
 
 
+@query("""SELECT l.id AS left_id, r.id AS right_id FROM works l JOIN works r ON l.publication_type = 'working_paper' AND r.publication_type = 'journal_article' AND r.id = l.id + 2
+ AND abs(l.year - r.year) <= 2 AND (l.id % 4 = 1 OR l.id % 4 = 2)""")
+def h11_numbered_twins(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of working papers with a series number in one of two forms, articles with that number in their DOI."""
+    i, number = F.col("id"), (F.col("id") + 20_000).cast("string")
+    form = F.when(i % 4 == 1, F.concat("title", F.lit(" NBER Working Paper No. "), number)).when(i % 4 == 2, F.concat("title", F.lit(" (W"), number, F.lit(")"))).otherwise(F.concat("title", F.lit(" no. 12, w1")))
+    w = works(spark, sf).withColumn("title", F.when(F.col("publication_type") == "working_paper", form).otherwise(F.lit("")))
+    w = w.withColumn("doi", F.concat(F.lit("https://doi.org/10.3386/W"), (i + 19_998).cast("string")))
+    return drafts.twins(w).where("how = 'number'").select("left_id", "right_id")
+
+
 @query("""SELECT p_partkey AS id, coalesce(s.name, 'part ' || p_partkey) AS name FROM part p LEFT JOIN (SELECT l_partkey, min('supplier ' || l_suppkey) AS name FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey) s ON s.l_partkey = p.p_partkey""", False)
 def h13_first_value(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min(F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))).alias("s"))
@@ -183,10 +194,22 @@ def k08_mismatch_and_direction(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).select("id", named.alias("mismatch"), classify.effect_direction(F.col("abstract")).alias("direction"))
 
 
-@query(""", n AS (SELECT *, count(*) OVER (PARTITION BY topic) AS k, row_number() OVER (PARTITION BY topic ORDER BY cosine, id) - 1 AS a, row_number() OVER (PARTITION BY topic ORDER BY citation_count NULLS FIRST, id) - 1 AS b FROM scored)
-SELECT id, round(CASE WHEN k = 1 THEN 1.0 ELSE a / CAST(k - 1 AS DOUBLE) END, 6) AS p_cos, greatest(CASE WHEN k = 1 THEN 1.0 ELSE a / CAST(k - 1 AS DOUBLE) END, CASE WHEN k = 1 THEN 1.0 ELSE b / CAST(k - 1 AS DOUBLE) END) >= 1 - 0.3 AND sms_level IS NOT NULL AS core FROM n""")
+CORE_QUERY = "the effect of anea eriner on thanedble to attion"
+
+
+@query("""
+, m AS (SELECT id, topic, cosine, (CAST(contains(t, 'anea') AS INTEGER) + CAST(contains(t, 'eriner') AS INTEGER) + CAST(contains(t, 'thanedble') AS INTEGER) + CAST(contains(t, 'attion') AS INTEGER)) / 4.0 AS kw,
+   (year < 2020 AND coalesce(citation_count, 0) >= 75) OR (year >= 2020 AND coalesce(sms_level, 0) >= 3) OR coalesce(region = 'LAC' AND length(abstract) > 0, false) AS credible
+  FROM (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS t FROM scored))
+, n AS (SELECT *, count(*) OVER (PARTITION BY topic) AS k, row_number() OVER (PARTITION BY topic ORDER BY cosine, id) - 1 AS a, row_number() OVER (PARTITION BY topic ORDER BY kw, id) - 1 AS b FROM m)
+, p AS (SELECT *, CASE WHEN k = 1 THEN 1.0 ELSE a / CAST(k - 1 AS DOUBLE) END AS p_cos, CASE WHEN k = 1 THEN 1.0 ELSE b / CAST(k - 1 AS DOUBLE) END AS p_kw FROM n)
+SELECT id, round(p_cos, 6) AS p_cos, round(p_kw, 6) AS p_kw, greatest(p_cos, p_kw) >= CASE WHEN k < 20 THEN 0.2 ELSE 0.5 END AND credible AS core FROM p""")
 def k13_core_tier(spark: SparkSession, sf: str) -> DataFrame:
-    return drafts.core_tier(_scored(spark, sf)).select("id", F.round("p_cos", 6).alias("p_cos"), "core")
+    """The works of this corpus have no design of their own, so none is causal here; ``tests/test_stored.py`` has cases that are."""
+    rows = _scored(spark, sf)
+    channels = drafts.credible_channels(F.lit(None).cast("string"), F.col("sms_level"), F.col("citation_count"), F.col("year"), F.col("region"), F.col("abstract"))
+    tiers = drafts.core_tier(rows.withColumn("channels", channels), drafts.core_words(CORE_QUERY))
+    return tiers.select("id", F.round("p_cos", 6).alias("p_cos"), F.round("p_kw", 6).alias("p_kw"), "core")
 
 
 FACET3_SQL = """, f AS (SELECT s.id, s.region, list(round(list_cosine_similarity(s.embedding, CAST(e.embedding AS DOUBLE[])), 6) ORDER BY e.vec_id) AS sims FROM searchable s, embeddings e WHERE e.vec_id IN (0, 1) GROUP BY s.id, s.region)"""

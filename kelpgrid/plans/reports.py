@@ -247,8 +247,8 @@ def i17_verbatim_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def method_sql(text: str, rules: list, result: int) -> str:
     """A CASE over the rules of methods: their level (0) or design (1)."""
-    hit = lambda c, o, a: f"regexp_matches(lower({text}), '{R.lower_pattern(c, o)}')" + (f" OR regexp_matches({text}, '{R.acronym_pattern(a)}')" if a else "")
-    return "CASE " + " ".join(f"WHEN {hit(*r[2:])} THEN {repr(r[result])}" for r in rules) + " END"
+    hit = lambda patterns: " OR ".join(f"regexp_matches({text}, '{p}')" for p in patterns)
+    return "CASE " + " ".join(f"WHEN {hit(r[2])} THEN {repr(r[result])}" for r in rules) + " END"
 
 
 METHOD_TEXT = "(coalesce(abstract, '') || ' ' || coalesce(title, ''))"
@@ -326,7 +326,7 @@ def k12_channels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id, round(CASE WHEN count(*) OVER (PARTITION BY venue) = 1 THEN 1.0 ELSE (row_number() OVER (PARTITION BY venue ORDER BY year, id) - 1) / CAST(count(*) OVER (PARTITION BY venue) - 1 AS DOUBLE) END, 6) AS pct FROM works")
 def f03_percent_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.percent_rank(works(spark, sf), "year", "venue").select("id", F.round("pct", 6).alias("pct"))
+    return classify.percent_rank(works(spark, sf).select("id", "year", "venue"), "year", "venue").select("id", F.round("pct", 6).alias("pct"))
 
 
 # --- feedback ---------------------------------------------------------------------------------------------------------
@@ -367,7 +367,7 @@ def l03_beta_weights(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.beta_weights(f.withColumn("signal", feedback.signal(F.col("kind"))))
 
 
-@query(f"WITH {BETA_SQL}, d AS (SELECT user_id, round(avg(abs(weight - 1)), 6) AS drift FROM w GROUP BY user_id) SELECT w.*, d.drift FROM w JOIN d USING (user_id) WHERE drift <= 0.149", False)
+@query(f"WITH {BETA_SQL}, d AS (SELECT avg(abs(weight - 1)) AS drift FROM w) SELECT w.*, round(d.drift, 6) AS drift FROM w, d WHERE d.drift <= 0.149", False)
 def l05_drift(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.unless_drifting(l03_beta_weights(spark, sf), 0.149)
 
