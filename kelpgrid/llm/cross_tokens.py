@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,9 @@ class Pair:
         self.apart = not any(re.search("[^▁]▁", p) for p in names)
         self.lengths = [np.array([len(x) for x in every], np.int64) for every in (self.a_bytes, self.b_bytes)]
 
-    def one(self, text: str) -> list[np.ndarray] | None:
-        """The ids of a text under both; none if the bytes of either are not the text's."""
-        a, b = self.bpe.encode_ordinary(" " + text), self.piece.encode(text)
+    def one(self, text: str, runs: list[str] | None = None) -> list[np.ndarray] | None:
+        """The ids of a text under both; none if the bytes of either are not the text's. ``runs`` are its parts between some of its single spaces."""
+        a, b = self.bpe.encode_ordinary(" " + text), list(chain.from_iterable(self.piece.encode(runs or [text], num_threads=1)))
         raw = b" " + text.encode()
         if b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b]):
             return [np.array(a, np.int32), np.array(b, np.int32)]
@@ -72,7 +73,9 @@ class Pair:
         apart = np.array([i for i, w in enumerate(words) if EDGE.search(w)] if EDGES.search(joined) or joined[:1].isspace() or joined[-1:].isspace() else [], np.int64)
         inside = np.ones(len(words), bool)
         inside[apart] = False
-        whole = self.one(joined if not len(apart) else " ".join([w for w, x in zip(words, inside.tolist()) if x])) if inside.any() else []
+        kept = words if not len(apart) else [w for w, x in zip(words, inside.tolist()) if x]
+        runs = [" ".join(kept[i : i + 256]) for i in range(0, len(kept), 256)]
+        whole = self.one(" ".join(runs), runs) if kept else []
         if whole is None:  # the bytes of some words are not theirs
             inside[:] = False
         alone = {i: self.one(words[i]) for i in np.flatnonzero(~inside).tolist()}
