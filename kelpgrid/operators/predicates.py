@@ -82,6 +82,18 @@ class Sources:
             return self
         return Sources(DEFAULT_TIERS, DEFAULT_INSTITUTIONS, DEFAULT_SERIES)
 
+    def column(self, tier: Column, institution: Column, series: Column) -> Column:
+        """Rows of any of the resolved sources; a null source is none of them."""
+        named = self.resolved()
+        some = [c.isin(*allowed) for c, allowed in ((tier, named.journal_tiers), (institution, named.institutions), (series, named.series)) if allowed]
+        return F.coalesce(reduce(lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)), some, F.lit(False)), F.lit(False))
+
+
+def kept_by(rows: DataFrame, filters: dict[str, Column]) -> DataFrame:
+    """``name, n``: how many rows each of some named filters lets pass, counted in one pass."""
+    counted = rows.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(filters.values())])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"n{i}").alias("n")) for i, name in enumerate(filters)])).alias("x")).select("x.*")
+
 
 def period_filters(period: str, now: int, server: bool = True, custom: tuple[int, int] | None = None) -> SearchFilters:
     """Year bounds of a named period; ``recent`` starts in 2020 on the server and four years back in the client."""

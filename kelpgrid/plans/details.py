@@ -78,12 +78,19 @@ def b05_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).where(predicates.SearchFilters(repec_max=25).column()).select("id", "repec_percentile")
 
 
-@query("SELECT name, journal_tiers, institutions, series FROM (VALUES ('none', '1,2,3', 'IADB,WB,IMF,OECD', 'NBER,IZA,CEPR_REPEC,SSRN'), ('tiers', '1', '', ''), ('no series', '', '', '')) t(name, journal_tiers, institutions, series)", False)
+TIER_SQL = "CASE abs_rating WHEN '4*' THEN 1 WHEN '4' THEN 2 WHEN '3' THEN 3 WHEN '2' THEN 4 END"
+INSTITUTION_SQL = "CASE venue WHEN 'src0' THEN 'IADB' WHEN 'src1' THEN 'WB' WHEN 'src2' THEN 'BIS' END"
+SERIES_SQL = "CASE WHEN publication_type = 'working_paper' THEN CASE venue WHEN 'src3' THEN 'NBER' WHEN 'src4' THEN 'SSRN' WHEN 'src5' THEN 'MPRA' END END"
+
+
+@query(f""", s AS (SELECT {TIER_SQL} AS tier, {INSTITUTION_SQL} AS institution, {SERIES_SQL} AS series FROM works)
+SELECT 'nothing named' AS name, count(*) FILTER (tier IN (1, 2, 3) OR institution IN ('IADB', 'WB', 'IMF', 'OECD') OR series IN ('NBER', 'IZA', 'CEPR_REPEC', 'SSRN')) AS n FROM s
+UNION ALL SELECT 'first tier', count(*) FILTER (tier = 1) FROM s UNION ALL SELECT 'no series', count(*) FILTER (false) FROM s UNION ALL SELECT 'one series', count(*) FILTER (series = 'NBER') FROM s""")
 def b07_default_sources(spark: SparkSession, sf: str) -> DataFrame:
-    asked = {"none": predicates.Sources(), "tiers": predicates.Sources(journal_tiers=(1,)), "no series": predicates.Sources(series=())}
-    said = lambda xs: ",".join(map(str, xs or ()))
-    rows = [(k, said(s.journal_tiers), said(s.institutions), said(s.series)) for k, s in ((k, s.resolved()) for k, s in asked.items())]
-    return spark.createDataFrame(rows, "name string, journal_tiers string, institutions string, series string")
+    """Works that the sources of a search let pass: the default ones where none are named, else what is named."""
+    asked = {"nothing named": predicates.Sources(), "first tier": predicates.Sources(journal_tiers=(1,)), "no series": predicates.Sources(series=()), "one series": predicates.Sources(series=("NBER",))}
+    columns = [F.expr(x) for x in (TIER_SQL, INSTITUTION_SQL, SERIES_SQL)]
+    return predicates.kept_by(works(spark, sf), {name: s.column(*columns) for name, s in asked.items()})
 
 
 @query("SELECT id, year FROM works WHERE year IS NULL OR year >= 1995")
@@ -91,11 +98,15 @@ def b12_years(spark: SparkSession, sf: str) -> DataFrame:
     return works(spark, sf).where(predicates.old_enough(F.col("year"), 1995)).select("id", "year")
 
 
-@query("SELECT name, active FROM (VALUES ('none', false), ('year', true), ('venues', true), ('unranked', true)) t(name, active)", False)
+@query("""SELECT 'none' AS name, false AS active, count(*) AS n FROM works UNION ALL SELECT 'year', true, count(*) FILTER (year >= 2000) FROM works
+ UNION ALL SELECT 'venues', true, count(*) FILTER (venue IN ('src1', 'src2')) FROM works
+ UNION ALL SELECT 'unranked', true, count(*) FILTER (venue = 'src1' OR abs_rating IS NULL AND publication_type = 'journal_article') FROM works""")
 def b20_active(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each of some filter sets narrows a search at all, and how many works pass it."""
     f = predicates.SearchFilters
-    asked = {"none": f(), "year": f(year_min=2000), "venues": f(venues=()), "unranked": f(include_unranked=True)}
-    return spark.createDataFrame([(k, v.active) for k, v in asked.items()], "name string, active boolean")
+    asked = {"none": f(), "year": f(year_min=2000), "venues": f(venues=("src1", "src2")), "unranked": f(venues=("src1",), include_unranked=True)}
+    active = F.create_map(*[x for k, v in asked.items() for x in (F.lit(k), F.lit(v.active))])
+    return predicates.kept_by(works(spark, sf), {k: v.column() for k, v in asked.items()}).select("name", active[F.col("name")].alias("active"), "n")
 
 
 # --- joins and duplicates -----------------------------------------------------------------------------------------------
@@ -408,11 +419,11 @@ def i07_venue_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _token_sets(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (F.slice(F.array_sort(F.array_distinct(X.tokens(c))), 1, 12) for c in (F.col("title"), F.substring("abstract", 61, 80)))
+    a, b = (F.array_distinct(X.tokens(F.col(c))) for c in ("title", "abstract"))
     return works(spark, sf).select("id", a.alias("a"), b.alias("b"))
 
 
-SETS_SQL = f"(SELECT id, list_sort(list_distinct({words_sql('title')}))[1:12] AS a, list_sort(list_distinct({words_sql('substr(abstract, 61, 80)')}))[1:12] AS b FROM works)"
+SETS_SQL = f"(SELECT id, list_distinct({words_sql('title')}) AS a, list_distinct({words_sql('abstract')}) AS b FROM works)"
 
 
 def _share_sql(under: str) -> str:
@@ -434,10 +445,15 @@ def i11_author_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return _token_sets(spark, sf).select("id", F.round(X.author_overlap(F.col("a"), F.col("b")), 6).alias("share"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(['a1', 'b2'], lambda x: contains(t, '[' || x || ']')), ',') AS ids FROM (SELECT doc_id, '[b2] ' || CASE WHEN doc_id % 2 = 0 THEN 'see [a1], [a1] and [zz]' ELSE 'see [zz]' END AS t FROM documents)", False)
+CITING_SQL = "'[' || replace(text, ' ', '] [') || '] [' || doc_id || ']'"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_filter(['er', 'ing', 'license', 'zz', CAST(doc_id AS VARCHAR)], lambda x: contains(t, '[' || x || ']'))), ',') AS ids FROM (SELECT doc_id, {CITING_SQL} AS t FROM documents)""", False)
 def i15_cited_ids(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.lit("[b2] "), F.when(F.col("doc_id") % 2 == 0, "see [a1], [a1] and [zz]").otherwise("see [zz]"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_intersect(F.array(F.lit("a1"), F.lit("b2")), X.cited_ids(t)), ",").alias("ids"))
+    """Ids cited in whole texts: every word of a document stands in brackets, as citations do, and its own id at the end."""
+    t = F.concat(F.lit("["), F.replace("text", F.lit(" "), F.lit("] [")), F.lit("] ["), F.col("doc_id").cast("string"), F.lit("]"))
+    known = F.array(F.lit("er"), F.lit("ing"), F.lit("license"), F.lit("zz"), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_intersect(known, X.cited_ids(t))), ",").alias("ids"))
 
 
 @query(f"SELECT id, translate(title, '{X.ACCENTED}', '{X.FOLDED}') AS folded FROM works")
@@ -450,9 +466,10 @@ def i27_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.last_path_segment(F.col("url")).alias("last"), X.url_parameter(F.col("url"), "page").alias("page"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '10.1234/abc.' || doc_id END AS doi FROM documents", False)
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '10.1234/abc.' || doc_id ELSE nullif(regexp_replace(lower(regexp_extract(text, '(10\\.[0-9]{4,9}/[A-Za-z0-9./_()-]+)', 1)), '[.,;)]+$', ''), '') END AS doi FROM documents""", False)
 def i28_found_dois(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("(see doi:10.1234/ABC."), F.col("doc_id").cast("string"), F.lit(").)"))).otherwise("no identifier, 10.12/x")
+    """The first DOI of whole texts, half of which have one put before them."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("(see doi:10.1234/ABC."), F.col("doc_id").cast("string"), F.lit(".) "), "text")).otherwise(F.concat(F.lit("no identifier, 10.12/x "), "text"))
     return table(spark, sf, "documents").select("doc_id", X.find_doi(t).alias("doi"))
 
 

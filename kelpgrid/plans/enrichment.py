@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from kelpgrid.functions import numeric as N
 from kelpgrid.functions.numeric import rounded
 from kelpgrid.functions import text as X
 from kelpgrid.functions.vector import with_cosine
-from kelpgrid.operators import classify, joins, predicates
+from kelpgrid.operators import classify, joins, predicates, rerank
 from kelpgrid.operators.rerank import PROFILES
 from kelpgrid.plans.catalog import ARMS_SQL, NOW, cites_sql, query, title_sql, words_sql
 from kelpgrid.plans.more import _scored
@@ -144,9 +146,17 @@ def g05_score_parts(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("id", F.round(N.citation_score(F.col("citation_count"), F.col("year"), NOW), 6).alias("cited"), F.round(N.region_ramp(F.col("cosine")), 6).alias("ramp"), F.round(N.rigor_score(F.col("sms_level")), 6).alias("rigor"))
 
 
-@query("SELECT name, boost, value FROM (VALUES " + ", ".join(f"('{p}', '{k}', CAST({v} AS DOUBLE))" for p, ks in PROFILES.items() for k, v in ks.items()) + ") t(name, boost, value)", False)
+def _boosted_sql(name: str, causal: float, foundational: float, region: float) -> str:
+    score = f"round(cosine * (1 + {causal} * least(coalesce(sms_level, 0), 5) / 5.0 + {foundational} * ({cites_sql()}) + {region} * coalesce(CAST(region = 'LAC' AS DOUBLE), 0.0) * least(greatest((cosine - 0.5) / (0.65 - 0.5), 0.0), 1.0)) + 1e-10, 6)"
+    return f"SELECT '{name}' AS profile, id, score, CAST(pos AS INTEGER) AS pos FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS pos FROM (SELECT id, {score} AS score FROM scored)) WHERE pos <= 50"
+
+
+@query(" UNION ALL ".join([_boosted_sql("conservative", 0.3, 0.2, 0.3), _boosted_sql("moderate", 0.5, 0.3, 0.6), _boosted_sql("aggressive", 0.8, 0.5, 1.0), _boosted_sql("unknown", 0.5, 0.3, 0.6)]))
 def g03_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(p, k, v) for p, ks in PROFILES.items() for k, v in ks.items()], "name string, boost string, value double")
+    """The first 50 works under each profile of boosts; an unknown name is the moderate one."""
+    rows = _scored(spark, sf).select("id", "cosine", "sms_level", "citation_count", "year", "region")
+    pools = [rerank.pool(rerank.rerank_unified(rows, NOW, "LAC", name), "score", 50).select(F.lit(name).alias("profile"), "id", "score", "pos") for name in (*PROFILES, "unknown")]
+    return reduce(lambda a, b: a.unionByName(b), pools)
 
 
 @query("SELECT venue, count(DISTINCT lang) AS languages, count(DISTINCT topic) AS topics FROM works GROUP BY venue")
