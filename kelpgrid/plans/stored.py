@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
-from kelpgrid.operators import cells, inverted
-from kelpgrid.plans.catalog import FILTERS, FILTERS_SQL, query, words_sql
+from kelpgrid.operators import cells, classifier, inverted
+from kelpgrid.plans.catalog import FILTERS, FILTERS_SQL, NOW, query, words_sql
 from kelpgrid.plans.works import query_vector, searchable, works
 from kelpgrid.sources.keyed import KeyedTable
-from kelpgrid.sources.stored import built_once, new_path
+from kelpgrid.sources.stored import built_once, new_path, written
 from kelpgrid.sources.tables import table
 from kelpgrid.streaming import state
 
@@ -113,3 +113,57 @@ def a10_keyed_table(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         kept.apply(second, 1, "docs", merge=True)
     return kept.read()
+
+
+# --- classifier -------------------------------------------------------------------------------------------------------
+
+FLOOR = 0.1
+
+
+def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Works with labels, each paired with the query of its topic and language; toxic ones are irrelevant, good ones relevant."""
+    labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    label = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
+    return works(spark, sf).where("embedding is not null").join(labels, "id").withColumn("label", label).withColumn("qid", F.concat_ws("-", "topic", "lang"))
+
+
+def topic_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty queries: five topics in four languages, with three facets and a vector each of the first twenty embeddings."""
+    vectors = table(spark, sf, "embeddings").where("vec_id < 20").select((F.col("vec_id") % 5).alias("t"), F.floor(F.col("vec_id") / 5).alias("n"), F.col("embedding").cast("array<double>").alias("v"))
+    by_topic = vectors.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") < 3, F.struct("n", "v")))), lambda x: x.v).alias("facets"), F.max_by("v", "n").alias("vector"))
+    langs = table(spark, sf, "documents").select("lang").distinct()
+    return by_topic.join(F.broadcast(langs)).select(F.concat_ws("-", F.concat(F.lit("topic"), F.col("t").cast("string")), "lang").alias("qid"), "facets", "vector")
+
+
+def training_set(spark: SparkSession, sf: str) -> DataFrame:
+    return classifier.features(labelled_pairs(spark, sf), topic_queries(spark, sf), NOW, FLOOR)
+
+
+@query(f"""
+, l AS (SELECT doc_id AS id, CASE WHEN max(toxic) = 1 THEN 0 WHEN max(quality) = 1 THEN 2 ELSE 1 END AS label FROM labels GROUP BY doc_id)
+, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20)
+, s AS (SELECT w.*, l.label, list_cosine_similarity(w.embedding, a.v) AS s0, list_cosine_similarity(w.embedding, b.v) AS s1, list_cosine_similarity(w.embedding, c.v) AS s2, list_cosine_similarity(w.embedding, d.v) AS sv
+  FROM works w JOIN l USING (id) JOIN v a ON a.vec_id = w.id % 5 JOIN v b ON b.vec_id = w.id % 5 + 5 JOIN v c ON c.vec_id = w.id % 5 + 10 JOIN v d ON d.vec_id = w.id % 5 + 15 WHERE w.embedding IS NOT NULL)
+, g AS (SELECT *, list_filter([s0, s1, s2], lambda x: x >= {FLOOR}) AS up, lower(translate(coalesce(title, '') || ' ' || substr(coalesce(abstract, ''), 1, 300), '{X.ACCENTED}', '{X.FOLDED}')) AS hay FROM s)
+SELECT concat_ws('-', topic, lang) AS qid, id, label, round(s0, 6) AS facet_sim_0, round(s1, 6) AS facet_sim_1, round(s2, 6) AS facet_sim_2,
+ CAST(s0 >= {FLOOR} AS DOUBLE) AS facet_sim_0_above_floor, CAST(s1 >= {FLOOR} AS DOUBLE) AS facet_sim_1_above_floor, CAST(s2 >= {FLOOR} AS DOUBLE) AS facet_sim_2_above_floor,
+ round(CASE WHEN len(up) > 0 THEN exp(list_sum(list_transform(up, lambda x: ln(greatest(x, 0.000001)))) / len(up)) ELSE 0.0 END, 6) AS facet_sims_geometric_mean, round(sv, 6) AS single_vector_sim,
+ CAST(regexp_matches(hay, '{classifier.REGION}') AS DOUBLE) AS geography_hit, CAST(year AS DOUBLE) AS year, CAST(greatest(0, {NOW} - year) AS DOUBLE) AS age_years, CAST(coalesce(citation_count, 0) AS DOUBLE) AS citation_count,
+ round(coalesce(citation_count, 0) / CAST(greatest(1, greatest(0, {NOW} - year) + 1) AS DOUBLE), 6) AS citation_rate, CAST(coalesce(sms_level, 0) AS DOUBLE) AS sms_level, CAST(length(abstract) > 0 AS DOUBLE) AS has_abstract,
+ CAST(length(abstract) AS DOUBLE) AS abstract_length, CASE abs_rating WHEN '4*' THEN 5.0::DOUBLE WHEN '4' THEN 4.0 WHEN '3' THEN 3.0 WHEN '2' THEN 2.0 ELSE 0.0 END AS abs_rating_numeric, round(coalesce(repec_percentile, 50) / 100.0, 6) AS repec_percentile FROM g""")
+def n09_training_set(spark: SparkSession, sf: str) -> DataFrame:
+    return training_set(spark, sf).select("qid", "id", "label", *[F.round(c, 6).alias(c) for c in classifier.FEATURES])
+
+
+@query(None)
+def k18_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = written(training_set(spark, sf), "training")
+    return classifier.fold_scores(classifier.cross_validated(rows, 4))
+
+
+@query(None)
+def k18_trained_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """All works with a vector, labelled by a model of the labelled pairs."""
+    model = classifier.trained(written(training_set(spark, sf), "training"))
+    pairs = works(spark, sf).where("embedding is not null").withColumn("label", F.lit(None).cast("int")).withColumn("qid", F.concat_ws("-", "topic", "lang"))
+    return classifier.scored(model, classifier.features(pairs, topic_queries(spark, sf), NOW, FLOOR)).select("id", "predicted", F.round("probability", 6).alias("probability"))
