@@ -29,12 +29,16 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = set("head nav footer aside script style noscript template svg canvas object iframe select button dialog menu noembed noframes textarea title xmp".split())
 NEVER_BY_NAME = {"html", "body", "main"}
+#: How much more a line of a trusted scope weighs.
+SCOPE_WEIGHT = 12.0
 #: One of these among the parts of a name is enough.
-TELLING = set("advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal navbar menubar breadcrumb breadcrumbs pagination pager masthead colophon sidebar disqus commentlist newsletter signup login toolbar comments".split())
+TELLING = set("advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal navbar menubar breadcrumb breadcrumbs pagination pager masthead colophon sidebar disqus commentlist newsletter signup login toolbar comments taboola outbrain recirc trending donate sharebar".split())
 #: These tell only if most parts of the name, but for words of layout, are such.
 FURNITURE = TELLING | set("ad ads adv promo promotion banner notice notices alert overlay nav navigation menu header footer copyright aside rail widget widgets related recommended recommendations comment comments reply replies respond responses discussion share sharing social subscribe subscription search skip tags form".split())
 READERS = set("disqus commentlist comment comments reply replies respond responses discussion".split())
-LAYOUT = set("a area article bar block blog body bottom box col column container content entry fb first global google group id info inner is item items js last layout left link links list main meta module new old outer page panel post primary reader readers right row secondary section site slot text title to top trail unit user visitor visitors wp wrap wrapper".split())
+LAYOUT = set("a area article bar block blog body bottom box col column container content entry fb first global google group id info inner is item items js last layout left link links list main meta module new old outer page panel post primary reader readers right row secondary section site slot text title to top trail unit user visitor visitors wp wrap wrapper thread threads stories posts buttons button cta sticky gallery legal most".split())
+#: Lists of what others read.
+POPULAR = re.compile(r"most[-_]?(?:read|viewed|popular|shared)", re.I)
 NEGATING = {"has", "with", "no", "without", "hide", "show"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -54,6 +58,7 @@ def name_share(names: str) -> tuple[float, bool]:
     good = bad = 0
     readers = False
     for name in names.split():
+        bad += 1000 if POPULAR.search(name) else 0
         negated = False
         for part in NAME_PARTS.findall(name):
             word = part.lower()
@@ -279,13 +284,13 @@ def window_sums(weights: np.ndarray, window: int) -> np.ndarray:
     return ends[window : window + len(weights)] - ends[: len(weights)]
 
 
-def line_weights(lines: list[_Line], texts: list[str], marked: list[bool], titled: set[int], surge: int) -> tuple[list[float], list[bool]]:
+def line_weights(lines: list[_Line], texts: list[str], marked: list[bool], titled: set[int]) -> tuple[list[float], list[bool]]:
     """What each line says for its being text of the article, and whether a scope raises it.
 
     A line weighs its characters less twice those in links, short legal lines nothing, lines of doubtful names half,
     marked ones nothing. A scope is trusted if it has a main heading, or is the only one, or holds a third of what is not
-    marked (the only scope is not if there is over five times as much outside). It raises its lines, but for those that are
-    links only, to where each is a surge by itself, and lowers those outside to a tenth.
+    marked (the only scope is not if there is over five times as much outside). Its lines weigh
+    twelve times their characters outside links, those outside it a tenth; surge and dive decide on all of them alike.
     """
     plain = [0.0 if m or len(t) < 100 and LEGAL.match(t) else max(0, len(t) - 2 * x.links) * (0.5 if x.doubt else 1.0) for x, t, m in zip(lines, texts, marked)]
     held: dict[int, int] = {}
@@ -296,18 +301,22 @@ def line_weights(lines: list[_Line], texts: list[str], marked: list[bool], title
     trusted = {s for s, n in held.items() if s and (s in titled or 3 * n >= whole or scopes == 1 and outside <= 5 * (n + 50))}
     if not trusted:
         return plain, [False] * len(lines)
-    raised = [surge + 10.0 * len(t) if 10 * x.links < 9 * len(t) else 0.0 for x, t in zip(lines, texts)]
+    raised = [SCOPE_WEIGHT * max(0, len(t) - 2 * x.links) for x, t in zip(lines, texts)]
     high = [x.scope in trusted and not m for x, m in zip(lines, marked)]
     return [r if h else w / 10 for h, w, r in zip(high, plain, raised)], high
 
 
-def _ranges(lines: list[_Line], weights: list[float], high: list[bool], window: int, surge: int, share: float) -> list[int]:
+def _ranges(lines: list[_Line], weights: list[float], high: list[bool], marked: list[bool], window: int, surge: int, share: float) -> list[int]:
     """The lines in the ranges that are kept: those of raised lines, and those of at least ``share`` of the heaviest.
 
-    Depth of markup between blocks parts them, and so do the bounds of scopes.
+    Depth of markup between blocks parts them, and so do the bounds of scopes. Marked lines within a scope are not there for the
+    sums, so that what stands between two of its lines does not part them.
     """
     spaced, at, raised = [], [], set()
     for i, (x, w) in enumerate(zip(lines, weights)):
+        if x.scope and marked[i]:
+            at.append(-1)
+            continue
         if i and lines[i - 1].scope != x.scope:
             spaced += [0.0] * window
         elif not x.scope:
@@ -328,7 +337,7 @@ def _ranges(lines: list[_Line], weights: list[float], high: list[bool], window:
             while every[last] <= 0:  # what has no weight at the end of a range is not between two lines of text
                 last -= 1
             inside[a : last + 1] = True
-    return [i for i, p in enumerate(at) if inside[p]]
+    return [i for i, p in enumerate(at) if p >= 0 and inside[p]]
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 90, share: float = 0.1) -> str:
@@ -347,8 +356,8 @@ def main_text(html: str | None, window: int = 3, surge: int = 90, share: float =
         for n in range(1, len(live)):  # a mark holds if it or one around it does
             live[n] = not page.cleared[n] or live[page.around[n]]
         marked = [live[x.mark] for x in lines]
-        weights, high = line_weights(lines, texts, marked, page.titled, surge)
-        kept = [i for i in _ranges(lines, weights, high, window, surge, share) if not marked[i]]
+        weights, high = line_weights(lines, texts, marked, page.titled)
+        kept = [i for i in _ranges(lines, weights, high, marked, window, surge, share) if not marked[i]]
         if kept or not any(marked):
             return "\n".join(texts[i] for i in kept)
         held = [0] * len(page.around)

@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,3 +159,28 @@ def test_table(spark):
     want = CASES["article"][1]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (2, "v", "", 0)]))
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BODY = "".join(f"<p>Sentence {i} of the article runs on for a while, so that it has the length of a common line of prose.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("name", "comment-thread discussion-thread related-stories related-posts most-read trending recirc taboola outbrain share-buttons subscribe-cta donate-banner gallery-nav".split())
+def test_names_of_furniture_in_and_outside_of_the_article(name):
+    other = f'<div class="{name}"><p>A stranger says things here that are long enough to look like a line of the article itself.</p></div>'
+    for page in (f"<article><h1>Title of the page</h1>{BODY}{other}</article>", f"<article><h1>Title of the page</h1>{BODY}</article>{other}"):
+        text = H.main_text(f"<html><body>{page}</body></html>")
+        assert "stranger" not in text and text.count("Sentence") == 6
+
+
+def test_the_sums_decide_within_scopes():
+    links = "<li><a href=x>Ef gh</a></li>" * 4
+    page = f"<html><body><article><h1>Title of the page</h1>{BODY}<ul>{links}<li>Cd</li>{links}</ul></article></body></html>"
+    text = H.main_text(page)
+    assert text.count("Sentence") == 6 and "Cd" not in text
+    assert "Cd" in H.main_text(page, surge=1)
+
+
+def test_a_page_is_not_its_scope(small):
+    """Another threshold changes the text of given pages, whose articles are scopes: sums are asked for their lines too."""
+    rows = pd.read_parquet(f"{small}/pages.parquet")["html"].dropna().tolist()
+    assert any(H.main_text(h) != H.main_text(h, surge=2000) for h in rows)
