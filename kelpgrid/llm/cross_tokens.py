@@ -268,8 +268,10 @@ def _linked(batches: DataFrame, once: bool) -> DataFrame:
         found = F.flatten(F.transform(chunks, lambda k: F.slice("links", start(k) + 1, F.col("link_ends")[k] - start(k))))
         return F.array_distinct(found) if once else found
 
-    each = batches.select("batch", F.posexplode(F.transform("docs", pairs)).alias("place", "pairs"))  # put together before rows are made: no row carries the batch's table
-    return each.select("batch", "place", F.explode("pairs").alias("pair"))
+    # Put together before rows are made: no row carries the batch's table. The outer forms keep Spark from filtering on the size of
+    # what it would work out twice for that.
+    each = batches.select("batch", F.posexplode_outer(F.transform("docs", pairs)).alias("place", "pairs"))
+    return each.select("batch", "place", F.explode_outer("pairs").alias("pair")).where("pair is not null")
 
 
 def pair_counts(batches: DataFrame) -> DataFrame:

@@ -40,12 +40,11 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """``lang, source, term, n, docs``: occurrences of each term in a group and the documents that hold it, texts read once."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
     words = docs.select(lang.alias("lang"), source.alias("source"), terms(text).alias("w"))
-    # Every occurrence counts one; each distinct term of a document comes once more, with a mark in front.
-    marked = F.concat("w", F.transform(F.array_distinct("w"), lambda w: F.concat(F.lit(" "), w)))
-    each = words.select("lang", "source", F.explode(marked).alias("term"))
-    by_doc = F.startswith("term", F.lit(" "))
-    found = each.select("lang", "source", F.ltrim("term").alias("term"), F.when(by_doc, 0).otherwise(1).alias("n"), F.when(by_doc, 1).otherwise(0).alias("docs"))
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # All occurrences, and each distinct term of a document once more. The outer forms keep Spark from putting a filter on the
+    # size of the arrays before, which would split every text twice.
+    both = words.select("lang", "source", F.posexplode_outer(F.array("w", F.array_distinct("w"))).alias("once", "terms"))
+    each = both.select("lang", "source", "once", F.explode_outer("terms").alias("term")).where("term is not null")
+    return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
 
 
 def audit(docs: DataFrame, least: int = 10, top: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
