@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kelpgrid.operators import classify, drafts
+from kelpgrid.operators import classify, drafts, joins
 
 
 def plan(df) -> str:
@@ -49,3 +49,31 @@ def test_twins_by_a_fixed_number_of_rarest_words(spark):
     df = spark.createDataFrame(rows, "id long, year int, publication_type string, title string")
     assert [tuple(r) for r in drafts.twins(df).collect()] == [(1, 2, 0.6)]
     assert drafts.twins(df, rarest=3).collect() == []
+
+
+def test_match_links_count_what_the_gate_pairs(spark):
+    """Copies, near copies, missing years and surnames, titles of one word and of none, against all pairs compared; copies meet as one class."""
+    rng = random.Random(7)
+    words = ["labour", "market", "credit", "growth", "school", "health"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 4, 5]))) for _ in range(12)] + ["", None, "Été: labour market credit!"]
+    rows = [(i, rng.choice(titles), rng.choice([None, 1990, 2000, 2001]), rng.choice([None, "Su", "Sun", "Lee"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, title string, year int, surname string")
+
+    def pairs(title):
+        w = "".join(c if c.isascii() and c.isalnum() else " " if c == " " else "" for c in (title or "").lower()).split()
+        return {f"{a} {b}" for a, b in zip(w, w[1:])} if len(w) > 1 else set(w)
+
+    def near(a, b):
+        x, y = pairs(a[1]), pairs(b[1])
+        years = a[2] is None or b[2] is None or abs(a[2] - b[2]) <= 5
+        names = a[3] is None or b[3] is None or a[3].lower() in b[3].lower() or b[3].lower() in a[3].lower()
+        return a[0] != b[0] and bool(x) and bool(y) and years and names and round(2 * len(x & y) / (len(x) + len(y)), 6) >= 0.5
+
+    want = {(a[0], b[0]) for a in rows for b in rows if near(a, b)}
+    assert {(r.left_id, r.right_id) for r in joins.match_gate(df, df, 0.5, 5).collect()} == want
+    links = joins.match_links(df, 0.5, 5)
+    assert {r.id: r.links for r in links.collect()} == {a[0]: sum(1 for l, _ in want if l == a[0]) for a in rows}
+    same = {}
+    for a in rows:
+        same.setdefault((frozenset(pairs(a[1])) if a[1] is not None else None, a[2], a[3] and a[3].lower()), []).append(a[0])
+    assert {r.id: r.class_id for r in links.collect()} == {i: min(ids) for ids in same.values() for i in ids}
