@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.functions import text as X
+from kelpgrid.sources.stored import written
 
 
 def first_of_each(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -55,9 +57,11 @@ def edit_pieces(least: float = 90.0):
         n = len(t)
         most = int(n * share + 1e-9)
         for m in range(max(1, n - most), n + 1):
-            left, right, marks = (most - (n - m)) // 2, (most + (n - m)) // 2, cuts(m)
-            for i, (a, b) in enumerate(zip(marks, marks[1:])):
-                for part in {t[at : at + b - a] for at in range(max(0, a - left), min(a + right, n - (b - a)) + 1)}:
+            more = n - m
+            left, right, marks = (most - more) // 2, (most + more) // 2, cuts(m)
+            for i, (a, b) in enumerate(zip(marks[: most + 1], marks[1:])):
+                low, high = max(-left, -i, more - (most - i)), min(right, i, more + most - i)
+                for part in {t[at : at + b - a] for at in range(max(0, a + low), min(a + high, n - (b - a)) + 1)}:
                     yield m, i, part
 
     return own, met
@@ -67,36 +71,41 @@ def fuzzy_first(rows: DataFrame, least: float = 90.0) -> DataFrame:
     """``id, kept_id``: each row and the smallest id among itself and the rows of a near equal title and the same or no year.
 
     Titles are near if the edit distance of their words in order is at most (100 - least) percent of the longer one's length.
-    Equal ones are one before anything is compared; of the others those meet that share a piece which so few edits must
-    leave unchanged (:func:`edit_pieces`), and are then compared whole. No near pair is lost; a null title is empty.
+    Equal ones of a year are one before anything is compared; of the others those meet that share a year and a piece which so
+    few edits must leave unchanged (:func:`edit_pieces`), and are then compared whole. No near pair is lost; a null title is empty.
     """
-    ready = rows.select("id", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce(F.array_join(F.array_sort(X.tokens(F.col("title"))), " "), F.lit("")).alias("t"))
-    each = ready.groupBy("t", "year").agg(F.min("id").alias("first"))
+    title = F.coalesce(F.array_join(F.array_sort(X.tokens(F.col("title"))), " "), F.lit(""))
+    ready = written(rows.select("id", F.coalesce("year", F.lit(0)).alias("year"), title.alias("t")), "titles")
+    each = written(ready.groupBy("t", "year").agg(F.min("id").alias("first")), "distinct-titles")  # ``first`` tells them apart
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    titles = each.where("t <> ''").select("t").distinct().repartition(parts)  # few bytes, but many pieces
+    titles = each.where("t <> ''").repartition(parts)  # few bytes, but many pieces
+    some_without = each.where("year = 0").limit(1).count() > 0
+
+    def pieces(of, name: str, groups: Column) -> DataFrame:
+        """``name, piece, group``: a piece as a number, by which equal ones meet; what else meets by it is told apart by the whole titles."""
 
-    def pieces(of, name: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for at in range(0, len(batch), 200):
-                    found = [(t, *x) for t in batch.t.iloc[at : at + 200] for x in of(t)]
-                    yield pd.DataFrame(found, columns=[name, "n", "piece", "part"])
+                    block = batch.iloc[at : at + 200]
+                    found = [(first, year, n << 40 | i << 32 | zlib.crc32(part.encode())) for first, year, t in zip(block["first"], block["year"], block["t"]) for n, i, part in of(t)]
+                    yield pd.DataFrame(found, columns=[name, "year", "piece"])
 
-        return titles.mapInPandas(run, f"{name} string, n int, piece int, part string")
+        return titles.mapInPandas(run, f"{name} long, year int, piece long").select(name, "piece", F.explode(groups).alias("group"))
 
     own, met = edit_pieces(least)
+    # Titles meet within their year. Those without one meet all: as 0 where they are cut, as -1 where they show their substrings.
+    year = F.col("year")
+    own_groups = F.array(year, F.lit(-1)) if some_without else F.array(year)
+    met_groups = F.when(year == 0, F.array(F.lit(-1))).otherwise(F.array(year, F.lit(0))) if some_without else F.array(year)
     # The size of what Python makes is not estimated: both sides are shuffled, whatever the titles' size.
-    pairs = pieces(own, "at").hint("merge").join(pieces(met, "bt"), ["n", "piece", "part"]).where("at <> bt").select("at", "bt").distinct()
-    longer = F.greatest(F.length("at"), F.length("bt"))
-    close = pairs.where((longer > 0) & (100.0 * (1 - F.levenshtein("at", "bt") / longer) >= least))
-    both = F.explode(F.array(F.struct("at", "bt"), F.struct(F.col("bt").alias("at"), F.col("at").alias("bt"))))
-    near = close.select(both.alias("x")).select("x.*").distinct()
-    same = each.where("t <> ''").select(F.col("t").alias("at"), F.col("t").alias("bt")).distinct()  # the same title with and without a year
-    x, y = each.alias("x"), each.alias("y")
-    same_year = (F.col("x.year") == F.col("y.year")) | (F.col("x.year") == 0) | (F.col("y.year") == 0)
-    found = near.unionByName(same).join(x, F.col("at") == F.col("x.t")).join(y, F.col("bt") == F.col("y.t")).where(same_year & (F.col("y.first") < F.col("x.first")))
-    earlier = found.groupBy(F.col("x.t").alias("t"), F.col("x.year").alias("year")).agg(F.min("y.first").alias("earlier"))
-    kept = each.join(earlier, ["t", "year"], "left").select("t", "year", F.least("first", F.coalesce("earlier", "first")).alias("kept_id"))
+    met_by = pieces(own, "a", own_groups).hint("merge").join(pieces(met, "b", met_groups), ["group", "piece"]).where("a <> b")
+    pairs = met_by.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    text = lambda c: each.select(F.col("first").alias(c), F.col("t").alias(f"{c}_t"))
+    longer = F.greatest(F.length("lo_t"), F.length("hi_t"))
+    near = pairs.join(text("lo"), "lo").join(text("hi"), "hi").where((longer > 0) & (100.0 * (1 - F.levenshtein("lo_t", "hi_t") / longer) >= least))
+    earlier = near.groupBy(F.col("hi").alias("first")).agg(F.min("lo").alias("earlier"))
+    kept = each.join(earlier, "first", "left").select("t", "year", F.coalesce("earlier", "first").alias("kept_id"))
     return ready.join(kept, ["t", "year"]).select("id", "kept_id")
 
 

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kelpgrid.operators import classify, drafts, joins
+from kelpgrid.operators import classify, dedup, drafts, joins
 
 
 def plan(df) -> str:
@@ -77,3 +77,36 @@ def test_match_links_count_what_the_gate_pairs(spark):
     for a in rows:
         same.setdefault((frozenset(pairs(a[1])) if a[1] is not None else None, a[2], a[3] and a[3].lower()), []).append(a[0])
     assert {r.id: r.class_id for r in links.collect()} == {i: min(ids) for ids in same.values() for i in ids}
+
+
+def test_pieces_of_a_title_are_few(spark):
+    """Substrings that a title shows, and near titles that meet by them in their own year or without one."""
+    title = "".join(random.Random(3).choices("abcdefghij", k=60))
+    own, met = dedup.edit_pieces()
+    assert sum(1 for _ in met(title)) < 150  # 304 when only the sum of all edits bounded the places
+    rng = random.Random(4)
+    rows = []
+    for i in range(80):
+        t = list(rng.choice(["labour market credit growth in rural schools", "health of the poor and what it costs them"]))
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = rng.choice("abxyz")
+        rows.append((i, "".join(t), rng.choice([None, 1990, 1991])))
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = {i: " ".join(sorted(t.split())) for i, t, _ in rows}
+    near = lambda a, b: 100 * (1 - distance(words[a[0]], words[b[0]]) / max(len(words[a[0]]), len(words[b[0]]))) >= 90 and (a[2] == b[2] or not a[2] or not b[2])
+    first = {}
+    for i, _, y in rows:
+        first.setdefault((words[i], y), i)
+    kept = {}
+    for r in rows:
+        f = first[(words[r[0]], r[2])]
+        kept[r[0]] = min([f, *[b[0] for b in rows if b[0] < f and near(r, b)]])
+    df = spark.createDataFrame(rows, "id long, title string, year int")
+    assert {r.id: r.kept_id for r in dedup.fuzzy_first(df).collect()} == kept
