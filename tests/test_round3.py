@@ -110,3 +110,36 @@ def test_pieces_of_a_title_are_few(spark):
         kept[r[0]] = min([f, *[b[0] for b in rows if b[0] < f and near(r, b)]])
     df = spark.createDataFrame(rows, "id long, title string, year int")
     assert {r.id: r.kept_id for r in dedup.fuzzy_first(df).collect()} == kept
+
+
+def test_signature_matches_leave_no_pairs_to_sort(spark):
+    """Many rows of one signature, in several blocks, with and without vectors, against all pairs; what reaches the choice is one row a block."""
+    rng = random.Random(9)
+    titles = ["labour market credit growth", "rural school health policy", "short"]
+    vectors = [None, [1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [0.0, 0.0], [1.0], [None, 1.0]]
+    rows = [(i, titles[0] if i < 60 else rng.choice(titles), rng.choice([None, 1990, 1995, 2010]), ["a"] if i % 5 else ["b"], rng.choice(vectors)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, title string, year int, authors array<string>, embedding array<double>")
+
+    def cos(a, b):
+        if a is None or b is None:
+            return None
+        if len(a) != len(b):
+            return 0.0
+        if None in a or None in b:
+            return None
+        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) if size else 0.0
+
+    want = {}
+    for a in rows:
+        found = [(cos(a[4], b[4]), b[0]) for b in rows if a[1] == b[1] != "short" and a[0] != b[0] and a[2] and b[2] and abs(a[2] - b[2]) <= 8 and a[3] == b[3]]
+        if found:
+            c, i = min(found, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+            want[a[0]] = (i, c)
+    old, joins.SIGNATURE_BLOCK = joins.SIGNATURE_BLOCK, 7
+    try:
+        out = joins.signature_matches(df, df)
+    finally:
+        joins.SIGNATURE_BLOCK = old
+    assert {r.left_id: (r.right_id, r.cosine) for r in out.collect()} == want
+    assert "Window" not in plan(out)
