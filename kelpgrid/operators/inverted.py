@@ -1,6 +1,6 @@
 """A positional inverted index as a table, and web-style searches that read only the postings of their terms.
 
-The table has a row for each term of a document, with the positions of the term, in folders by the term's hash; the
+The table has a row for each word of a document, under the word's stem and with its positions, in folders by the stem's hash; the
 rows of a frequent term are dealt over several files. A search reads the folders of its terms, puts phrases together
 from neighbouring positions and ranks by cover density: every least stretch of text that holds what a search asks
 for counts, the more the fewer other words it has.
@@ -64,9 +64,22 @@ def bucket(term: Column) -> Column:
 
 
 def postings(rows: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
-    """``term, id, positions``: the words of each text but stopwords, stemmed, with their places among all words from 1."""
-    words = rows.select(F.col(id_col).alias("id"), F.posexplode(X.tokens(text)).alias("at", "word")).where(~F.col("word").isin(X.STOPWORDS))
-    return words.groupBy(stem(F.col("word")).alias("term"), "id").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
+    """``term, id, positions``: the words of each text but stopwords, stemmed, with their places among all words from 1.
+
+    A word's places are put together within its row, by sorting, and not in a shuffle; words of one stem are rows of their own.
+    """
+    placed = lambda words: F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at"))), lambda p: ~p.word.isin(X.STOPWORDS))
+
+    def grouped(p: Column) -> Column:
+        """Runs of one word in sorted places; each run ends where the next begins."""
+        begins = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == 1) | (F.get(p, i - 1).word != F.get(p, i - 2).word))
+        run = lambda b, i, k: F.transform(F.slice(p, i, F.coalesce(F.get(b, k + 1), F.size(p) + 1) - i), lambda x: x["at"])
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(F.get(p, i - 1).word.alias("word"), run(b, i, k).alias("positions"))))[0]
+
+    # What lambdas bind is made once.
+    words = F.transform(F.array(X.tokens(text)), lambda w: F.array_sort(placed(w)))
+    groups = F.transform(words, lambda p: F.when(F.size(p) > 0, grouped(p)))[0]
+    return rows.select(F.col(id_col).alias("id"), F.inline(groups)).select(stem(F.col("word")).alias("term"), "id", "positions")
 
 
 def build_index(rows: DataFrame, text: Column, path: str, id_col: str = "id") -> None:

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kelpgrid.operators import classify, dedup, drafts, joins
+from kelpgrid.operators import classify, dedup, drafts, inverted, joins
 
 
 def plan(df) -> str:
@@ -143,3 +143,11 @@ def test_signature_matches_leave_no_pairs_to_sort(spark):
         joins.SIGNATURE_BLOCK = old
     assert {r.left_id: (r.right_id, r.cosine) for r in out.collect()} == want
     assert "Window" not in plan(out)
+
+
+def test_postings_are_made_within_rows(spark):
+    """Places of each word of a text, a word twice and texts without words among them, and no shuffle."""
+    df = spark.createDataFrame([(1, "taxes of the state, tax and taxes"), (2, ""), (3, None), (4, "the of"), (5, "growth")], "id long, t string")
+    out = inverted.postings(df, F.col("t"))
+    assert sorted((r.id, r.term, list(r.positions)) for r in out.collect()) == [(1, "state", [4]), (1, "tax", [1, 7]), (1, "tax", [5]), (5, "growth", [1])]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
