@@ -79,15 +79,21 @@ def scrubbed_json(payload: Column, most: int = 64) -> Column:
     Each personal field is replaced by its length; lists are kept as their number of entries only; objects within are
     scrubbed the same way, one level deep, their fields named ``outer.inner``, and anything deeper is dropped.
     """
-    top = F.from_json(payload, "map<string,string>")
     is_object, is_list = (lambda v: F.trim(v).startswith("{")), (lambda v: F.trim(v).startswith("["))
-    nested = F.map_filter(top, lambda k, v: is_object(v) & ~k.rlike(PERSONAL))
-    inner = F.flatten(F.transform(F.map_entries(nested), lambda e: F.transform(F.map_entries(F.from_json(e.value, "map<string,string>")), lambda f: F.struct(F.concat(e.key, F.lit("."), f.key).alias("key"), f.value.alias("value")))))
-    inner = F.map_filter(F.map_from_entries(inner), lambda k, v: ~is_object(v))
-    flat = F.map_concat(F.map_filter(top, lambda k, v: ~is_object(v) | k.rlike(PERSONAL)), inner)
-    lists = F.map_filter(flat, lambda k, v: is_list(v) & ~k.rlike(PERSONAL))
-    sizes = F.transform_keys(F.transform_values(lists, lambda k, v: F.json_array_length(v).cast("string")), lambda k, v: F.concat(k, F.lit("_count")))
-    return F.map_concat(scrubbed(F.map_filter(flat, lambda k, v: ~is_list(v) | k.rlike(PERSONAL)), most), sizes)
+
+    def flattened(top: Column) -> Column:
+        nested = F.map_filter(top, lambda k, v: is_object(v) & ~k.rlike(PERSONAL))
+        inner = F.flatten(F.transform(F.map_entries(nested), lambda e: F.transform(F.map_entries(F.from_json(e.value, "map<string,string>")), lambda f: F.struct(F.concat(e.key, F.lit("."), f.key).alias("key"), f.value.alias("value")))))
+        inner = F.map_filter(F.map_from_entries(inner), lambda k, v: ~is_object(v))
+        return F.map_concat(F.map_filter(top, lambda k, v: ~is_object(v) | k.rlike(PERSONAL)), inner)
+
+    def cleaned(flat: Column) -> Column:
+        lists = F.map_filter(flat, lambda k, v: is_list(v) & ~k.rlike(PERSONAL))
+        sizes = F.transform_keys(F.transform_values(lists, lambda k, v: F.json_array_length(v).cast("string")), lambda k, v: F.concat(k, F.lit("_count")))
+        return F.map_concat(scrubbed(F.map_filter(flat, lambda k, v: ~is_list(v) | k.rlike(PERSONAL)), most), sizes)
+
+    # What lambdas bind is parsed and put together once.
+    return F.transform(F.transform(F.array(F.from_json(payload, "map<string,string>")), flattened), cleaned)[0]
 
 
 def scrubbed(payload: Column, most: int = 64) -> Column:

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from kelpgrid.operators import classify, dedup, drafts, inverted, joins
+from kelpgrid.sources import files
 
 
 def plan(df) -> str:
@@ -151,3 +152,10 @@ def test_postings_are_made_within_rows(spark):
     out = inverted.postings(df, F.col("t"))
     assert sorted((r.id, r.term, list(r.positions)) for r in out.collect()) == [(1, "state", [4]), (1, "tax", [1, 7]), (1, "tax", [5]), (5, "growth", [1])]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_are_parsed_once(spark):
+    """One parse of the object and one of the objects within, whatever is made of them."""
+    out = spark.createDataFrame([('{"a": "1", "b": {"c": "2"}, "l": [1, 2]}',)], "p string").select(files.scrubbed_json(F.col("p")).alias("m"))
+    assert out.first().m == {"a": "1", "b.c": "2", "l_count": "2"}
+    assert out._jdf.queryExecution().analyzed().toString().count("from_json(") == 2
