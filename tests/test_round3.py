@@ -159,3 +159,25 @@ def test_payloads_are_parsed_once(spark):
     out = spark.createDataFrame([('{"a": "1", "b": {"c": "2"}, "l": [1, 2]}',)], "p string").select(files.scrubbed_json(F.col("p")).alias("m"))
     assert out.first().m == {"a": "1", "b.c": "2", "l_count": "2"}
     assert out._jdf.queryExecution().analyzed().toString().count("from_json(") == 2
+
+
+def test_crawl_counts_repeated_edges_once_and_spreads_them_first(spark, monkeypatch):
+    """Against a plain crawl, with repeated edges and nulls; what a task reads is sent on before distinct rows are looked for."""
+    monkeypatch.setattr(joins, "DISTINCT_ROWS", 100)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *range(40)])) for _ in range(900)]
+    edges, seeds = spark.createDataFrame(rows, "citing int, cited int"), set(range(0, 30, 4))
+    known = spark.createDataFrame([(i,) for i in seeds], "id int")
+    distinct = set(rows)
+    cites = {i: sum(c == i for _, c in distinct) for i in range(40)}
+    want: dict = {}
+    for seed in seeds:
+        for near in ({c for s, c in distinct if s == seed}, {s for s, c in distinct if c == seed}):
+            ranked = sorted(near, key=lambda i: (-cites.get(i, 0), i is not None, i or 0))[:5]
+            for i in ranked:
+                if cites.get(i, 0) >= 3 and i not in seeds:
+                    want.setdefault(i, set()).add(seed)
+    out = joins.crawl(edges, known, known, each=5)
+    assert {tuple(r) for r in out.collect()} == {(i, len(s), cites[i]) for i, s in want.items()}
+    assert joins.distinct_rows(edges).rdd.getNumPartitions() == 10
+    assert plan(out).count("RepartitionByExpression") == 3
