@@ -124,18 +124,17 @@ def ranked_pairs(works: DataFrame, least_length: int = 30, years: int = 8, same_
 def best_ranked(works: DataFrame, least_length: int = 30, years: int = 8) -> DataFrame:
     """``shadow_id, canonical_id``: for each row the best of :func:`ranked_pairs`, the smallest rank and then id, without the pairs.
 
-    Of the rows of one title, year and rank only the smallest id can be best. These representatives are spread to the years
-    that they reach, where the best of each rank is all that a row of a lower rank looks at: the work is in proportion to the rows
-    however many have one title.
+    Of the rows of one title, year and rank only the smallest id can be best. These few representatives of a title are
+    all that a row of it looks at: the work is in proportion to the rows however many have one title. A column ``t`` is
+    the normalised title, if there is one.
     """
     from kelpgrid.functions.numeric import publication_rank
 
-    keyed = works.select("id", "year", X.normalize_title(F.col("title")).alias("t"), publication_rank(F.col("publication_type")).alias("r")).where(F.length("t") >= least_length)
-    reach = F.explode(F.sequence(F.col("year") - years, F.col("year") + years))
-    first = keyed.groupBy("t", "r", "year").agg(F.min("id").alias("id")).select("t", "r", "id", reach.alias("year"))
-    first = first.groupBy("t", "year", "r").agg(F.min("id").alias("id")).groupBy("t", "year").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("best"))  # one entry a rank
-    found = F.filter("best", lambda b: b.r < F.col("r"))[0].id
-    return keyed.join(first, ["t", "year"]).select(F.col("id").alias("shadow_id"), F.when(F.exists("best", lambda b: b.r < F.col("r")), found).alias("canonical_id")).where("canonical_id is not null")
+    t = F.col("t") if "t" in works.columns else X.normalize_title(F.col("title")).alias("t")
+    keyed = works.select("id", "year", t, publication_rank(F.col("publication_type")).alias("r")).where(F.length("t") >= least_length)
+    first = keyed.groupBy("t", "r", "year").agg(F.min("id").alias("id")).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("r", "id", "year"))).alias("first"))
+    near = F.filter("first", lambda b: (b.r < F.col("r")) & (F.abs(b.year - F.col("year")) <= years))
+    return keyed.join(first, "t").select(F.col("id").alias("shadow_id"), F.get(near, F.lit(0)).id.alias("canonical_id")).where("canonical_id is not null")
 
 
 def merge_shadows(works: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -159,5 +158,5 @@ def cross_source_shadows(works: DataFrame, years: int = 8) -> DataFrame:
 
 def fuzzy_shadows(works: DataFrame, least_length: int = 30, years: int = 8) -> DataFrame:
     """``shadow_id, canonical_id``: for each row the best-ranked other row of the same long title near its year; chains are left out."""
-    best = best_ranked(works, least_length, years)
+    best = written(best_ranked(works, least_length, years), "best-ranked")
     return best.join(best.select(F.col("shadow_id").alias("canonical_id")), "canonical_id", "left_anti").select("shadow_id", "canonical_id")

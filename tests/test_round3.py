@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from kelpgrid.operators import classify, dedup, drafts, inverted, joins
+from kelpgrid.plans.works import works
 from kelpgrid.sources import files
 
 
@@ -181,3 +182,11 @@ def test_crawl_counts_repeated_edges_once_and_spreads_them_first(spark, monkeypa
     assert {tuple(r) for r in out.collect()} == {(i, len(s), cites[i]) for i, s in want.items()}
     assert joins.distinct_rows(edges).rdd.getNumPartitions() == 10
     assert plan(out).count("RepartitionByExpression") == 3
+
+
+def test_titles_are_made_before_the_joins(spark, small):
+    """No text goes through the joins of the works for a title; titles meet once each, not once a year within reach."""
+    titles = plan(works(spark, small).select("id", "title"))
+    assert titles.index("Join LeftOuter") < titles.index("substring(text")
+    best = plan(dedup.best_ranked(works(spark, small)))
+    assert "Generate" not in best and "explode" not in best
