@@ -190,3 +190,20 @@ def test_titles_are_made_before_the_joins(spark, small):
     assert titles.index("Join LeftOuter") < titles.index("substring(text")
     best = plan(dedup.best_ranked(works(spark, small)))
     assert "Generate" not in best and "explode" not in best
+
+
+def test_methods_are_found_before_the_joins_and_by_their_words(spark, small):
+    """Every pattern of the ingest is tried only on texts that hold a word of one of its choices, and labels as without that."""
+    from kelpgrid.operators import rules as R
+    from kelpgrid.plans import reports
+
+    assert all(R.required_words(p) for _, _, ps in R.INGEST_METHODS for p in ps)
+    assert R.required_words(r"(?i)\b(two[- ]stage least squares|iv estimators?)\b") == ("stage least squares", "iv estimator")
+    assert R.required_words(r"\b(IV|2SLS)\b") == () and R.required_words(r"(?i)\bcorrelat(ion|ed)\b") == ("correlat",)
+    texts = ["A DIFFERENCE in-differences design", "diff-in-diff", "the iv estimator", "Two-Stage least squares", "2SLS", "rdd", "xrdd", "Panel  data", "panel data", "érct", "RCT", "Cross sectional", None, "", "ethnograph", "ethnographic"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    plain = F.coalesce(*[F.when(F.col("t").rlike(R.plain_bounds(p)), F.lit(d)) for _, d, ps in R.INGEST_METHODS for p in ps])
+    rows = df.select(classify.method(F.col("t"), R.INGEST_METHODS).design.alias("a"), plain.alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and len({r.a for r in rows}) == 7
+    found = plan(reports.k04_ingest_methods(spark, small))
+    assert found.index("Join LeftOuter") < found.index("RLIKE")
