@@ -2,10 +2,12 @@
 
 Both tokenizers run once over every text. Tokens of either never reach over a single space, so a text is a row of
 chunks that begin at its spaces, and what Python hands on, some megabytes of texts a row, is each distinct chunk's token
-ids and the byte offsets where its tokens end, and for every text the places of its chunks. From there on everything is
+ids, the byte offsets where its tokens end, and for every text the places of its chunks. Many chunks have their ends at
+the same bytes: ends are handed on once for all chunks of such a form. From there on everything is
 a Spark function of these arrays: ends that both share cut the tokens into groups, and the sorted ends of both, each
 once, are the links, as two tokens that overlap share exactly the bytes between two neighbouring ends. Lookups are by
-rank in the sorted ends, so that the work is linear in the length of a text.
+rank in the sorted ends, so that the work is linear in the length of a text but for the sort. Groups and links of a form are places
+among a chunk's tokens, which every chunk of the form fills with its own ids.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
@@ -30,8 +33,8 @@ from kelpgrid.operators.joins import broadcast_if_few
 
 #: What pre-splits texts for the byte-level tokenizer (fixed values of its file's format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A text some of whose chunks can't be told apart without their neighbours.
-TANGLED = re.compile(r"\x20(?:\s|$)|^\x20")
+#: A text some of whose chunks can't be told apart without their neighbours (RE2, whose own white space is ASCII only).
+TANGLED = "^ | (?:[" + "".join(filter(str.isspace, map(chr, range(0x3001)))) + "]|$)"
 EDGE = re.compile(r"^\s|\s$")
 EDGES = re.compile(r"\s\x20|\x20\s")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -58,11 +61,13 @@ class Pair:
 
     def one(self, text: str, runs: list[str] | None = None) -> list[np.ndarray] | None:
         """The ids of a text under both; none if the bytes of either are not the text's. ``runs`` are its parts between some of its single spaces."""
-        a, b = self.bpe.encode_ordinary(" " + text), list(chain.from_iterable(self.piece.encode(runs or [text], num_threads=1)))
-        raw = b" " + text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b]):
-            return [np.array(a, np.int32), np.array(b, np.int32)]
-        return None
+        raw, found = b" " + text.encode(), []
+        for k, every in enumerate((self.a_bytes, self.b_bytes)):
+            ids = chain.from_iterable(self.piece.encode(runs or [text], num_threads=1)) if k else self.bpe.encode_ordinary(" " + text)
+            found.append(np.fromiter(ids, np.int32))
+            if b"".join([every[i] for i in found[k].tolist()]) != raw:
+                return None
+        return found
 
     def chunks(self, words: list[str], sizes: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """For both: the ids of all words, each with a space before it, one after the other, and each word's number of them; the words that have none.
@@ -107,22 +112,53 @@ def _row(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
 
 
-def _batch(both: Pair, doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _forms(ends: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The form of each chunk, and the first chunk of each form: chunks of one form have their tokens' ``ends``, counted from the chunk's start, at the same bytes.
+
+    Those of up to 64 bytes are told apart by a bit for each byte where a token ends, longer ones are forms of their own.
+    """
+    form, many = np.zeros(len(sizes), np.int64), 1
+    for e, n in zip(ends, counts):
+        bits = np.left_shift(np.uint64(1), np.minimum(e - 1, 63).astype(np.uint64))
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bits, dtype=np.uint64)])  # wraps around; differences are right
+        last = np.cumsum(n)
+        codes, found = pd.factorize(upto[last] - upto[last - n])
+        form = form * max(1, len(found)) + codes
+        many *= max(1, len(found))
+    long = np.flatnonzero(sizes > 64)
+    form[long] = many + np.arange(len(long))
+    form = pd.factorize(form)[0]
+    new = np.flatnonzero(np.diff(np.maximum.accumulate(form), prepend=-1))
+    return form, new
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _batch(both: Pair, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """One row: the tokens of the distinct chunks of the texts, one after the other, and where the chunks stand in each text."""
-    plain = [i for i, t in enumerate(texts) if t and both.apart and not TANGLED.search(t)]
-    split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+    some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+    tangled = pc.fill_null(pc.match_substring_regex(texts, TANGLED), False) if both.apart else some
+    plain = pc.and_not(some, tangled)
+    split = pc.split_pattern(texts.filter(plain).cast(pa.large_string()), " ")
     coded = split.flatten().dictionary_encode()
     sizes = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64)
     tokens, broken = both.chunks(coded.dictionary.to_pylist(), sizes)
     which, offsets = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
     sizes += 1
     places: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    for k, i in enumerate(plain):
+    for k, i in enumerate(np.flatnonzero(plain.to_numpy(zero_copy_only=False)).tolist()):
         places[i] = which[offsets[k] : offsets[k + 1]]
     more: list[list[np.ndarray]] = []
-    for i, t in enumerate(texts):
-        if t and (not len(places[i]) or len(broken) and np.isin(places[i], broken).any()):  # as one chunk
-            found = both.one(t)
+    for i in np.flatnonzero(some.to_numpy(zero_copy_only=False)).tolist():
+        if not len(places[i]) or len(broken) and np.isin(places[i], broken).any():  # as one chunk
+            found = both.one(texts[i].as_py())
             places[i] = np.zeros(0, np.int64) if found is None else np.array([len(sizes) + len(more)], np.int64)
             more += [] if found is None else [found]
     sizes[broken] = 0
@@ -130,25 +166,32 @@ def _batch(both: Pair, doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordB
     used = np.array([len(p) for p in places], np.int64)
     at = np.concatenate([np.zeros(0, np.int64), *places])
     row_of = np.repeat(np.arange(len(texts)), used)
-    out, n = [], []
-    for k, (ids, counts) in enumerate(tokens):
-        ids = np.concatenate([ids, *[x[k] for x in more]])
-        counts = np.concatenate([counts, [len(x[k]) for x in more]]).astype(np.int64)
-        out += [_row(ids, pa.int32()), _row(np.cumsum(both.lengths[k][ids]), pa.int32())]
-        out.append(_row(np.cumsum(counts), pa.int32()))
-        n.append(pa.array(np.bincount(row_of, counts[at], len(texts)).astype(np.int64)))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32)), pa.array(at.astype(np.int32)))
-    docs = pa.StructArray.from_arrays([doc_ids, lists, *n], ["doc_id", "chunks", "n_a", "n_b"])
-    columns = {"docs": pa.ListArray.from_arrays([0, len(docs)], docs), "a": out[0], "a_ends": out[1], "a_upto": out[2], "b": out[3], "b_ends": out[4], "b_upto": out[5], "chunk_ends": _row(np.cumsum(sizes), pa.int32())}
+    n, ids, ends, every = [], [], [], []
+    for k, (found, counts) in enumerate(tokens):
+        ids.append(np.concatenate([found, *[x[k] for x in more]]))
+        every.append(np.concatenate([counts, [len(x[k]) for x in more]]).astype(np.int64))
+        n.append(pa.array(np.bincount(row_of, every[k][at], len(texts)).astype(np.int64)))
+        ends.append(np.cumsum(both.lengths[k][ids[k]]) - np.repeat(np.cumsum(sizes) - sizes, every[k]))
+    form, new = _forms(ends, every, sizes)
+    starts = np.cumsum(every[0] + every[1]) - every[0] - every[1]
+    together = np.empty(len(ids[0]) + len(ids[1]), np.int32)
+    together[_spans(starts, every[0])], together[_spans(starts + every[0], every[1])] = ids
+    docs = pa.StructArray.from_arrays([doc_ids, *n], ["doc_id", "n_a", "n_b"])
+    columns = {"docs": pa.ListArray.from_arrays([0, len(docs)], docs), "chunks": pa.ListArray.from_arrays([0, len(texts)], _lists(at, used))}
+    columns |= {"ids": _row(together, pa.int32()), "starts": _row(starts, pa.int32()), "form": _row(form, pa.int32())}
+    for name, e, counts in zip(("a_ends", "b_ends"), ends, every):
+        here = counts[new]
+        columns[name] = pa.ListArray.from_arrays([0, len(new)], _lists(e[_spans(np.cumsum(counts)[new] - here, here)], here))
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-TOKENS = "docs array<struct<doc_id:long,chunks:array<int>,n_a:long,n_b:long>>, a array<int>, a_ends array<int>, a_upto array<int>, b array<int>, b_ends array<int>, b_upto array<int>, chunk_ends array<int>"
+TOKENS = "docs array<struct<doc_id:long,n_a:long,n_b:long>>, chunks array<array<int>>, ids array<int>, starts array<int>, form array<int>, a_ends array<array<int>>, b_ends array<array<int>>"
 
 
 def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
-    """Rows of about ``batch_chars`` bytes of text: ``docs`` with the chunks of each text in order, and of all distinct chunks, one after the other,
-    the token ids ``a`` and ``b``, the bytes up to each token's end, the tokens up to each chunk's end, and ``chunk_ends`` in bytes.
+    """Rows of about ``batch_chars`` bytes of text: ``docs``, and for each the places of its ``chunks`` in order; of all distinct chunks, one after the other,
+    the token ``ids`` (A's of a chunk before B's), where those of each chunk start and its ``form``; of every form the bytes up to the end of each token of A
+    and of B, counted from the chunk's start.
 
     A text that can't be cut at its spaces is one chunk. Null and empty texts, and those whose joined token bytes are
     not the text's under either, have no chunks.
@@ -162,7 +205,7 @@ def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "
             for at, end in zip(cuts, cuts[1:]):
                 if end > at:
                     part = rows.slice(at, end - at)
-                    yield _batch(both, pa.array(part["doc_id"].to_pylist(), pa.int64()), part["text"].to_pylist())
+                    yield _batch(both, pa.array(part["doc_id"].to_pylist(), pa.int64()), part["text"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, TOKENS)
 
@@ -205,72 +248,77 @@ def _steps(a_ends: Column, b_ends: Column) -> Column:
     return bound(keys, step)
 
 
-def _groups(a_ids: Column, b_ids: Column, cuts: Column) -> Column:
-    """``a1,a2|b1`` of every group between two cuts (A tokens, B tokens so far): A's ids before B's."""
-
-    def span(ids: Column, start: Column, end: Column) -> Column:
-        return F.when(end - start == 1, ids[start]).otherwise(F.array_join(F.slice(ids, start + 1, end - start), ","))
+def _form(a_ends: Column, b_ends: Column) -> Column:
+    """``tokens, links`` of a form: its tokens in the order of the text of its groups, ``a1,a2|b1`` each, four times the place and the number in ``BEFORE``
+    of what stands before it, and the places of the tokens of every link, ``packed``. Places count A's tokens, then B's."""
+    n_a = F.size(a_ends)
 
     def group(before: Column, cut: Column) -> Column:
-        return F.concat(span(a_ids, high(before), high(cut)), F.lit("|"), span(b_ids, low(before), low(cut)))
+        first_a, first_b = high(before), low(before)
+        of_a = F.transform(F.sequence(first_a, high(cut) - 1), lambda i: i * 4 + F.when(i > first_a, 1).when(i > 0, 3).otherwise(0))
+        of_b = F.transform(F.sequence(first_b, low(cut) - 1), lambda j: (n_a + j) * 4 + F.when(j > first_b, 1).otherwise(2))
+        return F.concat(of_a, of_b)
+
+    def one(steps: Column) -> Column:
+        cuts = F.transform(F.filter(steps, lambda s: s < 0), lambda s: -1 - s)
+        links = F.transform(F.filter(steps, lambda s: s >= 0), lambda s: s + n_a)
+        start = F.array(F.lit(0).cast("long"))
+        tokens = bound(cuts, lambda c: F.flatten(F.zip_with(F.slice(F.concat(start, c), 1, F.size(c)), c, group)))
+        return F.struct(tokens.alias("tokens"), links.alias("links"))
 
-    start = F.array(F.lit(0).cast("long"))
-    return F.zip_with(F.slice(F.concat(start, cuts), 1, F.size(cuts)), cuts, group)
+    return bound(_steps(a_ends, b_ends), one)
 
 
-def _ranks(ends: Column, marks: Column) -> Column:
-    """How many of the sorted distinct ``ends`` are up to each of the sorted distinct ``marks``."""
-    keys = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(marks, lambda m: m * 2 + 1)))
-    places = F.filter(F.transform(keys, lambda x, p: F.when(x % 2 == 1, p).otherwise(-1)), lambda p: p >= 0)
-    return F.transform(places, lambda p, j: p - j)
+BEFORE = ["", ",", "|", ";"]
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """``batch, docs, links, link_ends`` of every row of :func:`both_tokens`.
+    """``batch, docs, chunks, links`` of every row of :func:`both_tokens`.
 
-    ``docs`` holds ``doc_id, chunks, n_a, n_b, n_groups, n_links, groups_sha256`` of each text; ``links`` the id pair of every link of the
-    chunks (A id in the upper, B id in the lower half of a long), and ``link_ends`` how many there are up to each chunk's end.
+    ``docs`` holds ``doc_id, n_a, n_b, n_groups, n_links, groups_sha256`` of each text; ``links`` the id pair of every link of each of the
+    chunks (A id in the upper, B id in the lower half of a long).
     """
-    text = lambda ids: F.col(ids).cast("array<string>")
 
-    def flat(steps: Column) -> Column:
-        cuts = F.transform(F.filter(steps, lambda s: s < 0), lambda s: -1 - s)
-        links = F.transform(F.filter(steps, lambda s: s >= 0), lambda s: packed(F.col("a")[high(s)], F.col("b")[low(s)]))
-        groups = bound(F.struct(text("a").alias("a"), text("b").alias("b"), cuts.alias("cuts")), lambda x: _groups(x.a, x.b, x.cuts))
-        return F.struct(groups.alias("groups"), links.alias("links"))
-
-    def chunked(f: Column, upto: Column) -> Column:
-        """Texts of the chunks, their numbers of groups, and the ends of their links: of a chunk's tokens each makes a link or ends a group, or both."""
-        chunks = F.transform(upto, lambda g, k: F.struct(F.when(k > 0, upto[F.greatest(k - 1, F.lit(0))]).otherwise(0).alias("start"), g.alias("end")))
-        texts = F.transform(chunks, lambda c: F.when(c.end - c.start == 1, F.get(f.groups, c.start)).otherwise(F.array_join(F.slice(f.groups, c.start + 1, c.end - c.start), ";")))
-        ends = F.transform(upto, lambda g, k: F.col("a_upto")[k] + F.col("b_upto")[k] - g)
-        return F.struct(texts.alias("text"), F.transform(chunks, lambda c: c.end - c.start).alias("n_groups"), f.links.alias("links"), ends.alias("link_ends"))
-
-    def doc(d: Column, x: Column) -> Column:
-        groups = F.aggregate(d.chunks, F.lit(0).cast("long"), lambda s, k: s + x.n_groups[k])
-        whole = F.array_join(F.transform(d.chunks, lambda k: x.text[k]), ";")
-        sha = F.when(F.size(d.chunks) > 0, F.sha2(whole, 256)).otherwise("")
-        return bound(groups, lambda g: F.struct(d.doc_id.alias("doc_id"), d.chunks.alias("chunks"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), g.alias("n_groups"), (d.n_a + d.n_b - g).alias("n_links"), sha.alias("groups_sha256")))
-
-    shared = F.array_intersect("a_ends", "b_ends")  # the ends of all groups
-    upto = _ranks(shared, F.col("chunk_ends"))
-    chunks = bound(_steps(F.col("a_ends"), F.col("b_ends")), lambda steps: bound(flat(steps), lambda f: bound(upto, lambda u: chunked(f, u))))
-    row = bound(chunks, lambda x: F.struct(F.transform("docs", lambda d: doc(d, x)).alias("docs"), x.links.alias("links"), x.link_ends.alias("link_ends")))
-    return tokens.select(F.monotonically_increasing_id().alias("batch"), row.alias("row")).select("batch", "row.docs", "row.links", "row.link_ends")
+    before = F.array(*[F.lit(x) for x in BEFORE])
+
+    def texts(ids: Column, forms: Column) -> Column:
+        def one(f: Column, start: Column) -> Column:
+            return F.array_join(F.transform(forms[f].tokens, lambda t: F.concat(before[t.bitwiseAND(3)], ids[start + F.shiftright(t, 2)].cast("string"))), "")
+
+        return F.zip_with("form", "starts", one)
+
+    def links(ids: Column, forms: Column) -> Column:
+        return F.zip_with("form", "starts", lambda f, start: F.transform(forms[f].links, lambda t: packed(ids[start + high(t)], ids[start + low(t)])))
+
+    def doc(every: Column) -> Callable[[Column, Column], Column]:
+        def one(d: Column, chunks: Column) -> Column:
+            def of(whole: Column) -> Column:
+                groups = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("|"), F.lit("")))).cast("long")  # each has one
+                sha = F.when(F.size(chunks) > 0, F.sha2(whole, 256)).otherwise("")
+                return bound(groups, lambda n: F.struct(d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), n.alias("n_groups"), (d.n_a + d.n_b - n).alias("n_links"), sha.alias("groups_sha256")))
+
+            return bound(F.array_join(F.transform(chunks, lambda k: every[k]), ";"), of)
+
+        return one
+
+    def row(ids: Column, forms: Column) -> Column:
+        docs = bound(texts(ids, forms), lambda every: F.zip_with("docs", "chunks", doc(every)))
+        return F.struct(docs.alias("docs"), links(ids, forms).alias("links"))
+
+    found = bound(F.col("ids"), lambda ids: bound(F.zip_with("a_ends", "b_ends", _form), lambda forms: row(ids, forms)))
+    return tokens.select(F.monotonically_increasing_id().alias("batch"), found.alias("row"), "chunks").select("batch", "row.docs", "chunks", "row.links")
 
 
 def _linked(batches: DataFrame, once: bool) -> DataFrame:
     """``batch, place, pair``: the id pairs of the links of every text, all of them or each distinct one once."""
 
-    def pairs(d: Column) -> Column:
-        chunks = F.array_distinct(d.chunks) if once else d.chunks
-        start = lambda k: F.when(k > 0, F.col("link_ends")[F.greatest(k - 1, F.lit(0))]).otherwise(0)
-        found = F.flatten(F.transform(chunks, lambda k: F.slice("links", start(k) + 1, F.col("link_ends")[k] - start(k))))
+    def pairs(chunks: Column) -> Column:
+        found = F.flatten(F.transform(F.array_distinct(chunks) if once else chunks, lambda k: F.col("links")[k]))
         return F.array_distinct(found) if once else found
 
     # Put together before rows are made: no row carries the batch's table. The outer forms keep Spark from filtering on the size of
     # what it would work out twice for that.
-    each = batches.select("batch", F.posexplode_outer(F.transform("docs", pairs)).alias("place", "pairs"))
+    each = batches.select("batch", F.posexplode_outer(F.transform("chunks", pairs)).alias("place", "pairs"))
     return each.select("batch", "place", F.explode_outer("pairs").alias("pair")).where("pair is not null")
 
 
@@ -298,5 +346,5 @@ def alignment(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "do
         each, times = each.groupBy("batch", "place", "pair").agg(F.count("*").alias("times")), F.col("times")
     summed = each.join(known, "pair").groupBy("batch", "place").agg(F.sum(times * F.col("docs")).alias("count_sum"), F.sum(F.when(F.col("best"), times).otherwise(0)).alias("n_best"))
     none = F.lit(0).cast("long")
-    rows = batches.select("batch", F.posexplode("docs").alias("place", "doc")).select("batch", "place", "doc.*").drop("chunks")
+    rows = batches.select("batch", F.posexplode("docs").alias("place", "doc")).select("batch", "place", "doc.*")
     return rows.join(summed, ["batch", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")
