@@ -43,9 +43,9 @@ def a04_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def a13_csv_export(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of the export, parsed again."""
     rows = works(spark, sf).select("id", "venue", F.translate("title", "\n\r", "  ").alias("title"), "year")
-    lines = files.csv_lines(rows, ["id", "venue", "title", "year"])
-    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
-    return lines.select(F.from_csv("line", "id long, venue string, title string, year int", options).alias("r")).select("r.*")
+    lines = files.csv_lines(rows, ["id", "venue", "title", "year"], mark_empty=True)
+    r = F.col("r")
+    return lines.select(files.csv_values(F.col("line")).alias("r")).select(r[0].cast("long").alias("id"), r[1].alias("venue"), r[2].alias("title"), r[3].cast("int").alias("year"))
 
 
 @query("""SELECT venue, n, to_json(list({'id': id, 'year': year} ORDER BY n_top)) AS works FROM

@@ -41,14 +41,24 @@ def merge_fields(existing: DataFrame, incoming: DataFrame, key: str, frozen: tup
     return joined.select(key, *[value(c).alias(c) if f"new_{c}" in new.columns else F.col(c) for c in existing.columns if c != key])
 
 
-def csv_field(value: Column) -> Column:
-    """A field quoted if it holds a comma, a quote or a line end."""
+def csv_field(value: Column, mark_empty: bool = False) -> Column:
+    """A field quoted if it holds a comma, a quote or a line end, and with ``mark_empty`` if it is empty; null is nothing."""
     text = value.cast("string")
-    return F.when(text.rlike("[,\"\n\r]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(text, F.lit("")))
+    return F.when(text.rlike("[,\"\n\r]" + "|^$" * mark_empty), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(text, F.lit("")))
 
 
-def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(F.concat_ws(",", *[csv_field(F.col(c)) for c in columns]).alias("line"))
+def csv_lines(rows: DataFrame, columns: list[str], mark_empty: bool = False) -> DataFrame:
+    return rows.select(F.concat_ws(",", *[csv_field(F.col(c), mark_empty) for c in columns]).alias("line"))
+
+
+def csv_values(line: Column) -> Column:
+    """The fields of a line of :func:`csv_lines`, character by character as they were; nothing is null, a quoted nothing is empty.
+
+    ``from_csv`` keeps neither apart, and loses null characters in quotes and what follows U+FFFF.
+    """
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',((?:"[^"]*+")*+[^,"]*+)'), F.lit(1))  # possessive: no stack, however long a field
+    inside = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: F.when(x.startswith('"'), inside(x)).when(x != "", x))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
