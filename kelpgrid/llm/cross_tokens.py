@@ -338,7 +338,7 @@ def alignment(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "do
     each, null ids stay; null and empty texts have no tokens, only zeros and an empty digest; an empty table gives an
     empty result; other columns are not read.
     """
-    batches = stage(aligned(both_tokens(docs, bpe_path, piece_path, id_col, text_col)), "aligned")
+    batches = stage(aligned(both_tokens(docs, bpe_path, piece_path, id_col, text_col)), "aligned", group_rows=1)
     counts = stage(pair_counts(batches), "pairs")
     known = broadcast_if_few(counts, most_pairs)
     each, times = _linked(batches, False), F.lit(1).cast("long")

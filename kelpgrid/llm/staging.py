@@ -47,10 +47,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` once and returns the written table: cut lineage that outlives lost executors."""
+def stage(df: DataFrame, name: str, compression: str = "zstd", group_rows: int | None = None) -> DataFrame:
+    """Writes ``df`` once and returns the written table: cut lineage that outlives lost executors.
+
+    Tasks hold a row group when they write, and one decoded when they read. Its size is first looked at after a hundred rows:
+    ``group_rows`` bounds it for rows of megabytes.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    options = {"compression": compression} | ({} if group_rows is None else {"parquet.block.row.count.limit": str(group_rows)})
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import sentencepiece
 from tokenizers import Tokenizer
 
-from kelpgrid.llm import cross_tokens
+from kelpgrid.llm import cross_tokens, staging
 from kelpgrid.llm.queries import op12_alignment
 from kelpgrid.llm.tokens import _byte_of
 
@@ -128,3 +131,16 @@ def test_chunks_of_one_form_are_aligned_once(spark):
         assert (len(r.form), len(r.a_ends), len(r.b_ends)) == (8, max(r.form) + 1, max(r.form) + 1)
         assert len(r.a_ends) < len(r.form)
     compare(rows, cross_tokens.alignment(docs, BPE, PIECE).collect())
+
+
+def test_batches_are_row_groups_of_their_own(spark, monkeypatch):
+    """A task holds one batch when it writes and one when it reads, however many it has (a hundred and more before)."""
+    paths = []
+    new_path = staging.new_path
+    monkeypatch.setattr(staging, "new_path", lambda s, name: paths.append((name, new_path(s, name))) or paths[-1][1])
+    monkeypatch.setattr(cross_tokens, "both_tokens", partial(cross_tokens.both_tokens, batch_chars=200))
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
+    compare(rows, cross_tokens.alignment(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), BPE, PIECE).collect())
+    files = [pq.ParquetFile(f).metadata for name, path in paths if name == "aligned" for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(m.num_rows for m in files) > 5
+    assert {m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)} == {1}
