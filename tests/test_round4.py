@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from kelpgrid.operators import drafts
 from kelpgrid.sources import files
 
 
@@ -15,3 +19,29 @@ def test_csv_lines_are_parsed_as_they_were(spark):
     r = files.csv_values(F.col("line"))
     out = files.csv_lines(df, ["id", "a", "b"], mark_empty=True).select(r.alias("r")).collect()
     assert sorted((int(x.r[0]), *x.r[1:]) for x in out) == rows
+
+
+def test_twins_make_pairs_last(spark, monkeypatch):
+    """Copies, near copies, unknown years and kinds, and blocks of few pairs, against all pairs compared; no pair goes through a join or is looked at twice."""
+    rng = random.Random(11)
+    words = ["labour", "market", "credit", "growth", "school", "health", "prices", "wages", "trade", "banks"]
+    titles = [" ".join(rng.sample(words, rng.choice([1, 2, 3, 5, 7, 9]))) for _ in range(25)] + [None, "", "the of"]
+    rows = [(i, rng.choice([None, *range(2000, 2008)]), rng.choice([None, "working_paper", "journal_article"]), rng.choice(titles)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, year int, publication_type string, title string")
+    sets = {i: {w for w in (t or "").split() if len(w) >= 4} for i, _, _, t in rows}
+    often = Counter(w for s in sets.values() for w in s)
+    rare = {i: set(sorted(s, key=lambda w: (often[w], w))[:3]) for i, s in sets.items()}
+    for few in (drafts.TWIN_PAIRS, 10):
+        monkeypatch.setattr(drafts, "TWIN_PAIRS", few)
+        monkeypatch.setattr(drafts, "TWIN_BLOCK", min(few, drafts.TWIN_BLOCK))
+        for rarest in (3, None):
+            want = []
+            for a, ay, ak, _ in rows:
+                for b, by, bk, _ in rows:
+                    if ak == "working_paper" and bk == "journal_article" and None not in (ay, by) and abs(ay - by) <= 2 and sets[a] & sets[b] and (rarest is None or rare[a] & rare[b]):
+                        j = round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
+                        want += [(a, b, j)] * (j >= 0.6)
+            out = drafts.twins(df, rarest=rarest)
+            assert len(want) > 300 and sorted(tuple(r) for r in out.collect()) == sorted(want)
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Aggregate" not in plan
