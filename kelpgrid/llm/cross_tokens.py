@@ -1,13 +1,11 @@
 """Alignment of two tokenizers' tokens by the bytes that they cover.
 
 Both tokenizers run once over every text. Tokens of either never reach over a single space, so a text is a row of
-chunks that begin at its spaces, and what Python hands on, some megabytes of texts a row, is each distinct chunk's token
-ids, the byte offsets where its tokens end, and for every text the places of its chunks. Many chunks have their ends at
-the same bytes: ends are handed on once for all chunks of such a form. From there on everything is
-a Spark function of these arrays: ends that both share cut the tokens into groups, and the sorted ends of both, each
-once, are the links, as two tokens that overlap share exactly the bytes between two neighbouring ends. Lookups are by
-rank in the sorted ends, so that the work is linear in the length of a text but for the sort. Groups and links of a form are places
-among a chunk's tokens, which every chunk of the form fills with its own ids.
+chunks that begin at its spaces, and each distinct chunk of some megabytes of texts is encoded and aligned once, on arrays
+of all their tokens: ends that both share cut the tokens into groups, and the ends of both, each once, are the links, as
+two tokens that overlap share exactly the bytes between two neighbouring ends. What tasks hand on, some megabytes of texts
+a row, is each text's counts and digest, the places of its chunks, and the links of each chunk. How many texts hold a link,
+and which of a token's are held most, Spark counts and joins over the whole corpus.
 """
 
 from __future__ import annotations
@@ -15,7 +13,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -57,6 +57,9 @@ class Pair:
         self.b_bytes = [bytes([int(m[1], 16)]) if self.piece.is_byte(i) and (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         #: No piece goes on after a word, so the words of a text can be encoded alone.
         self.apart = not any(re.search("[^▁]▁", p) for p in names)
+        #: Every id as text after each of the marks.
+        self.marks, self.many = ",|;", max(len(self.a_bytes), len(self.b_bytes))
+        self.names = pa.array([(mark + str(i)).encode() for mark in self.marks for i in range(self.many)], pa.large_binary())
         self.lengths = [np.array([len(x) for x in every], np.int64) for every in (self.a_bytes, self.b_bytes)]
 
     def one(self, text: str, runs: list[str] | None = None) -> list[np.ndarray] | None:
@@ -141,8 +144,23 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _batch(both: Pair, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    """One row: the tokens of the distinct chunks of the texts, one after the other, and where the chunks stand in each text."""
+class Tokens(NamedTuple):
+    """Of both tokenizers the ids of all distinct chunks of some texts, one after the other, and each chunk's number of them; each chunk's bytes;
+    the places of the chunks of all texts, and each text's number of them."""
+
+    ids: list[np.ndarray]
+    counts: list[np.ndarray]
+    sizes: np.ndarray
+    at: np.ndarray
+    used: np.ndarray
+
+    def of_texts(self, each: np.ndarray) -> pa.Array:
+        """The sum of what each chunk has, text by text."""
+        row_of = np.repeat(np.arange(len(self.used)), self.used)
+        return pa.array(np.bincount(row_of, each[self.at], len(self.used)).astype(np.int64))
+
+
+def _tokens(both: Pair, texts: pa.Array) -> Tokens:
     some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
     tangled = pc.fill_null(pc.match_substring_regex(texts, TANGLED), False) if both.apart else some
     plain = pc.and_not(some, tangled)
@@ -163,21 +181,22 @@ def _batch(both: Pair, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             more += [] if found is None else [found]
     sizes[broken] = 0
     sizes = np.concatenate([sizes, [int(both.lengths[0][x[0]].sum()) for x in more]]).astype(np.int64)
-    used = np.array([len(p) for p in places], np.int64)
-    at = np.concatenate([np.zeros(0, np.int64), *places])
-    row_of = np.repeat(np.arange(len(texts)), used)
-    n, ids, ends, every = [], [], [], []
-    for k, (found, counts) in enumerate(tokens):
-        ids.append(np.concatenate([found, *[x[k] for x in more]]))
-        every.append(np.concatenate([counts, [len(x[k]) for x in more]]).astype(np.int64))
-        n.append(pa.array(np.bincount(row_of, every[k][at], len(texts)).astype(np.int64)))
-        ends.append(np.cumsum(both.lengths[k][ids[k]]) - np.repeat(np.cumsum(sizes) - sizes, every[k]))
-    form, new = _forms(ends, every, sizes)
+    ids = [np.concatenate([found, *[x[k] for x in more]]) for k, (found, _) in enumerate(tokens)]
+    counts = [np.concatenate([n, [len(x[k]) for x in more]]).astype(np.int64) for k, (_, n) in enumerate(tokens)]
+    return Tokens(ids, counts, sizes, np.concatenate([np.zeros(0, np.int64), *places]), np.array([len(p) for p in places], np.int64))
+
+
+def _batch(both: Pair, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """One row: the tokens of the distinct chunks of the texts, one after the other, and where the chunks stand in each text."""
+    t = _tokens(both, texts)
+    ids, every = t.ids, t.counts
+    ends = [np.cumsum(both.lengths[k][ids[k]]) - np.repeat(np.cumsum(t.sizes) - t.sizes, every[k]) for k in (0, 1)]
+    form, new = _forms(ends, every, t.sizes)
     starts = np.cumsum(every[0] + every[1]) - every[0] - every[1]
     together = np.empty(len(ids[0]) + len(ids[1]), np.int32)
     together[_spans(starts, every[0])], together[_spans(starts + every[0], every[1])] = ids
-    docs = pa.StructArray.from_arrays([doc_ids, *n], ["doc_id", "n_a", "n_b"])
-    columns = {"docs": pa.ListArray.from_arrays([0, len(docs)], docs), "chunks": pa.ListArray.from_arrays([0, len(texts)], _lists(at, used))}
+    docs = pa.StructArray.from_arrays([doc_ids, *map(t.of_texts, every)], ["doc_id", "n_a", "n_b"])
+    columns = {"docs": pa.ListArray.from_arrays([0, len(docs)], docs), "chunks": pa.ListArray.from_arrays([0, len(texts)], _lists(t.at, t.used))}
     columns |= {"ids": _row(together, pa.int32()), "starts": _row(starts, pa.int32()), "form": _row(form, pa.int32())}
     for name, e, counts in zip(("a_ends", "b_ends"), ends, every):
         here = counts[new]
@@ -185,17 +204,58 @@ def _batch(both: Pair, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-TOKENS = "docs array<struct<doc_id:long,n_a:long,n_b:long>>, chunks array<array<int>>, ids array<int>, starts array<int>, form array<int>, a_ends array<array<int>>, b_ends array<array<int>>"
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
 
 
-def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
-    """Rows of about ``batch_chars`` bytes of text: ``docs``, and for each the places of its ``chunks`` in order; of all distinct chunks, one after the other,
-    the token ``ids`` (A's of a chunk before B's), where those of each chunk start and its ``form``; of every form the bytes up to the end of each token of A
-    and of B, counted from the chunk's start.
+def _aligned_batch(both: Pair, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """One row of :func:`aligned`, without its number.
 
-    A text that can't be cut at its spaces is one chunk. Null and empty texts, and those whose joined token bytes are
-    not the text's under either, have no chunks.
+    Ends are counted over all chunks, which end at the same bytes under both, so that they are sorted as they come.
     """
+    t = _tokens(both, texts)
+    (a, b), (n_a, n_b) = t.ids, t.counts
+    a_ends, b_ends = (np.cumsum(both.lengths[k][t.ids[k]]) for k in (0, 1))
+    of_a, of_b = np.searchsorted(b_ends, a_ends), np.searchsorted(a_ends, b_ends)  # of each token the other's that holds its last byte
+    shared = a_ends[of_b] == b_ends  # B's tokens that end a group
+    groups = np.diff(_offsets(shared)[_offsets(n_b)])
+
+    # The link of a shared end is that of A's token.
+    pairs = (a.astype(np.int64) << 32) | b[of_a], (a[of_b[~shared]].astype(np.int64) << 32) | b[~shared]
+    n_links = n_a + n_b - groups
+    first = _offsets(n_links)[:-1]
+    links = np.empty(len(pairs[0]) + len(pairs[1]), np.int64)
+    links[_spans(first, n_a)], links[_spans(first + n_a, n_b - groups)] = pairs
+
+    # Groups as text: of each A's tokens, then B's, a mark before every one.
+    last_b = np.flatnonzero(shared)
+    last_a = of_b[last_b]
+    first_a, first_b = (np.concatenate([[0], x + 1]) for x in (last_a, last_b))
+    ends_group = np.zeros(len(a), bool)
+    ends_group[last_a] = True
+    marked = np.empty(len(a) + len(b), np.int64)
+    for own, group, others, mark, starts in ((a, ends_group, first_b, ";", first_a), (b, shared, first_a[1:], "|", first_b)):
+        named = own + both.marks.index(",") * both.many
+        named[starts[:-1]] += (both.marks.index(mark) - both.marks.index(",")) * both.many
+        marked[np.arange(len(own)) + others[np.cumsum(group) - group]] = named
+    names = both.names.take(pa.array(marked))
+    chunk_ends = np.frombuffer(names.buffers()[1], np.int64)[: len(names) + 1][_offsets(n_a + n_b)]
+    written = pa.Array.from_buffers(pa.large_binary(), len(n_a), [None, pa.py_buffer(chunk_ends), names.buffers()[2]]).take(pa.array(t.at))
+    text_ends = np.frombuffer(written.buffers()[1], np.int64)[: len(written) + 1][_offsets(t.used)].tolist()
+    whole = memoryview(written.buffers()[2] or b"")
+    digests = [sha256(whole[x + 1 : y]).hexdigest() if y > x else "" for x, y in zip(text_ends, text_ends[1:])]
+
+    docs = pa.StructArray.from_arrays([doc_ids, *map(t.of_texts, (n_a, n_b, groups, n_links)), pa.array(digests, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+    of_chunks = pa.ListArray.from_arrays(pa.array(_offsets(n_links).astype(np.int32)), pa.array(links))
+    columns = {"docs": pa.ListArray.from_arrays([0, len(docs)], docs), "chunks": pa.ListArray.from_arrays([0, len(texts)], _lists(t.at, t.used)), "links": pa.ListArray.from_arrays([0, len(of_chunks)], of_chunks)}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+TOKENS = "docs array<struct<doc_id:long,n_a:long,n_b:long>>, chunks array<array<int>>, ids array<int>, starts array<int>, form array<int>, a_ends array<array<int>>, b_ends array<array<int>>"
+
+
+def _by_batches(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str, text_col: str, batch_chars: int, batch: Callable[[Pair, pa.Array, pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``batch`` makes of about ``batch_chars`` bytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair_of(bpe_path, piece_path)
@@ -205,108 +265,33 @@ def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "
             for at, end in zip(cuts, cuts[1:]):
                 if end > at:
                     part = rows.slice(at, end - at)
-                    yield _batch(both, pa.array(part["doc_id"].to_pylist(), pa.int64()), part["text"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, TOKENS)
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
+                    yield batch(both, pa.array(part["doc_id"].to_pylist(), pa.int64()), part["text"])
 
-def packed(high: Column, low: Column) -> Column:
-    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def high(x: Column) -> Column:
-    return F.shiftright(x, 32).cast("int")
-
-
-def low(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
-
-
-def _steps(a_ends: Column, b_ends: Column) -> Column:
-    """Where each end falls in the other list: the ends of both sorted, A before B at the same byte.
+def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
+    """Rows of about ``batch_chars`` bytes of text, the tokens by themselves: ``docs``, and for each the places of its ``chunks`` in order; of all distinct chunks, one
+    after the other, the token ``ids`` (A's of a chunk before B's), where those of each chunk start and its ``form``; of every form the bytes up to the end of each token
+    of A and of B, counted from the chunk's start.
 
-    An end of rank i in its own list at place p has p - i ends of the other list before it, so the token that it ends
-    overlaps the other's token of that index: ``packed`` (A index, B index) of the link. A B end at an A end's byte
-    makes no link of its own; it ends a group, and gives ``-1 - packed`` (A tokens, B tokens so far).
+    A text that can't be cut at its spaces is one chunk. Null and empty texts, and those whose joined token bytes are
+    not the text's under either, have no chunks.
     """
-    of_b = F.lit(1 << 31)
-    keys = F.sort_array(F.concat(F.transform(a_ends, packed), F.transform(b_ends, lambda e, i: packed(e, i).bitwiseOR(of_b))))
-
-    def step(all_keys: Column) -> Column:
-        def one(x: Column, p: Column) -> Column:
-            own = x.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int")
-            shared = high(all_keys[p - 1]) == high(x)
-            return F.when(x.bitwiseAND(of_b) == 0, packed(own, p - own)).when((p > 0) & shared, -1 - packed(p - own, own + 1)).otherwise(packed(p - own, own))
-
-        return F.transform(all_keys, one)
-
-    return bound(keys, step)
-
-
-def _form(a_ends: Column, b_ends: Column) -> Column:
-    """``tokens, links`` of a form: its tokens in the order of the text of its groups, ``a1,a2|b1`` each, four times the place and the number in ``BEFORE``
-    of what stands before it, and the places of the tokens of every link, ``packed``. Places count A's tokens, then B's."""
-    n_a = F.size(a_ends)
+    return _by_batches(docs, bpe_path, piece_path, id_col, text_col, batch_chars, _batch, TOKENS)
 
-    def group(before: Column, cut: Column) -> Column:
-        first_a, first_b = high(before), low(before)
-        of_a = F.transform(F.sequence(first_a, high(cut) - 1), lambda i: i * 4 + F.when(i > first_a, 1).when(i > 0, 3).otherwise(0))
-        of_b = F.transform(F.sequence(first_b, low(cut) - 1), lambda j: (n_a + j) * 4 + F.when(j > first_b, 1).otherwise(2))
-        return F.concat(of_a, of_b)
 
-    def one(steps: Column) -> Column:
-        cuts = F.transform(F.filter(steps, lambda s: s < 0), lambda s: -1 - s)
-        links = F.transform(F.filter(steps, lambda s: s >= 0), lambda s: s + n_a)
-        start = F.array(F.lit(0).cast("long"))
-        tokens = bound(cuts, lambda c: F.flatten(F.zip_with(F.slice(F.concat(start, c), 1, F.size(c)), c, group)))
-        return F.struct(tokens.alias("tokens"), links.alias("links"))
+ALIGNED = "docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string>>, chunks array<array<int>>, links array<array<long>>"
 
-    return bound(_steps(a_ends, b_ends), one)
 
+def aligned(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
+    """``batch, docs, chunks, links``: rows of about ``batch_chars`` bytes of text.
 
-BEFORE = ["", ",", "|", ";"]
-
-
-def aligned(tokens: DataFrame) -> DataFrame:
-    """``batch, docs, chunks, links`` of every row of :func:`both_tokens`.
-
-    ``docs`` holds ``doc_id, n_a, n_b, n_groups, n_links, groups_sha256`` of each text; ``links`` the id pair of every link of each of the
-    chunks (A id in the upper, B id in the lower half of a long).
+    ``docs`` holds ``doc_id, n_a, n_b, n_groups, n_links, groups_sha256`` of each text, ``chunks`` the places of its chunks as :func:`both_tokens` has them;
+    ``links`` the id pair of every link of each of the chunks (A id in the upper, B id in the lower half of a long).
     """
-
-    before = F.array(*[F.lit(x) for x in BEFORE])
-
-    def texts(ids: Column, forms: Column) -> Column:
-        def one(f: Column, start: Column) -> Column:
-            return F.array_join(F.transform(forms[f].tokens, lambda t: F.concat(before[t.bitwiseAND(3)], ids[start + F.shiftright(t, 2)].cast("string"))), "")
-
-        return F.zip_with("form", "starts", one)
-
-    def links(ids: Column, forms: Column) -> Column:
-        return F.zip_with("form", "starts", lambda f, start: F.transform(forms[f].links, lambda t: packed(ids[start + high(t)], ids[start + low(t)])))
-
-    def doc(every: Column) -> Callable[[Column, Column], Column]:
-        def one(d: Column, chunks: Column) -> Column:
-            def of(whole: Column) -> Column:
-                groups = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("|"), F.lit("")))).cast("long")  # each has one
-                sha = F.when(F.size(chunks) > 0, F.sha2(whole, 256)).otherwise("")
-                return bound(groups, lambda n: F.struct(d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), n.alias("n_groups"), (d.n_a + d.n_b - n).alias("n_links"), sha.alias("groups_sha256")))
-
-            return bound(F.array_join(F.transform(chunks, lambda k: every[k]), ";"), of)
-
-        return one
-
-    def row(ids: Column, forms: Column) -> Column:
-        docs = bound(texts(ids, forms), lambda every: F.zip_with("docs", "chunks", doc(every)))
-        return F.struct(docs.alias("docs"), links(ids, forms).alias("links"))
-
-    found = bound(F.col("ids"), lambda ids: bound(F.zip_with("a_ends", "b_ends", _form), lambda forms: row(ids, forms)))
-    return tokens.select(F.monotonically_increasing_id().alias("batch"), found.alias("row"), "chunks").select("batch", "row.docs", "chunks", "row.links")
+    found = _by_batches(docs, bpe_path, piece_path, id_col, text_col, batch_chars, _aligned_batch, ALIGNED)
+    return found.select(F.monotonically_increasing_id().alias("batch"), "docs", "chunks", "links")
 
 
 def _linked(batches: DataFrame, once: bool) -> DataFrame:
@@ -338,7 +323,7 @@ def alignment(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "do
     each, null ids stay; null and empty texts have no tokens, only zeros and an empty digest; an empty table gives an
     empty result; other columns are not read.
     """
-    batches = stage(aligned(both_tokens(docs, bpe_path, piece_path, id_col, text_col)), "aligned", group_rows=1)
+    batches = stage(aligned(docs, bpe_path, piece_path, id_col, text_col), "aligned", group_rows=1)
     counts = stage(pair_counts(batches), "pairs")
     known = broadcast_if_few(counts, most_pairs)
     each, times = _linked(batches, False), F.lit(1).cast("long")

@@ -138,7 +138,7 @@ def test_batches_are_row_groups_of_their_own(spark, monkeypatch):
     paths = []
     new_path = staging.new_path
     monkeypatch.setattr(staging, "new_path", lambda s, name: paths.append((name, new_path(s, name))) or paths[-1][1])
-    monkeypatch.setattr(cross_tokens, "both_tokens", partial(cross_tokens.both_tokens, batch_chars=200))
+    monkeypatch.setattr(cross_tokens, "aligned", partial(cross_tokens.aligned, batch_chars=200))
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
     compare(rows, cross_tokens.alignment(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), BPE, PIECE).collect())
     files = [pq.ParquetFile(f).metadata for name, path in paths if name == "aligned" for f in glob.glob(f"{path}/*.parquet")]
