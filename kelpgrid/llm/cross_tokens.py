@@ -284,7 +284,7 @@ def both_tokens(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "
 ALIGNED = "docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string>>, chunks array<array<int>>, links array<array<long>>"
 
 
-def aligned(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
+def aligned(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
     """``batch, docs, chunks, links``: rows of about ``batch_chars`` bytes of text.
 
     ``docs`` holds ``doc_id, n_a, n_b, n_groups, n_links, groups_sha256`` of each text, ``chunks`` the places of its chunks as :func:`both_tokens` has them;
